@@ -276,7 +276,7 @@ def trailing_feature_line() -> str:
     return _with(*_wide_cte(), *_latest_map_cte()) + f"""
 , lat AS (SELECT wide.uid, {', '.join(num)}, {', '.join(maps)}
           FROM wide LEFT JOIN mpack ON wide.uid = mpack.uid GROUP BY ALL)
-SELECT wide.uid, {_raw_line_expr()} || ',' || {tail} AS line FROM wide JOIN lat ON wide.uid = lat.uid"""
+SELECT uid, {_raw_line_expr()} || ',' || {tail} AS line FROM wide JOIN lat USING (uid)"""
 
 
 def _java_hash(value_sql: str, prefix: str) -> str:
@@ -447,7 +447,8 @@ def combine_sum() -> str:
         f"ca AS (SELECT uid, sum({AMOUNT}) AS v FROM buys GROUP BY uid)",
         "cb AS (SELECT uid, sum(loan_amount) AS v FROM loans GROUP BY uid)",
     ) + """
-SELECT uid, CAST(sum(v) AS DOUBLE) AS total FROM (SELECT * FROM ca UNION ALL SELECT * FROM cb) GROUP BY uid"""
+SELECT uid, CAST(sum(v) AS DOUBLE) AS total
+FROM (SELECT uid, CAST(v AS DECIMAL(38,4)) AS v FROM ca UNION ALL SELECT uid, CAST(v AS DECIMAL(38,4)) FROM cb) GROUP BY uid"""
 
 
 def csv_rejects(n_fields: int = 3) -> str:
