@@ -68,13 +68,20 @@ def unpack_map(s, value_type: str = "double", strip_trailing: bool = True,
     and only the last entry of each key run is kept.
     """
     entries = map_entries_text(s, strip_trailing, sep, kv_sep)
+
+    def typed(arr):
+        return F.transform(arr, lambda e: F.struct(e.key.alias("key"), e.value.cast(value_type).alias("value")))
+
+    # Fast path: no repeated key (the usual case) -> build the map directly.
+    keys = F.transform(entries, lambda e: e.key)
+    unique = F.size(F.array_distinct(keys)) == F.size(keys)
+    # Slow path, only for rows with repeats: sort by (key, position), keep each key's last entry.
     tagged = F.transform(entries, lambda e, i: F.struct(e.key.alias("key"), i.alias("pos"),
                                                         e.value.alias("value")))
     ordered = F.array_sort(tagged)
     n = F.size(ordered)
     last = F.filter(ordered, lambda e, i: (i == n - 1) | (F.element_at(ordered, i + 2).getField("key") != e.key))
-    typed = F.transform(last, lambda e: F.struct(e.key.alias("key"), e.value.cast(value_type).alias("value")))
-    return F.map_from_entries(typed)
+    return F.when(unique, F.map_from_entries(typed(entries))).otherwise(F.map_from_entries(typed(last)))
 
 
 def merge_maps(a, b, zero=0.0) -> Column:

@@ -57,18 +57,22 @@ def latest_map(wide: DataFrame, metrics: Sequence[str] = TRAILING_MAPS,
     the parsed maps (doubles), packed sorted by key (SURVEY D10).  Malformed
     entries are dropped with the trailing-separator rule (D8).
     """
+    order = list(order)
+    base = wide.columns
+    # Staged projections: each parsed map and running sum is one column that
+    # later stages reference, so no map is parsed or merged twice per row.
+    staged = wide.select("*", *[unpack_map(f"{m}{p}").alias(f"_u_{m}_{p}") for m in metrics for p in order[1:]],
+                         *[unpack_map(f"{m}{order[0]}").alias(f"_a_{m}_1") for m in metrics])
+    for n in range(2, len(order) + 1):
+        p = order[n - 1]
+        staged = staged.select("*", *[merge_maps(f"_a_{m}_{n - 1}", f"_u_{m}_{p}").alias(f"_a_{m}_{n}")
+                                      for m in metrics])
     out = []
     for m in metrics:
-        acc = None
         for n, p in enumerate(order, start=1):
-            src = F.col(f"{m}{p}")
-            if acc is None:
-                acc = unpack_map(src)
-                out.append(src.alias(latest_name(m, p, n)))
-            else:
-                acc = merge_maps(acc, unpack_map(src))
-                out.append(pack_map(acc).alias(latest_name(m, p, n)))
-    return wide.select("*", *out)
+            src = F.col(f"{m}{p}") if n == 1 else pack_map(f"_a_{m}_{n}")
+            out.append(src.alias(latest_name(m, p, n)))
+    return staged.select(*base, *out)
 
 
 def latest_columns(metrics_numeric=TRAILING_NUMERIC, metrics_map=TRAILING_MAPS,
