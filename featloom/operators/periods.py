@@ -42,26 +42,22 @@ def click_features(clicks: DataFrame, periods: Sequence[int] = DEFAULT_PERIODS,
     periods = list(periods)
     base = (clicks.select("uid", _period_col(period, ts_col).alias("period"), "pid", "param")
             .where(F.col("period").isin(periods)))
-    # Finest grain: the one shuffle over raw clicks, with partial aggregation.
-    fine = base.groupBy("uid", "period", "pid", "param").agg(F.count(F.lit(1)).alias("n"))
-    # Re-key the (small) aggregate by uid once; every aggregate below is narrow.
-    fine = fine.repartition("uid")
+    # One scan, one shuffle of map-side partial counts: the three key levels
+    # are grouping sets of the same aggregate (gid 0: pid+param, 1: pid, 2: param).
+    keys = ["uid", "period", "pid", "param"]
+    fine = base.groupingSets([keys, ["uid", "period", "pid"], ["uid", "period", "param"]], *keys).agg(
+        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid"))
     pair = F.concat_ws("_", F.col("pid").cast("string"), F.col("param").cast("string"))
-
-    num_and_pairs = []
+    aggs = []
     for p in periods:
-        sel = F.col("period") == p
-        num_and_pairs.append(F.coalesce(F.sum(F.when(sel, F.col("n"))), F.lit(0).cast("long")).alias(f"clickNum{p}"))
-        num_and_pairs.append(_packed(sel, pair, F.col("n")).alias(f"clickPageParam{p}"))
-    a = fine.groupBy("uid").agg(*num_and_pairs)
-
-    def by_one(key: str, metric: str) -> DataFrame:
-        per_key = fine.groupBy("uid", "period", key).agg(F.sum("n").alias("n"))
-        return per_key.groupBy("uid").agg(*[
-            _packed(F.col("period") == p, F.col(key).cast("string"), F.col("n")).alias(f"{metric}{p}")
-            for p in periods])
-
-    out = a.join(by_one("pid", "clickPage"), "uid").join(by_one("param", "clickParam"), "uid")
+        at = F.col("period") == p
+        aggs += [
+            F.coalesce(F.sum(F.when(at & (F.col("gid") == 1), F.col("n"))), F.lit(0).cast("long")).alias(f"clickNum{p}"),
+            _packed(at & (F.col("gid") == 1), F.col("pid").cast("string"), F.col("n")).alias(f"clickPage{p}"),
+            _packed(at & (F.col("gid") == 0), pair, F.col("n")).alias(f"clickPageParam{p}"),
+            _packed(at & (F.col("gid") == 2), F.col("param").cast("string"), F.col("n")).alias(f"clickParam{p}"),
+        ]
+    out = fine.groupBy("uid").agg(*aggs)
     cols = ["uid"] + [c for m in CLICK_METRICS for c in period_columns(m, periods)]
     return out.select(*cols)
 
