@@ -43,8 +43,10 @@ def java_hash_bucket_col(value, prefix: str = "", n: int = 1000) -> Column:
     characters.  ``ascii`` gives the code point, equal to the UTF-16 unit for
     every character outside surrogate pairs.
     """
-    v = (F.col(value) if isinstance(value, str) else value).cast("string")
     start = java_string_hash(prefix) % _MASK32
+    if isinstance(value, str):
+        return F.expr(java_hash_bucket_sql("`" + value.replace("`", "``") + "`", start, n))
+    v = value.cast("string")
     unsigned = F.aggregate(
         F.transform(F.split(v, ""), lambda ch: F.ascii(ch).cast("long")),
         F.lit(start).cast("long"),
@@ -53,6 +55,13 @@ def java_hash_bucket_col(value, prefix: str = "", n: int = 1000) -> Column:
     return F.abs(signed) % F.lit(n)
 
 
+def java_hash_bucket_sql(value_sql: str, start: int, n: int = 1000) -> str:
+    """SQL-text form of the per-row Java-hash bucket (one JVM parse)."""
+    h = (f"aggregate(transform(split(cast({value_sql} AS string), ''), ch -> cast(ascii(ch) AS bigint)), "
+         f"{start}L, (a, x) -> (a * 31 + x) % {_MASK32}L)")
+    return f"abs(CASE WHEN {h} >= {1 << 31}L THEN {h} - {_MASK32}L ELSE {h} END) % {n}"
+
+
 def sha1_bucket(s: str, n: int = 1000) -> int:
     return int(hashlib.sha1(s.encode("utf-8")).hexdigest(), 16) % n
 

@@ -15,12 +15,63 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def ident(name: str) -> str:
+    """A column name as a quoted SQL identifier."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def lit_sql(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _regex_lit(s: str) -> str:
+    return lit_sql("".join("\\" + ch if ch in ".$|()[]{}^?*+\\" else ch for ch in s))
+
+
+# SQL-text forms.  Built as one expression string, they cost one parse on the
+# JVM instead of one Python->JVM call per node and per lambda, which keeps the
+# driver fast for wide rows with dozens of map columns.
+
+def pack_entries_sql(entries_sql: str, sep: str = ";", kv_sep: str = ":") -> str:
+    return (f"coalesce(array_join(transform(array_sort(transform({entries_sql}, "
+            f"e -> named_struct('k', cast(e.key AS string), 'v', cast(e.value AS string)))), "
+            f"e -> concat(e.k, {lit_sql(kv_sep)}, e.v)), {lit_sql(sep)}), '')")
+
+
+def entries_text_sql(s_sql: str, strip_trailing: bool = True, sep: str = ";", kv_sep: str = ":") -> str:
+    kv = _regex_lit(kv_sep)
+    part = f"regexp_replace(x, {_regex_lit(kv_sep)[:-1]}+$', '')" if strip_trailing else "x"
+    return (f"transform(filter(transform(split(coalesce({s_sql}, ''), {_regex_lit(sep)}, -1), "
+            f"x -> split({part}, {kv}, -1)), p -> size(p) = 2), "
+            f"p -> named_struct('key', p[0], 'value', p[1]))")
+
+
+def unpack_map_sql(s_sql: str, value_type: str = "double", strip_trailing: bool = True,
+                   sep: str = ";", kv_sep: str = ":") -> str:
+    ents = entries_text_sql(s_sql, strip_trailing, sep, kv_sep)
+    typed = lambda a: f"transform({a}, e -> named_struct('key', e.key, 'value', cast(e.value AS {value_type})))"
+    srt = (f"array_sort(transform({ents}, (e, i) -> named_struct('key', e.key, 'pos', i, 'value', e.value)))")
+    last = (f"filter({srt}, (e, i) -> i = size({srt}) - 1 OR element_at({srt}, i + 2).key != e.key)")
+    return (f"CASE WHEN size(array_distinct(transform({ents}, e -> e.key))) = size({ents}) "
+            f"THEN map_from_entries({typed(ents)}) ELSE map_from_entries({typed(last)}) END")
+
+
+def merge_maps_sql(a_sql: str, b_sql: str, zero: str = "0D") -> str:
+    return f"map_zip_with({a_sql}, {b_sql}, (k, x, y) -> coalesce(x, {zero}) + coalesce(y, {zero}))"
+
+
+def pack_map_sql(m_sql: str, sep: str = ";", kv_sep: str = ":") -> str:
+    return pack_entries_sql(f"map_entries({m_sql})", sep, kv_sep)
+
+
 def pack_entries(entries, sep: str = ";", kv_sep: str = ":") -> Column:
     """Array of ``struct(key, value)`` -> ``"k:v;k:v"`` sorted by key text.
 
     Keys are unique in every caller (they come from a group-by), so sorting
     by the key text alone gives a total order.  ``null``/empty -> ``""``.
     """
+    if isinstance(entries, str):
+        return F.expr(pack_entries_sql(ident(entries), sep, kv_sep))
     as_text = F.transform(
         _c(entries),
         lambda e: F.struct(e.getField("key").cast("string").alias("k"),
@@ -32,6 +83,8 @@ def pack_entries(entries, sep: str = ";", kv_sep: str = ":") -> Column:
 
 def pack_map(m, sep: str = ";", kv_sep: str = ":") -> Column:
     """M5: ``map<k, v>`` -> packed text sorted by key."""
+    if isinstance(m, str):
+        return F.expr(pack_map_sql(ident(m), sep, kv_sep))
     return pack_entries(F.map_entries(_c(m)), sep, kv_sep)
 
 
@@ -45,6 +98,8 @@ def map_entries_text(s, strip_trailing: bool = True, sep: str = ";", kv_sep: str
     * ``strip_trailing=False`` (the encoder): parts are kept as split, so
       ``"7:"`` is ``(7, "")`` and ``"a:b:"`` is malformed.
     """
+    if isinstance(s, str):
+        return F.expr(entries_text_sql(ident(s), strip_trailing, sep, kv_sep))
     pieces = F.split(F.coalesce(_c(s), F.lit("")), sep, -1)
     esc = "\\" + kv_sep if kv_sep in ".$|()[]{}^?*+\\" else kv_sep
 
@@ -67,6 +122,8 @@ def unpack_map(s, value_type: str = "double", strip_trailing: bool = True,
     scan: entries are tagged with their position, sorted by (key, position),
     and only the last entry of each key run is kept.
     """
+    if isinstance(s, str):
+        return F.expr(unpack_map_sql(ident(s), value_type, strip_trailing, sep, kv_sep))
     entries = map_entries_text(s, strip_trailing, sep, kv_sep)
 
     def typed(arr):
@@ -86,5 +143,7 @@ def unpack_map(s, value_type: str = "double", strip_trailing: bool = True,
 
 def merge_maps(a, b, zero=0.0) -> Column:
     """M7: key-wise sum of two maps; a key on one side keeps its value."""
+    if isinstance(a, str) and isinstance(b, str) and isinstance(zero, float):
+        return F.expr(merge_maps_sql(ident(a), ident(b), f"{zero!r}D"))
     z = F.lit(zero)
     return F.map_zip_with(_c(a), _c(b), lambda k, x, y: F.coalesce(x, z) + F.coalesce(y, z))

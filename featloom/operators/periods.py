@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featloom.functions.dates import period_of
-from featloom.functions.mapstr import pack_entries
+from featloom.functions.mapstr import pack_entries, pack_entries_sql
 from featloom.functions.numeric import clamp_zero, safe_ratio
 from featloom.schemas import (CLICK_METRICS, DEFAULT_PERIODS, LOAN_METRICS, ORDER_METRICS,
                               USER_COLUMNS, period_columns)
@@ -32,6 +32,15 @@ def _packed(sel: Column, key: Column, value: Column) -> Column:
     return pack_entries(F.collect_list(F.when(sel, F.struct(key.alias("key"), value.alias("value")))))
 
 
+def _packed_sql(sel: str, key: str, value: str) -> str:
+    """SQL-text form of ``_packed`` (one JVM parse instead of many calls)."""
+    return pack_entries_sql(f"collect_list(CASE WHEN {sel} THEN named_struct('key', {key}, 'value', {value}) END)")
+
+
+def _sum_sql(sel: str, value: str, zero: str = "0") -> str:
+    return f"coalesce(sum(CASE WHEN {sel} THEN {value} END), {zero})"
+
+
 def click_features(clicks: DataFrame, periods: Sequence[int] = DEFAULT_PERIODS, period="month",
                    ts_col: str = "click_time") -> DataFrame:
     """A3-A6 per user: click count and three packed count maps per period.
@@ -47,15 +56,15 @@ def click_features(clicks: DataFrame, periods: Sequence[int] = DEFAULT_PERIODS,
     keys = ["uid", "period", "pid", "param"]
     fine = base.groupingSets([keys, ["uid", "period", "pid"], ["uid", "period", "param"]], *keys).agg(
         F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid"))
-    pair = F.concat_ws("_", F.col("pid").cast("string"), F.col("param").cast("string"))
+    pair = "concat_ws('_', cast(pid AS string), cast(param AS string))"
     aggs = []
     for p in periods:
-        at = F.col("period") == p
+        at = f"period = {p}"
         aggs += [
-            F.coalesce(F.sum(F.when(at & (F.col("gid") == 1), F.col("n"))), F.lit(0).cast("long")).alias(f"clickNum{p}"),
-            _packed(at & (F.col("gid") == 1), F.col("pid").cast("string"), F.col("n")).alias(f"clickPage{p}"),
-            _packed(at & (F.col("gid") == 0), pair, F.col("n")).alias(f"clickPageParam{p}"),
-            _packed(at & (F.col("gid") == 2), F.col("param").cast("string"), F.col("n")).alias(f"clickParam{p}"),
+            F.expr(_sum_sql(f"{at} AND gid = 1", "n", "0L")).alias(f"clickNum{p}"),
+            F.expr(_packed_sql(f"{at} AND gid = 1", "cast(pid AS string)", "n")).alias(f"clickPage{p}"),
+            F.expr(_packed_sql(f"{at} AND gid = 0", pair, "n")).alias(f"clickPageParam{p}"),
+            F.expr(_packed_sql(f"{at} AND gid = 2", "cast(param AS string)", "n")).alias(f"clickParam{p}"),
         ]
     out = fine.groupBy("uid").agg(*aggs)
     cols = ["uid"] + [c for m in CLICK_METRICS for c in period_columns(m, periods)]
@@ -96,22 +105,18 @@ def order_features(orders: DataFrame, periods: Sequence[int] = DEFAULT_PERIODS,
     fine = order_period_stats(orders, periods, period, date_col)
     aggs = []
     for p in periods:
-        sel = F.col("period") == p
+        at = f"period = {p}"
         aggs += [
-            F.coalesce(F.sum(F.when(sel, F.col("n"))), F.lit(0).cast("long")).alias(f"orderNum{p}"),
-            F.coalesce(F.sum(F.when(sel, F.col("amount"))), F.lit(0)).alias(f"orderAmount{p}"),
-            F.coalesce(F.sum(F.when(sel, F.col("discount"))), F.lit(0)).alias(f"discountAmount{p}"),
-            _packed(sel, F.col("cate_id").cast("string"), F.col("amount")).alias(f"amountByCateId{p}"),
+            F.expr(_sum_sql(at, "n", "0L")).alias(f"orderNum{p}"),
+            F.expr(_sum_sql(at, "amount")).alias(f"orderAmount{p}"),
+            F.expr(_sum_sql(at, "discount")).alias(f"discountAmount{p}"),
+            F.expr(_packed_sql(at, "cast(cate_id AS string)", "amount")).alias(f"amountByCateId{p}"),
         ]
     per_user = fine.groupBy("uid").agg(*aggs)
-    for p in periods:
-        per_user = per_user.withColumn(
-            f"avgDiscount{p}",
-            F.when(F.col(f"orderNum{p}") > 0,
-                   F.col(f"discountAmount{p}").cast("double") / F.col(f"orderNum{p}"))
-            .otherwise(F.lit(0.0)))
+    avg = {f"avgDiscount{p}": F.expr(f"CASE WHEN orderNum{p} > 0 THEN cast(discountAmount{p} AS double) / orderNum{p} "
+                                     f"ELSE 0D END") for p in periods}
     cols = ["uid"] + [c for m in ORDER_METRICS for c in period_columns(m, periods)]
-    return per_user.select(*cols)
+    return per_user.select(*[avg[c].alias(c) if c in avg else F.col(c) for c in cols])
 
 
 def loan_features(loans: DataFrame, periods: Sequence[int] = DEFAULT_PERIODS, period="month",
@@ -131,29 +136,34 @@ def loan_features(loans: DataFrame, periods: Sequence[int] = DEFAULT_PERIODS, pe
             .where(F.col("period").isin(periods)))
     aggs = []
     for p in periods:
-        sel = F.col("period") == p
+        at = f"period = {p}"
         aggs += [
-            F.count(F.when(sel, F.lit(1))).alias(f"loanNum{p}"),
-            F.coalesce(F.sum(F.when(sel, F.col("loan_amount"))), F.lit(0)).alias(f"loanAmount{p}"),
-            F.coalesce(F.sum(F.when(sel, F.col("q"))), F.lit(0)).alias(f"_q{p}"),
+            F.expr(f"count(CASE WHEN {at} THEN 1 END)").alias(f"loanNum{p}"),
+            F.expr(_sum_sql(at, "loan_amount")).alias(f"loanAmount{p}"),
+            F.expr(_sum_sql(at, "q")).alias(f"_q{p}"),
         ]
     per_user = base.groupBy("uid").agg(*aggs)
-    for p in periods:
-        per_user = per_user.withColumn(
-            f"avgLoanPerPlan{p}",
-            F.when(F.col(f"loanNum{p}") > 0, F.col(f"_q{p}").cast("double") / F.col(f"loanNum{p}"))
-            .otherwise(F.lit(0.0)))
+    avg = {f"avgLoanPerPlan{p}": F.expr(f"CASE WHEN loanNum{p} > 0 THEN cast(_q{p} AS double) / loanNum{p} ELSE 0D END")
+           for p in periods}
     cols = ["uid"] + [c for m in LOAN_METRICS for c in period_columns(m, periods)]
-    return per_user.select(*cols)
+    return per_user.select(*[avg[c].alias(c) if c in avg else F.col(c) for c in cols])
 
 
-def metric_default(metric: str) -> Column:
+def metric_default_sql(metric: str) -> str:
     """R1 defaults of an absent period: ``0`` counts, ``0`` sums, ``""`` maps."""
     if metric in ("clickPage", "clickPageParam", "clickParam", "amountByCateId"):
-        return F.lit("")
+        return "''"
     if metric.startswith("avg"):
-        return F.lit(0.0)
-    return F.lit(0)
+        return "0D"
+    return "0"
+
+
+def metric_default(metric: str) -> Column:
+    return F.expr(metric_default_sql(metric))
+
+
+def _filled(c: str, metric: str) -> Column:
+    return F.expr(f"coalesce(`{c}`, {metric_default_sql(metric)})").alias(c)
 
 
 def densify(users: DataFrame, features: DataFrame, metrics: Sequence[str],
@@ -164,7 +174,7 @@ def densify(users: DataFrame, features: DataFrame, metrics: Sequence[str],
     out = [F.col(c) for c in users.columns]
     for m in metrics:
         for c in period_columns(m, periods):
-            out.append(F.coalesce(F.col(c), metric_default(m)).alias(c))
+            out.append(_filled(c, m))
     extra = [c for c in cols if not any(c in period_columns(m, periods) for m in metrics)]
     return j.select(*out, *[F.col(c) for c in extra])
 
@@ -191,7 +201,7 @@ def wide_features(users: DataFrame, clicks: DataFrame, orders: DataFrame, loans:
         loan_sum = F.lit(0.0).alias("loanSum")
     out = [F.col(c) for c in USER_COLUMNS]
     for m in CLICK_METRICS + ORDER_METRICS + LOAN_METRICS:
-        out += [F.coalesce(F.col(c), metric_default(m)).alias(c) for c in period_columns(m, periods)]
+        out += [_filled(c, m) for c in period_columns(m, periods)]
     return j.select(*out, loan_sum)
 
 
