@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from featloom.functions.mapstr import merge_maps, pack_map, unpack_map
+from featloom.functions.mapstr import map_entries_text, merge_maps, pack_entries, pack_map, unpack_map
 from featloom.schemas import DEFAULT_LATEST, TRAILING_MAPS, TRAILING_NUMERIC, latest_name
 
 
@@ -75,6 +75,46 @@ def latest_map(wide: DataFrame, metrics: Sequence[str] = TRAILING_MAPS,
     return staged.select(*base, *out)
 
 
+def latest_map_long(long_df: DataFrame, map_col: str, key: str = "uid", period: str = "period",
+                    order: Sequence[int] = DEFAULT_LATEST) -> DataFrame:
+    """W2 (long form): packed maps per ``(key, period)`` rows -> ``key, n, latest``.
+
+    ``latest`` for ``n`` is the key-wise sum of the ``n`` newest periods'
+    maps, packed sorted by map key; every ``n`` is typed (doubles), and an
+    ``n`` is present when any of its periods has a row.  Entries are
+    exploded and summed per ``(key, map key)`` with one conditional sum per
+    ``n``, so the shuffle is map-side combined and no group is collected
+    whole.
+    """
+    order = list(order)
+    rank = F.array_position(F.array(*[F.lit(p) for p in order]), F.col(period))
+    # Parse in the row (last duplicate wins, malformed entries dropped), then
+    # one row per (key, period, map key).
+    ents = (long_df.where(F.col(period).isin(order))
+            .select(key, rank.alias("_rank"), F.explode(unpack_map(map_col)).alias("_k", "_v")))
+    n_max = len(order)
+    by_rank = ents.groupBy(key, "_k").agg(
+        *[F.max(F.when(F.col("_rank") == r, F.col("_v"))).alias(f"_v{r}") for r in range(1, n_max + 1)])
+    # Sums run newest first, in a fixed order, like the wide form.
+    sums, acc, seen = [], None, None
+    for r in range(1, n_max + 1):
+        v = F.coalesce(F.col(f"_v{r}"), F.lit(0.0))
+        acc = v if acc is None else acc + v
+        seen = F.col(f"_v{r}").isNotNull() if seen is None else (seen | F.col(f"_v{r}").isNotNull())
+        sums.append(F.when(seen, acc).alias(f"_s{r}"))
+    sums = by_rank.select(key, "_k", *sums)
+    stacked = sums.select(key, F.inline(F.array(*[
+        F.struct(F.lit(n).alias("n"), F.col("_k").alias("_mk"), F.col(f"_s{n}").alias("_mv"))
+        for n in range(1, len(order) + 1)]))).where(F.col("_mv").isNotNull())
+    present = (long_df.where(F.col(period).isin(order)).select(key, rank.alias("_rank"))
+               .groupBy(key).agg(F.min("_rank").alias("_first")))
+    ns = present.select(key, F.explode(F.sequence(F.col("_first"), F.lit(len(order)))).alias("n"))
+    packed = stacked.groupBy(key, "n").agg(
+        pack_entries(F.collect_list(F.struct(F.col("_mk").alias("key"), F.col("_mv").alias("value")))).alias("latest"))
+    return (ns.join(packed, [key, "n"], "left")
+            .select(key, "n", F.coalesce("latest", F.lit("")).alias("latest")))
+
+
 def latest_columns(metrics_numeric=TRAILING_NUMERIC, metrics_map=TRAILING_MAPS,
                    order: Sequence[int] = DEFAULT_LATEST) -> list[str]:
     """K6: names of the trailing columns in output order."""

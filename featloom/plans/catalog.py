@@ -85,6 +85,11 @@ def latest_map(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("uid", *[c for c in out.columns if "Latest" in c])
 
 
+def latest_map_long(spark: SparkSession, sf: str) -> DataFrame:
+    long_df = per.order_amount_by_category(t.orders(spark, sf), DEFAULT_PERIODS)
+    return lat.latest_map_long(long_df, "amountByCateId", order=(10, 9, 8))
+
+
 def trailing_feature_line(spark: SparkSession, sf: str) -> DataFrame:
     w = lat.latest_map(lat.latest_numeric(_wide(spark, sf)))
     return w.select("uid", smp.trailing_line(w).alias("line"))
@@ -273,6 +278,7 @@ QUERIES = {
     "loan_label_month": loan_label_month,
     "latest_numeric": latest_numeric,
     "latest_map": latest_map,
+    "latest_map_long": latest_map_long,
     "sample_by_month": sample_by_month,
     "sample_nov": sample_nov,
     "sample_dec": sample_dec,
@@ -309,6 +315,7 @@ def oracle_sql() -> dict[str, str]:
         "loan_label_month": o.loan_label_month(11),
         "latest_numeric": o.latest_numeric(),
         "latest_map": o.latest_map(),
+        "latest_map_long": o.latest_map_long(),
         "sample_by_month": o.sample_by_month(),
         "sample_nov": o.sample_nov(),
         "sample_dec": o.sample_dec(),

@@ -267,6 +267,28 @@ SELECT wide.uid, {', '.join(_latest_map_cols())}
 FROM wide LEFT JOIN mpack ON wide.uid = mpack.uid GROUP BY ALL"""
 
 
+def latest_map_long(order=DEFAULT_LATEST) -> str:
+    r1, r2, r3 = order
+    return _with(*order_cte(DEFAULT_PERIODS), f"""lm AS (SELECT uid, CASE p WHEN {r1} THEN 1 WHEN {r2} THEN 2 WHEN {r3} THEN 3 END AS r, cat
+            FROM order_p WHERE p IN ({r1}, {r2}, {r3}))""",
+        """le AS (SELECT uid, r, kv[1] AS k, CAST(kv[2] AS DOUBLE) AS v FROM (
+            SELECT uid, r, string_split(regexp_replace(e, ':+$', ''), ':') AS kv
+            FROM (SELECT uid, r, unnest(string_split(cat, ';')) AS e FROM lm)) WHERE len(kv) = 2)""",
+        """lk AS (SELECT uid, k, max(CASE WHEN r = 1 THEN v END) AS v1, max(CASE WHEN r = 2 THEN v END) AS v2,
+            max(CASE WHEN r = 3 THEN v END) AS v3 FROM le GROUP BY uid, k)""",
+        """ls AS (SELECT uid, k, 1 AS n, CASE WHEN v1 IS NOT NULL THEN coalesce(v1, 0.0) END AS s FROM lk
+            UNION ALL SELECT uid, k, 2, CASE WHEN v1 IS NOT NULL OR v2 IS NOT NULL
+                THEN coalesce(v1, 0.0) + coalesce(v2, 0.0) END FROM lk
+            UNION ALL SELECT uid, k, 3, CASE WHEN v1 IS NOT NULL OR v2 IS NOT NULL OR v3 IS NOT NULL
+                THEN (coalesce(v1, 0.0) + coalesce(v2, 0.0)) + coalesce(v3, 0.0) END FROM lk)""",
+        """lp AS (SELECT uid, n, string_agg(k || ':' || CAST(s AS VARCHAR), ';' ORDER BY k) AS latest
+            FROM ls WHERE s IS NOT NULL GROUP BY uid, n)""",
+        """lf AS (SELECT uid, min(r) AS f FROM lm GROUP BY uid)""",
+        """lnn AS (SELECT uid, n FROM lf, (VALUES (1), (2), (3)) AS t(n) WHERE n >= f)""",
+    ) + """
+SELECT lnn.uid, lnn.n, coalesce(lp.latest, '') AS latest FROM lnn LEFT JOIN lp ON lnn.uid = lp.uid AND lnn.n = lp.n"""
+
+
 def trailing_feature_line() -> str:
     num = _latest_numeric_exprs()
     num_names = [e.rsplit(" AS ", 1)[1] for e in num]

@@ -57,3 +57,21 @@ def test_attach_merge_combine(spark):
     att = lat.attach_column(x, y, "k", ["v"], order_by_key=True) if False else \
         lat.attach_column(x, y.withColumnRenamed("v", "w"), "k", ["w"], order_by_key=True)
     assert [(r.k, r.w) for r in att.collect()] == [(1, 5.0)]
+
+
+def test_map_long_form_matches_wide(spark):
+    from golden import GOLDEN
+    pages = GOLDEN["clickPage"]
+    long_df = spark.createDataFrame([(38926, p, s) for p, s in zip((8, 9, 10, 11), pages)],
+                                    "uid long, period int, m string")
+    got = {r.n: r.latest for r in lat.latest_map_long(long_df, "m").collect()}
+    assert got[2] == "1:8.0;10:38.0;7:2.0;9:3.0"
+    assert got[3] == "1:28.0;10:77.0;7:3.0;9:6.0"
+    assert got[1] == "1:6.0;10:13.0;7:1.0;9:3.0"  # typed, unlike the wide form's verbatim n=1
+
+
+def test_map_long_form_duplicates_and_gaps(spark):
+    long_df = spark.createDataFrame([(1, 9, "a:1;a:4;b:"), (2, 8, "z:2")], "uid long, period int, m string")
+    got = {(r.uid, r.n): r.latest for r in lat.latest_map_long(long_df, "m").collect()}
+    # uid 1 has nothing in period 10: n=1 absent; the duplicate a keeps its last value; "b:" is malformed
+    assert got == {(1, 2): "a:4.0", (1, 3): "a:4.0", (2, 3): "z:2.0"}
