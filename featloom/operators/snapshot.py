@@ -75,6 +75,25 @@ def snapshot(users: DataFrame, clicks: DataFrame, orders: DataFrame, loans: Data
     return s.select(snap_id.alias("id"), "*")
 
 
+def snapshot_records(df: DataFrame, ts_col: str, months: Sequence[int] = (9, 10, 11),
+                     run_id: int | str = 0) -> DataFrame:
+    """J1-J3 + U1 in flat form: each behaviour row once per snapshot it precedes.
+
+    The reference nests these rows into per-user arrays; here the same
+    content is a flat child table keyed by ``(id, uid, snapshot_month)``
+    (``id`` as in P1), produced by a narrow ``explode`` of the qualifying
+    months -- no join, no shuffle, no per-user collection.  Write it with
+    ``sinks.write_parquet(.., partition_by="snapshot_month")`` (K4).
+    """
+    months = sorted(months)
+    m_of = F.month(F.col(ts_col))
+    later = F.filter(F.array(*[F.lit(m) for m in months]), lambda m: m > m_of)
+    out = df.select("*", F.explode(later).alias("snapshot_month"))
+    snap_id = F.concat_ws("_", F.col("uid").cast("string"), F.col("snapshot_month").cast("string"),
+                          F.lit(str(run_id)))
+    return out.select(snap_id.alias("id"), "*")
+
+
 def loan_label(users: DataFrame, loans: DataFrame, month: int) -> DataFrame:
     """A2 + F3 + J4: each user's loan total in month ``month`` (0 when none)."""
     sums = (loans.where(F.month("loan_time") == month)

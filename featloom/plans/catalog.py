@@ -8,6 +8,7 @@ stay exact.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,6 +132,14 @@ def user_snapshot_union(spark: SparkSession, sf: str) -> DataFrame:
     return _snapshot_out(s)
 
 
+def snapshot_order_records(spark: SparkSession, sf: str) -> DataFrame:
+    o = t.orders(spark, sf).select("uid", "buy_date", "price", "number", "cate_id", "discount")
+    r = snp.snapshot_records(o, "buy_date", [9, 10, 11], run_id=0)
+    return _doubles(r, ["price", "discount"]).select(
+        "id", "uid", F.col("snapshot_month").cast("int").alias("snapshot_month"), "buy_date", "price", "number",
+        "cate_id", "discount")
+
+
 def assembled_users(spark: SparkSession, sf: str) -> DataFrame:
     a = snp.assemble_counts(t.users(spark, sf), t.clicks(spark, sf), t.orders(spark, sf), t.loans(spark, sf),
                             t.loan_sums(spark, sf))
@@ -207,8 +216,14 @@ def rmse_zero_baseline(spark: SparkSession, sf: str) -> DataFrame:
 def linreg_single_feature(spark: SparkSession, sf: str) -> DataFrame:
     xy = t.orders(spark, sf).select(F.col("number").cast("double").alias("x"),
                                     per.order_amount().cast("double").alias("y"))
-    model = mdl.fit_linear(xy, ["x"], "y")
-    n = xy.count()
+    # The fit makes more than one pass; keep the joined input for its duration
+    # (memory and disk, released right after) instead of re-joining per pass.
+    xy = xy.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = mdl.fit_linear(xy, ["x"], "y")
+        n = xy.count()
+    finally:
+        xy.unpersist()
     return spark.createDataFrame([(n, round(float(model.coefficients[0]), 4), round(float(model.intercept), 4))],
                                  "n long, slope double, intercept double")
 
@@ -273,6 +288,7 @@ QUERIES = {
     "raw_feature_line": raw_feature_line,
     "user_snapshot_counts": user_snapshot_counts,
     "user_snapshot_union": user_snapshot_union,
+    "snapshot_order_records": snapshot_order_records,
     "assembled_users": assembled_users,
     "cutoff_filtered_users": cutoff_filtered_users,
     "loan_label_month": loan_label_month,
@@ -310,6 +326,7 @@ def oracle_sql() -> dict[str, str]:
         "raw_feature_line": o.raw_feature_line(),
         "user_snapshot_counts": o.user_snapshot([10]),
         "user_snapshot_union": o.user_snapshot([9, 10, 11]),
+        "snapshot_order_records": o.snapshot_order_records(),
         "assembled_users": o.assembled_users(),
         "cutoff_filtered_users": o.cutoff_filtered_users(CUTOFF),
         "loan_label_month": o.loan_label_month(11),

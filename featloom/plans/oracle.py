@@ -420,6 +420,14 @@ FROM sc JOIN so ON sc.uid = so.uid AND sc.m = so.m JOIN sl ON sc.uid = sl.uid AN
 JOIN sls ON sc.uid = sls.uid AND sc.m = sls.m"""
 
 
+def snapshot_order_records(months=(9, 10, 11)) -> str:
+    ms = ", ".join(f"({m})" for m in months)
+    return _with(f"snap_months AS (SELECT * FROM (VALUES {ms}) AS t(m))") + """
+SELECT CAST(uid AS VARCHAR) || '_' || CAST(m AS VARCHAR) || '_0' AS id, uid, CAST(m AS INTEGER) AS snapshot_month,
+       buy_date, CAST(price AS DOUBLE) AS price, number, cate_id, CAST(discount AS DOUBLE) AS discount
+FROM buys JOIN snap_months ON month(buy_date) < m"""
+
+
 def assembled_users() -> str:
     return _with(
         "ac AS (SELECT uid, count(*) AS n FROM clicks GROUP BY uid)",

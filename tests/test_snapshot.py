@@ -62,3 +62,21 @@ def test_loan_label(spark):
     users, clicks, orders, loans = frames(spark)
     got = {r.uid: r.loan_sum for r in snp.loan_label(users, loans, 9).collect()}
     assert got == {1: 10.0, 2: 0}
+
+
+def test_snapshot_records_flat_form(spark, scratch):
+    from featloom import sinks
+    from featloom.sources.parquet import load_table
+    users, clicks, orders, loans = frames(spark)
+    recs = snp.snapshot_records(clicks, "click_time", [9, 10, 11], run_id=3)
+    got = sorted((r.snapshot_month, r.click_time.month) for r in recs.collect())
+    # month 8 precedes 9, 10, 11; month 9 precedes 10, 11; month 10 precedes 11; December precedes none
+    assert got == [(9, 8), (10, 8), (10, 9), (11, 8), (11, 9), (11, 10)]
+    assert {r.id for r in recs.where("snapshot_month = 9").collect()} == {"1_9_3"}
+    sinks.write_parquet(recs, f"{scratch}/snap", partition_by="snapshot_month")
+    back = load_table(spark, f"{scratch}/snap")
+    assert back.where("snapshot_month = 11").count() == 3
+    assert sorted(os.listdir(f"{scratch}/snap"))[:3] == ["_SUCCESS", "snapshot_month=10", "snapshot_month=11"]
+
+
+import os  # noqa: E402

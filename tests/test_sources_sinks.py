@@ -64,3 +64,18 @@ def test_sinks(spark, scratch):
     d = spark.createDataFrame([("a", 1), ("b", 2)], "key string, id long")
     sinks.write_dictionary(d, f"{scratch}/idmap")
     assert sorted(r.value for r in spark.read.text(f"{scratch}/idmap").collect()) == ["a:1", "b:2"]
+
+
+def test_typed_parquet_reader(spark, scratch):
+    from featloom.schemas import USER_SCHEMA
+    from featloom.sources.parquet import load_table
+    df = spark.createDataFrame([(1, 30, 1, dt.date(2016, 1, 1), 5.0)], USER_SCHEMA)
+    sinks.write_parquet(df, f"{scratch}/users")
+    back = load_table(spark, f"{scratch}/users", USER_SCHEMA)
+    assert back.schema == USER_SCHEMA and back.count() == 1
+
+
+def test_trailing_schema_names():
+    from featloom.operators.latest import latest_columns
+    names = sinks.trailing_schema(latest_columns(), existing=["uid", "age"])
+    assert names[:3] == ["uid", "age", "clickNum10Latest1Month"] and len(names) == 38
