@@ -38,12 +38,17 @@ def main() -> None:
     names = only or [q for q in catalog.QUERIES if q not in SKIP]
     run_once(spark, catalog.QUERIES["monthly_order_features"], sf)  # warm-up: JVM, codegen caches
     times = {}
+    failed = {}
     for name in names:
-        runs = [run_once(spark, catalog.QUERIES[name], sf) for _ in range(repeats)]
-        times[name] = round(statistics.median(runs), 3)
+        try:
+            runs = [run_once(spark, catalog.QUERIES[name], sf) for _ in range(repeats)]
+            times[name] = round(statistics.median(runs), 3)
+        except Exception as e:  # noqa: BLE001 - one broken query must not hide the others' numbers
+            failed[name] = f"{type(e).__name__}: {str(e)[:200]}"
     sf_label = os.path.basename(sf.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "total_median_query_time", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times, "sf": sf_label, "cpus": cpus, "repeats": repeats}))
+                      "unit": "sec", "queries": times, "sf": sf_label, "cpus": cpus, "repeats": repeats,
+                      **({"failed": failed} if failed else {})}))
     spark.stop()
 
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from featloom.functions.mapstr import map_entries_text, merge_maps, pack_entries, pack_map, unpack_map
+from featloom.functions.mapstr import merge_maps, pack_entries, pack_map, unpack_map
 from featloom.schemas import DEFAULT_LATEST, TRAILING_MAPS, TRAILING_NUMERIC, latest_name
 
 

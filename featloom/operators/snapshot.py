@@ -17,7 +17,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featloom.functions.numeric import clamp_zero
 from featloom.operators.periods import order_amount
 
 

@@ -19,8 +19,7 @@ from featloom.operators import periods as per
 from featloom.operators import samples as smp
 from featloom.operators import snapshot as snp
 from featloom.plans import tables as t
-from featloom.schemas import (DEFAULT_PERIODS, LOAN_METRICS, ORDER_METRICS, CLICK_METRICS,
-                              period_columns)
+from featloom.schemas import CLICK_METRICS, DEFAULT_PERIODS, LOAN_METRICS, period_columns
 from featloom.sources.text import parse_delimited
 
 WEEKS = (1, 2, 3, 4)
