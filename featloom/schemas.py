@@ -78,3 +78,16 @@ def wide_columns(periods=DEFAULT_PERIODS) -> list[str]:
 
 def latest_name(metric: str, period, n: int) -> str:
     return f"{metric}{period}Latest{n}Month"
+
+
+_TEXT_TYPES = {"clickNum": "long", "orderNum": "long", "loanNum": "long", "clickPage": "string",
+               "clickPageParam": "string", "clickParam": "string", "amountByCateId": "string"}
+
+
+def wide_text_schema(periods=DEFAULT_PERIODS) -> str:
+    """DDL of the wide row's text form (P2), for reading it back by name."""
+    cols = ["uid long", "age int", "sex int", "active_date string", "limit double"]
+    for m in WIDE_METRICS:
+        cols += [f"{c} {_TEXT_TYPES.get(m, 'double')}" for c in period_columns(m, periods)]
+    cols.append("loanSum double")
+    return ", ".join(f"`{c.split(' ')[0]}` {c.split(' ')[1]}" for c in cols)

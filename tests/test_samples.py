@@ -42,3 +42,16 @@ def test_raw_line_and_trailing_line(spark):
     full = lat.latest_map(lat.latest_numeric(w))
     tl = full.select(smp.trailing_line(full).alias("l")).first().l.split(",")
     assert len(tl) == 90 and tl[54] == "23.0" and tl[55] == "51.0"
+
+
+def test_wide_text_round_trip(spark):
+    from featloom.schemas import wide_text_schema
+    from featloom.sources.text import parse_delimited
+    w = golden_wide(spark)
+    lines = w.select(smp.raw_line(w).alias("value"))
+    parsed, rejects = parse_delimited(lines, wide_text_schema())
+    assert rejects.count() == 0
+    a = lat.latest_numeric(parsed).first()
+    b = lat.latest_numeric(w).first()
+    assert a["orderAmount8Latest3Month"] == b["orderAmount8Latest3Month"]
+    assert a["clickPage8"] == "7:1;1:20;10:39;9:3" and a["active_date"] == "2016-1"
