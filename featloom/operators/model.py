@@ -51,6 +51,18 @@ def rmse(df: DataFrame, prediction, label) -> DataFrame:
                       .alias("rmse"))
 
 
+def rmse_many(df: DataFrame, label, predictions: dict) -> DataFrame:
+    """A13 for several predictions of the same rows in one pass: ``n, rmse_{name}...``."""
+    lab = F.col(label) if isinstance(label, str) else label
+    sums = []
+    for name, p in predictions.items():
+        d = (F.col(p) if isinstance(p, str) else p) - lab
+        sums.append(F.sum(d * d).alias(f"_sse_{name}"))
+    agg = df.agg(F.count(F.lit(1)).alias("n"), *sums)
+    return agg.select("n", *[F.when(F.col("n") > 0, F.sqrt(F.col(f"_sse_{name}").cast("double") / F.col("n")))
+                             .alias(f"rmse_{name}") for name in predictions])
+
+
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="error").transform(df)

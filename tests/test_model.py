@@ -34,3 +34,10 @@ def test_numeric_user_features(spark):
     df = spark.createDataFrame([(30, 5.0, 1, dt.date(2016, 3, 7))], "age int, limit double, sex int, active_date date")
     r = mdl.numeric_user_features(df).first()
     assert (r.f_year, r.f_month, r.f_day) == (116.0, 2.0, 7.0)
+
+
+def test_rmse_many_one_pass(spark):
+    df = spark.createDataFrame([(1.0, 1.5), (3.0, 2.0)], "l double, p double")
+    r = mdl.rmse_many(df, "l", {"zero": F.lit(0.0), "model": "p"}).first()
+    assert r.n == 2 and r.rmse_zero == pytest.approx(5.0 ** 0.5)
+    assert r.rmse_model == pytest.approx(((0.25 + 1.0) / 2) ** 0.5)
