@@ -32,6 +32,12 @@ def year_month_text(d) -> Column:
     return F.date_format(_c(d), "yyyy-M")
 
 
+def ymd_text(d) -> Column:
+    """``yyyy-M-d`` with unpadded month and day, from integer parts (no formatter)."""
+    c = _c(d)
+    return F.concat_ws("-", F.year(c).cast("string"), F.month(c).cast("string"), F.dayofmonth(c).cast("string"))
+
+
 def parse_date(s, fmt: str = "yyyy-M-d") -> Column:
     """M1: strict date parse (ANSI: a bad value fails the job)."""
     return F.to_date(_c(s), fmt)

@@ -20,6 +20,7 @@ from featloom.operators import samples as smp
 from featloom.operators import snapshot as snp
 from featloom.plans import tables as t
 from featloom.schemas import CLICK_METRICS, DEFAULT_PERIODS, LOAN_METRICS, period_columns
+from featloom.functions.dates import ymd_text
 from featloom.sources.text import parse_delimited
 
 WEEKS = (1, 2, 3, 4)
@@ -182,7 +183,7 @@ ORDER_LINE_SCHEMA = "uid long, buy_date date, price decimal(18,2), number int, c
 def csv_parse_orders(spark: SparkSession, sf: str) -> DataFrame:
     o = t.orders(spark, sf)
     price_txt = F.when((o.order_key + o.line_number) % 10 == 0, F.lit("")).otherwise(o.price.cast("string"))
-    lines = o.select(F.concat_ws(",", o.uid.cast("string"), F.date_format("buy_date", "yyyy-M-d"), price_txt,
+    lines = o.select(F.concat_ws(",", o.uid.cast("string"), ymd_text("buy_date"), price_txt,
                                  o.number.cast("string"), o.cate_id.cast("string"), o.discount.cast("string"))
                      .alias("value"))
     good, _bad = parse_delimited(lines, ORDER_LINE_SCHEMA, defaults={"price": -1}, date_format="yyyy-M-d")

@@ -32,6 +32,12 @@ def _convert(s: Column, dtype: T.DataType, date_format: str, ts_format: str) ->
         return s
     s = F.when(s == "", F.lit(None)).otherwise(s)
     if isinstance(dtype, T.DateType):
+        if date_format in ("yyyy-M-d", "yyyy-MM-dd"):
+            # Integer parts + make_date: strict under ANSI (bad month/day or a
+            # non-number fails the job) and much cheaper than a formatter parse.
+            p = F.split(s, "-", -1)
+            return F.when(F.size(p) == 3, F.make_date(p[0].cast("int"), p[1].cast("int"), p[2].cast("int"))) \
+                .otherwise(F.to_date(s, date_format))
         return F.to_date(s, date_format)
     if isinstance(dtype, T.TimestampNTZType):
         return F.to_timestamp_ntz(s, F.lit(ts_format))
@@ -52,11 +58,13 @@ def parse_delimited(lines: DataFrame, schema, value_col: str = "value", sep: str
     """
     st = _schema(schema)
     defaults = defaults or {}
-    v = F.col(value_col)
-    n = field_count(v, sep)
-    tagged = lines.select(*keep, v.alias("_line"), n.alias("n_fields"))
+    # Split once; the field count and every field read the same array, so
+    # the line (often an expression itself) is evaluated once per row.
+    tagged = (lines.select(*keep, F.col(value_col).alias("_line"))
+              .select(*keep, "_line", F.split(F.col("_line"), re.escape(sep), -1).alias("_parts"))
+              .select(*keep, "_line", "_parts", F.size("_parts").cast("long").alias("n_fields")))
     good = tagged.where(F.col("n_fields") == len(st.fields))
-    parts = F.split(F.col("_line"), re.escape(sep), -1)
+    parts = F.col("_parts")
     cols = []
     for i, f in enumerate(st.fields):
         c = _convert(parts.getItem(i), f.dataType, date_format, ts_format)
