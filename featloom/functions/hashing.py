@@ -48,7 +48,7 @@ def java_hash_bucket_col(value, prefix: str = "", n: int = 1000) -> Column:
         return F.expr(java_hash_bucket_sql("`" + value.replace("`", "``") + "`", start, n))
     v = value.cast("string")
     unsigned = F.aggregate(
-        F.transform(F.split(v, ""), lambda ch: F.ascii(ch).cast("long")),
+        F.transform(F.filter(F.split(v, ""), lambda ch: ch != ""), lambda ch: F.ascii(ch).cast("long")),
         F.lit(start).cast("long"),
         lambda acc, x: (acc * 31 + x) % F.lit(_MASK32))
     signed = F.when(unsigned >= F.lit(1 << 31), unsigned - F.lit(_MASK32)).otherwise(unsigned)
@@ -57,7 +57,8 @@ def java_hash_bucket_col(value, prefix: str = "", n: int = 1000) -> Column:
 
 def java_hash_bucket_sql(value_sql: str, start: int, n: int = 1000) -> str:
     """SQL-text form of the per-row Java-hash bucket (one JVM parse)."""
-    h = (f"aggregate(transform(split(cast({value_sql} AS string), ''), ch -> cast(ascii(ch) AS bigint)), "
+    h = (f"aggregate(transform(filter(split(cast({value_sql} AS string), ''), ch -> ch != ''), "
+         f"ch -> cast(ascii(ch) AS bigint)), "
          f"{start}L, (a, x) -> (a * 31 + x) % {_MASK32}L)")
     return f"abs(CASE WHEN {h} >= {1 << 31}L THEN {h} - {_MASK32}L ELSE {h} END) % {n}"
 

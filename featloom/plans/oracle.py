@@ -305,7 +305,8 @@ def _java_hash(value_sql: str, prefix: str) -> str:
     """abs(Java String.hashCode(prefix || value)) % 1000, folded over characters."""
     from featloom.functions.hashing import java_string_hash
     start = java_string_hash(prefix) % (1 << 32)
-    h = (f"list_reduce(list_transform(string_split(CAST({value_sql} AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT)), "
+    h = (f"list_reduce(list_transform(list_filter(string_split(CAST({value_sql} AS VARCHAR), ''), lambda ch: ch <> ''), "
+         f"lambda ch: CAST(ascii(ch) AS BIGINT)), "
          f"lambda a, x: (a * 31 + x) % 4294967296, CAST({start} AS BIGINT))")
     return f"(abs(CASE WHEN {h} >= 2147483648 THEN {h} - 4294967296 ELSE {h} END) % 1000)"
 
