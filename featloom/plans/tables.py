@@ -64,17 +64,19 @@ def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order line: orders x lineitem x part."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    # Per-order and per-part columns are typed on their own (smaller) sides,
+    # once per order / part, before the join multiplies them by line items.
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_custkey").alias("uid"), F.col("o_orderdate").cast("date").alias("buy_date"))
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity",
                                                  "l_extendedprice", "l_discount")
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_size")
+    p = table(spark, sf_dir, "part").select(
+        "p_partkey", F.col("p_retailprice").cast(MONEY).alias("price"), F.col("p_size").cast("long").alias("cate_id"))
     j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
     return j.select(
-        F.col("o_custkey").alias("uid"),
-        F.col("o_orderdate").cast("date").alias("buy_date"),
-        F.col("p_retailprice").cast(MONEY).alias("price"),
+        "uid", "buy_date", "price",
         F.col("l_quantity").cast("int").alias("number"),
-        F.col("p_size").cast("long").alias("cate_id"),
+        "cate_id",
         (F.col("l_extendedprice").cast(MONEY) * F.col("l_discount").cast(MONEY)).cast("decimal(18,4)").alias("discount"),
         F.col("o_orderkey").alias("order_key"), F.col("l_linenumber").alias("line_number"))
 
