@@ -89,30 +89,26 @@ def latest_map_long(long_df: DataFrame, map_col: str, key: str = "uid", period:
     order = list(order)
     rank = F.array_position(F.array(*[F.lit(p) for p in order]), F.col(period))
     # Parse in the row (last duplicate wins, malformed entries dropped), then
-    # one row per (key, period, map key).
+    # one row per (key, period, map key).  explode_outer keeps a period whose
+    # map is empty as a placeholder (null map key), so the input is read once.
     ents = (long_df.where(F.col(period).isin(order))
-            .select(key, rank.alias("_rank"), F.explode(unpack_map(map_col)).alias("_k", "_v")))
+            .select(key, rank.alias("_rank"), F.explode_outer(unpack_map(map_col)).alias("_k", "_v")))
     n_max = len(order)
     by_rank = ents.groupBy(key, "_k").agg(
+        F.min("_rank").alias("_first"),
         *[F.max(F.when(F.col("_rank") == r, F.col("_v"))).alias(f"_v{r}") for r in range(1, n_max + 1)])
     # Sums run newest first, in a fixed order, like the wide form.
-    sums, acc, seen = [], None, None
+    sums, acc = [], None
     for r in range(1, n_max + 1):
         v = F.coalesce(F.col(f"_v{r}"), F.lit(0.0))
         acc = v if acc is None else acc + v
-        seen = F.col(f"_v{r}").isNotNull() if seen is None else (seen | F.col(f"_v{r}").isNotNull())
-        sums.append(F.when(seen, acc).alias(f"_s{r}"))
-    sums = by_rank.select(key, "_k", *sums)
-    stacked = sums.select(key, F.inline(F.array(*[
-        F.struct(F.lit(n).alias("n"), F.col("_k").alias("_mk"), F.col(f"_s{n}").alias("_mv"))
-        for n in range(1, len(order) + 1)]))).where(F.col("_mv").isNotNull())
-    present = (long_df.where(F.col(period).isin(order)).select(key, rank.alias("_rank"))
-               .groupBy(key).agg(F.min("_rank").alias("_first")))
-    ns = present.select(key, F.explode(F.sequence(F.col("_first"), F.lit(len(order)))).alias("n"))
-    packed = stacked.groupBy(key, "n").agg(
-        pack_entries(F.collect_list(F.struct(F.col("_mk").alias("key"), F.col("_mv").alias("value")))).alias("latest"))
-    return (ns.join(packed, [key, "n"], "left")
-            .select(key, "n", F.coalesce("latest", F.lit("")).alias("latest")))
+        sums.append(F.struct(F.lit(r).alias("n"), F.when(F.col("_k").isNotNull(), acc).alias("_mv")))
+    # One row per (key, map key, n) from the key's first period on; the
+    # placeholder rows make every n with any period present appear.
+    stacked = (by_rank.select(key, F.col("_k").alias("_mk"), "_first", F.inline(F.array(*sums)))
+               .where(F.col("n") >= F.col("_first")))
+    item = F.when(F.col("_mk").isNotNull(), F.struct(F.col("_mk").alias("key"), F.col("_mv").alias("value")))
+    return stacked.groupBy(key, "n").agg(pack_entries(F.collect_list(item)).alias("latest"))
 
 
 def latest_columns(metrics_numeric=TRAILING_NUMERIC, metrics_map=TRAILING_MAPS,
