@@ -46,3 +46,21 @@ def parse_date(s, fmt: str = "yyyy-M-d") -> Column:
 def parse_timestamp(s, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:
     """M1: wall-clock timestamp (``timestamp_ntz``), no session-zone shift."""
     return F.to_timestamp_ntz(_c(s), F.lit(fmt))
+
+
+def period_range(ts_col: str, kind: str, periods) -> Column | None:
+    """A pushable range predicate covering ``periods``, when the kind allows one.
+
+    Year-aware ``year_month`` periods (``yyyy*100+M``) map to
+    ``first_day <= ts < day_after_last``, which reaches the Parquet scan as
+    pushed filters and skips row groups.  Month-of-year and ISO-week periods
+    ignore the year, so no range exists and ``None`` is returned.
+    """
+    import datetime as dt
+    if kind != "year_month" or not periods:
+        return None
+    lo, hi = min(periods), max(periods)
+    start = dt.date(lo // 100, lo % 100, 1)
+    end = dt.date(hi // 100 + (hi % 100 == 12), hi % 100 % 12 + 1, 1)
+    c = F.col(ts_col)
+    return (c >= F.lit(start)) & (c < F.lit(end))

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featloom.functions.dates import period_of
+from featloom.functions.dates import period_of, period_range
 from featloom.functions.mapstr import pack_entries, pack_entries_sql
 from featloom.functions.numeric import clamp_zero, safe_ratio
 from featloom.schemas import (CLICK_METRICS, DEFAULT_PERIODS, LOAN_METRICS, ORDER_METRICS,
@@ -27,6 +27,12 @@ def _period_col(period, ts_col: str) -> Column:
     return period if isinstance(period, Column) else period_of(ts_col, period)
 
 
+def _in_periods(df: DataFrame, period, ts_col: str, periods) -> DataFrame:
+    """Rows of ``periods``; year-aware periods also get a pushable range filter."""
+    rng = None if isinstance(period, Column) else period_range(ts_col, period, list(periods))
+    return df if rng is None else df.where(rng)
+
+
 def _packed(sel: Column, key: Column, value: Column) -> Column:
     """Packed ``key:value`` map of the rows selected by ``sel`` inside a group."""
     return pack_entries(F.collect_list(F.when(sel, F.struct(key.alias("key"), value.alias("value")))))
@@ -49,7 +55,8 @@ def click_features(clicks: DataFrame, periods: Sequence[int] = DEFAULT_PERIODS,
     for users with at least one click in ``periods``; hash-partitioned by uid.
     """
     periods = list(periods)
-    base = (clicks.select("uid", _period_col(period, ts_col).alias("period"), "pid", "param")
+    base = (_in_periods(clicks, period, ts_col, periods)
+            .select("uid", _period_col(period, ts_col).alias("period"), "pid", "param")
             .where(F.col("period").isin(periods)))
     # One scan, one shuffle of map-side partial counts: the three key levels
     # are grouping sets of the same aggregate (gid 0: pid+param, 1: pid, 2: param).
@@ -79,7 +86,8 @@ def order_amount(price="price", number="number", discount="discount") -> Column:
 def order_period_stats(orders: DataFrame, periods: Sequence[int] = DEFAULT_PERIODS, period="month",
                        date_col: str = "buy_date") -> DataFrame:
     """Order aggregates per ``(uid, period, cate_id)``: the finest grain."""
-    base = (orders.select("uid", _period_col(period, date_col).alias("period"), "cate_id",
+    base = (_in_periods(orders, period, date_col, periods)
+            .select("uid", _period_col(period, date_col).alias("period"), "cate_id",
                           order_amount().alias("amount"), "discount")
             .where(F.col("period").isin(list(periods))))
     return base.groupBy("uid", "period", "cate_id").agg(
@@ -132,7 +140,8 @@ def loan_features(loans: DataFrame, periods: Sequence[int] = DEFAULT_PERIODS, pe
     q = safe_ratio(F.col("loan_amount"), F.col("plan_num"))
     if per_plan_type:
         q = q.cast(per_plan_type)
-    base = (loans.select("uid", _period_col(period, ts_col).alias("period"), "loan_amount", q.alias("q"))
+    base = (_in_periods(loans, period, ts_col, periods)
+            .select("uid", _period_col(period, ts_col).alias("period"), "loan_amount", q.alias("q"))
             .where(F.col("period").isin(periods)))
     aggs = []
     for p in periods:

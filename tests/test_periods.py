@@ -73,3 +73,17 @@ def test_decimal_sums_exact(spark):
                                    "uid long, buy_date date, price decimal(18,2), number int, cate_id long, discount decimal(18,4)")
     f = per.order_features(orders).collect()[0]
     assert f.orderAmount8 == Decimal("3.0000")
+
+
+def test_year_aware_periods_push_range(spark, scratch):
+    from featloom.sources.parquet import load_table
+    loans = spark.createDataFrame([(1, T(2016, 8, 1, 0), 10.0, 1), (1, T(2015, 8, 1, 0), 99.0, 1),
+                                   (1, T(2016, 12, 31, 23), 5.0, 1), (1, T(2017, 1, 1, 0), 7.0, 1)],
+                                  "uid long, loan_time timestamp_ntz, loan_amount double, plan_num int")
+    loans.write.parquet(f"{scratch}/loans")
+    df = load_table(spark, f"{scratch}/loans")
+    f = per.loan_features(df, [201608, 201612], period="year_month")
+    r = f.first()
+    assert (r.loanAmount201608, r.loanAmount201612) == (10.0, 5.0)  # 2015-08 and 2017-01 excluded
+    plan = f._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(loan_time" in plan and "LessThan(loan_time" in plan
