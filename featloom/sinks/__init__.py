@@ -38,3 +38,9 @@ def write_dictionary(dictionary: DataFrame, path: str) -> None:
 def trailing_schema(columns, existing: list[str] | None = None) -> list[str]:
     """K6: the output schema is the column list; trailing names are appended."""
     return list(existing or []) + [c for c in columns if c not in (existing or [])]
+
+
+def write_column_names(spark, columns, path: str) -> None:
+    """K6: the column list as a one-file text schema (one name per line, in order)."""
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(columns)], "i int, line string")
+    write_lines(df, path, order_by="i", num_files=1)

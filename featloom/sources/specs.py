@@ -9,16 +9,28 @@ from featloom.operators.encode import FeatureSpec
 from featloom.sources.text import read_lines
 
 
-def read_column_names(path: str) -> list[str]:
+def read_small_text(path: str, spark: SparkSession | None = None) -> list[str]:
+    """Lines of a small spec file, in file order.
+
+    Read through Spark's file-system layer (any Hadoop path: HDFS, object
+    stores) when a session is active; a spec file is a few lines, so the
+    lines are collected.  Without a session, the local file is read.
+    """
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        with open(path, encoding="utf-8") as fh:
+            return fh.read().splitlines()
+    return [r.value for r in read_lines(spark, path).orderBy("line_order").select("value").collect()]
+
+
+def read_column_names(path: str, spark: SparkSession | None = None) -> list[str]:
     """One column per line; the name is the first space-separated token."""
-    with open(path, encoding="utf-8") as fh:
-        return [ln.split(" ")[0].strip() for ln in fh.read().splitlines() if ln.strip()]
+    return [ln.split(" ")[0].strip() for ln in read_small_text(path, spark) if ln.strip()]
 
 
-def read_feature_spec(path: str) -> FeatureSpec:
+def read_feature_spec(path: str, spark: SparkSession | None = None) -> FeatureSpec:
     """Names, exactly one ``label=``, any ``reserve=`` (spaces removed)."""
-    with open(path, encoding="utf-8") as fh:
-        return FeatureSpec.from_lines([ln for ln in fh.read().splitlines() if ln.strip()])
+    return FeatureSpec.from_lines([ln for ln in read_small_text(path, spark) if ln.strip()])
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:

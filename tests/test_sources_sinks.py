@@ -79,3 +79,10 @@ def test_trailing_schema_names():
     from featloom.operators.latest import latest_columns
     names = sinks.trailing_schema(latest_columns(), existing=["uid", "age"])
     assert names[:3] == ["uid", "age", "clickNum10Latest1Month"] and len(names) == 38
+
+
+def test_column_names_round_trip(spark, scratch):
+    from featloom.operators.latest import latest_columns
+    names = sinks.trailing_schema(latest_columns(), existing=["uid", "age"])
+    sinks.write_column_names(spark, names, f"{scratch}/schema_out")
+    assert read_column_names(f"{scratch}/schema_out") == names
