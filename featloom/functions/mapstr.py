@@ -48,7 +48,15 @@ def entries_text_sql(s_sql: str, strip_trailing: bool = True, sep: str = ";", kv
 
 def unpack_map_sql(s_sql: str, value_type: str = "double", strip_trailing: bool = True,
                    sep: str = ";", kv_sep: str = ":") -> str:
-    ents = entries_text_sql(s_sql, strip_trailing, sep, kv_sep)
+    return entries_to_map_sql(entries_text_sql(s_sql, strip_trailing, sep, kv_sep), value_type)
+
+
+def entries_to_map_sql(ents: str, value_type: str = "double") -> str:
+    """``array<struct<key, value string>>`` -> typed map, the last duplicate winning.
+
+    ``ents`` is referenced several times: pass a column reference (staged
+    entries), not a long expression, to keep plans small.
+    """
     typed = lambda a: f"transform({a}, e -> named_struct('key', e.key, 'value', cast(e.value AS {value_type})))"
     srt = (f"array_sort(transform({ents}, (e, i) -> named_struct('key', e.key, 'pos', i, 'value', e.value)))")
     last = (f"filter({srt}, (e, i) -> i = size({srt}) - 1 OR element_at({srt}, i + 2).key != e.key)")

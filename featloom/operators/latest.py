@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from featloom.functions.mapstr import merge_maps, pack_entries, pack_map, unpack_map
+from featloom.functions.mapstr import (entries_text_sql, entries_to_map_sql, ident, merge_maps, pack_entries,
+                                      pack_map)
 from featloom.schemas import DEFAULT_LATEST, TRAILING_MAPS, TRAILING_NUMERIC, latest_name
 
 
@@ -61,8 +62,12 @@ def latest_map(wide: DataFrame, metrics: Sequence[str] = TRAILING_MAPS,
     base = wide.columns
     # Staged projections: each parsed map and running sum is one column that
     # later stages reference, so no map is parsed or merged twice per row.
-    staged = wide.select("*", *[unpack_map(f"{m}{p}").alias(f"_u_{m}_{p}") for m in metrics for p in order[1:]],
-                         *[unpack_map(f"{m}{order[0]}").alias(f"_a_{m}_1") for m in metrics])
+    # Stage 1: split each packed text into entries once; stage 2: typed maps.
+    staged = wide.select("*", *[F.expr(entries_text_sql(ident(f"{m}{p}"))).alias(f"_e_{m}_{p}")
+                                for m in metrics for p in order])
+    staged = staged.select(
+        "*", *[F.expr(entries_to_map_sql(ident(f"_e_{m}_{p}"))).alias(f"_u_{m}_{p}") for m in metrics for p in order[1:]],
+        *[F.expr(entries_to_map_sql(ident(f"_e_{m}_{order[0]}"))).alias(f"_a_{m}_1") for m in metrics])
     for n in range(2, len(order) + 1):
         p = order[n - 1]
         staged = staged.select("*", *[merge_maps(f"_a_{m}_{n - 1}", f"_u_{m}_{p}").alias(f"_a_{m}_{n}")
@@ -92,7 +97,8 @@ def latest_map_long(long_df: DataFrame, map_col: str, key: str = "uid", period:
     # one row per (key, period, map key).  explode_outer keeps a period whose
     # map is empty as a placeholder (null map key), so the input is read once.
     ents = (long_df.where(F.col(period).isin(order))
-            .select(key, rank.alias("_rank"), F.explode_outer(unpack_map(map_col)).alias("_k", "_v")))
+            .select(key, rank.alias("_rank"), F.expr(entries_text_sql(ident(map_col))).alias("_e"))
+            .select(key, "_rank", F.explode_outer(F.expr(entries_to_map_sql("_e"))).alias("_k", "_v")))
     n_max = len(order)
     by_rank = ents.groupBy(key, "_k").agg(
         F.min("_rank").alias("_first"),
@@ -134,7 +140,9 @@ def merge_map_columns(a: DataFrame, b: DataFrame, key: str, col_a: str, col_b: s
                       out: str = "merged") -> DataFrame:
     """Inner join two keyed packed-map columns, merge by key with addition."""
     j = a.select(key, F.col(col_a).alias("_a")).join(b.select(key, F.col(col_b).alias("_b")), key, "inner")
-    return j.select(key, pack_map(merge_maps(unpack_map("_a"), unpack_map("_b"))).alias(out))
+    j = j.select(key, F.expr(entries_text_sql("_a")).alias("_ea"), F.expr(entries_text_sql("_b")).alias("_eb"))
+    merged = merge_maps(F.expr(entries_to_map_sql("_ea")), F.expr(entries_to_map_sql("_eb")))
+    return j.select(key, pack_map(merged).alias(out))
 
 
 def combine_sum(a: DataFrame, b: DataFrame, key: str, value: str, out: str | None = None) -> DataFrame:
