@@ -51,7 +51,7 @@ def java_hash_bucket_col(value, prefix: str = "", n: int = 1000) -> Column:
         F.transform(F.filter(F.split(v, ""), lambda ch: ch != ""), lambda ch: F.ascii(ch).cast("long")),
         F.lit(start).cast("long"),
         lambda acc, x: (acc * 31 + x) % F.lit(_MASK32))
-    signed = F.when(unsigned >= F.lit(1 << 31), unsigned - F.lit(_MASK32)).otherwise(unsigned)
+    signed = (unsigned + F.lit(1 << 31)) % F.lit(_MASK32) - F.lit(1 << 31)
     return F.abs(signed) % F.lit(n)
 
 
@@ -60,7 +60,8 @@ def java_hash_bucket_sql(value_sql: str, start: int, n: int = 1000) -> str:
     h = (f"aggregate(transform(filter(split(cast({value_sql} AS string), ''), ch -> ch != ''), "
          f"ch -> cast(ascii(ch) AS bigint)), "
          f"{start}L, (a, x) -> (a * 31 + x) % {_MASK32}L)")
-    return f"abs(CASE WHEN {h} >= {1 << 31}L THEN {h} - {_MASK32}L ELSE {h} END) % {n}"
+    # signed = ((h + 2^31) mod 2^32) - 2^31 for 0 <= h < 2^32: one reference to the fold.
+    return f"abs((({h}) + {1 << 31}L) % {_MASK32}L - {1 << 31}L) % {n}"
 
 
 def sha1_bucket(s: str, n: int = 1000) -> int:

@@ -308,7 +308,7 @@ def _java_hash(value_sql: str, prefix: str) -> str:
     h = (f"list_reduce(list_transform(list_filter(string_split(CAST({value_sql} AS VARCHAR), ''), lambda ch: ch <> ''), "
          f"lambda ch: CAST(ascii(ch) AS BIGINT)), "
          f"lambda a, x: (a * 31 + x) % 4294967296, CAST({start} AS BIGINT))")
-    return f"(abs(CASE WHEN {h} >= 2147483648 THEN {h} - 4294967296 ELSE {h} END) % 1000)"
+    return f"(abs(({h} + 2147483648) % 4294967296 - 2147483648) % 1000)"
 
 
 def _sha1_bucket(text_sql: str) -> str:
