@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featloom.functions.hashing import sha1_bucket_col
+from featloom.functions.numeric import squared_error
 
 
 def numeric_user_features(users: DataFrame) -> DataFrame:
@@ -45,8 +46,7 @@ def rmse(df: DataFrame, prediction, label) -> DataFrame:
     """
     p = F.col(prediction) if isinstance(prediction, str) else prediction
     lab = F.col(label) if isinstance(label, str) else label
-    d = p - lab
-    agg = df.agg(F.count(F.lit(1)).alias("n"), F.sum(d * d).alias("_sse"))
+    agg = df.agg(F.count(F.lit(1)).alias("n"), F.sum(squared_error(p, lab)).alias("_sse"))
     return agg.select("n", F.when(F.col("n") > 0, F.sqrt(F.col("_sse").cast("double") / F.col("n")))
                       .alias("rmse"))
 

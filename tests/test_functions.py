@@ -83,3 +83,11 @@ def test_dates(spark):
     r = df.select(year_month_text("d").alias("a"), period_of("d", "month").alias("m"),
                   period_of("d", "week").alias("w")).first()
     assert (r.a, r.m, r.w) == ("2016-1", 1, 1)
+
+
+def test_numeric_helpers(spark):
+    from featloom.functions.numeric import clamp_zero, empty_to, safe_ratio, squared_error
+    df = spark.createDataFrame([("", 3.0, 0), ("2.5", -1.0, 2)], "s string, x double, d int")
+    rows = df.select(empty_to("s", "-1").alias("e"), clamp_zero("x").alias("c"), safe_ratio("x", "d").alias("r"),
+                     squared_error("x", F.lit(1.0)).alias("q")).collect()
+    assert [(r.e, r.c, r.r, r.q) for r in rows] == [("-1", 3.0, None, 4.0), ("2.5", 0.0, -0.5, 4.0)]

@@ -41,3 +41,9 @@ def test_rmse_many_one_pass(spark):
     r = mdl.rmse_many(df, "l", {"zero": F.lit(0.0), "model": "p"}).first()
     assert r.n == 2 and r.rmse_zero == pytest.approx(5.0 ** 0.5)
     assert r.rmse_model == pytest.approx(((0.25 + 1.0) / 2) ** 0.5)
+
+
+def test_grid_sweep_small(spark):
+    df = spark.range(0, 60).select(F.col("id").cast("double").alias("x"), (F.col("id") * 2.0).alias("y"))
+    res = mdl.grid_sweep(df, ["x"], "y", step_sizes=(0.3,), depths=(2,), max_iter=3, parallelism=1)
+    assert len(res) == 1 and res[0][1] >= 0

@@ -87,3 +87,11 @@ def test_year_aware_periods_push_range(spark, scratch):
     assert (r.loanAmount201608, r.loanAmount201612) == (10.0, 5.0)  # 2015-08 and 2017-01 excluded
     plan = f._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(loan_time" in plan and "LessThan(loan_time" in plan
+
+
+def test_period_arrays_inverse_of_flatten(spark):
+    orders = spark.createDataFrame([(1, D(2016, 9, 3), 2.0, 1, 5, 0.0)],
+                                   "uid long, buy_date date, price double, number int, cate_id long, discount double")
+    of = per.order_features(orders)
+    arr = per.period_arrays(of, ["orderNum", "orderAmount"], keep=("uid",)).first()
+    assert list(arr.orderNum) == [0, 1, 0, 0] and list(arr.orderAmount) == [0.0, 2.0, 0.0, 0.0]
