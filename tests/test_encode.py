@@ -69,3 +69,12 @@ def test_spec_file(scratch):
     with open(path, "w") as fh:
         fh.write("\n".join(SCHEMA_LINES) + "\n")
     assert read_feature_spec(path).columns == ["col_1", "col_d", "col1_d", "col_m"]
+
+
+def test_encode_without_broadcast_matches(spark, monkeypatch):
+    spec = enc.FeatureSpec.from_lines(SCHEMA_LINES)
+    d = enc.build_dictionary(enc.feature_entries(rows(spark), spec))
+    want = {r.row_id: r.line for r in enc.encode_lines(rows(spark), spec, d).collect()}
+    monkeypatch.setattr(enc, "BROADCAST_MAX_KEYS", 0)  # force the shuffle-join path
+    got = {r.row_id: r.line for r in enc.encode_lines(rows(spark), spec, d).collect()}
+    assert got == want
