@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from featloom.functions.dates import period_of, period_range
@@ -38,9 +38,13 @@ def _packed(sel: Column, key: Column, value: Column) -> Column:
     return pack_entries(F.collect_list(F.when(sel, F.struct(key.alias("key"), value.alias("value")))))
 
 
-def _packed_sql(sel: str, key: str, value: str) -> str:
-    """SQL-text form of ``_packed`` (one JVM parse instead of many calls)."""
-    return pack_entries_sql(f"collect_list(CASE WHEN {sel} THEN named_struct('key', {key}, 'value', {value}) END)")
+def _packed_sql(sel: str, key: str, value: str, agg: str = "collect_list") -> str:
+    """SQL-text form of ``_packed`` (one JVM parse instead of many calls).
+
+    ``collect_set`` de-duplicates rows that repeat a (key, value) pair, e.g.
+    a page total carried by every param row of that page.
+    """
+    return pack_entries_sql(f"{agg}(CASE WHEN {sel} THEN named_struct('key', {key}, 'value', {value}) END)")
 
 
 def _sum_sql(sel: str, value: str, zero: str = "0") -> str:
@@ -58,20 +62,26 @@ def click_features(clicks: DataFrame, periods: Sequence[int] = DEFAULT_PERIODS,
     base = (_in_periods(clicks, period, ts_col, periods)
             .select("uid", _period_col(period, ts_col).alias("period"), "pid", "param")
             .where(F.col("period").isin(periods)))
-    # One scan, one shuffle of map-side partial counts: the three key levels
-    # are grouping sets of the same aggregate (gid 0: pid+param, 1: pid, 2: param).
+    # One scan and one shuffle of raw rows (map-side partial counts at the
+    # finest key), then one small shuffle re-keying those counts by uid.  The
+    # per-page and per-param totals are window sums inside the uid partitions
+    # (uid partitioning satisfies both windows and the final aggregate), so
+    # raw rows are hashed once and no further exchange is planned.
     keys = ["uid", "period", "pid", "param"]
-    fine = base.groupingSets([keys, ["uid", "period", "pid"], ["uid", "period", "param"]], *keys).agg(
-        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid"))
+    fine = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).repartition("uid")
+    fine = fine.select(
+        *keys, "n",
+        F.sum("n").over(Window.partitionBy("uid", "period", "pid")).alias("n_page"),
+        F.sum("n").over(Window.partitionBy("uid", "period", "param")).alias("n_param"))
     pair = "concat_ws('_', cast(pid AS string), cast(param AS string))"
     aggs = []
     for p in periods:
         at = f"period = {p}"
         aggs += [
-            F.expr(_sum_sql(f"{at} AND gid = 1", "n", "0L")).alias(f"clickNum{p}"),
-            F.expr(_packed_sql(f"{at} AND gid = 1", "cast(pid AS string)", "n")).alias(f"clickPage{p}"),
-            F.expr(_packed_sql(f"{at} AND gid = 0", pair, "n")).alias(f"clickPageParam{p}"),
-            F.expr(_packed_sql(f"{at} AND gid = 2", "cast(param AS string)", "n")).alias(f"clickParam{p}"),
+            F.expr(_sum_sql(at, "n", "0L")).alias(f"clickNum{p}"),
+            F.expr(_packed_sql(at, "cast(pid AS string)", "n_page", agg="collect_set")).alias(f"clickPage{p}"),
+            F.expr(_packed_sql(at, pair, "n")).alias(f"clickPageParam{p}"),
+            F.expr(_packed_sql(at, "cast(param AS string)", "n_param", agg="collect_set")).alias(f"clickParam{p}"),
         ]
     out = fine.groupBy("uid").agg(*aggs)
     cols = ["uid"] + [c for m in CLICK_METRICS for c in period_columns(m, periods)]
