@@ -13,6 +13,10 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.sql.ansi.enabled": "true",
+    # PySpark otherwise captures the Python call stack on every Column/function
+    # call for error messages; plans with hundreds of expressions pay seconds
+    # of driver time for it.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
