@@ -125,7 +125,7 @@ def fanout_text(spark: SparkSession, rows_path: str, out_path: str) -> DataFrame
 
 
 def encode_text(spark: SparkSession, data_path: str, schema_path: str, out_dir: str,
-                existing_idmap: str | None = None, sep: str = ",") -> dict:
+                existing_idmap: str | None = None, sep: str = ",", existing_format: str = "text") -> dict:
     """The encoder job: rows + schema file (+ optional id dictionary) ->
     encoded lines (file order kept) and the grown dictionary."""
     spec = read_feature_spec(schema_path)
@@ -133,13 +133,16 @@ def encode_text(spark: SparkSession, data_path: str, schema_path: str, out_dir:
     ddl = ", ".join(f"`{c}` string" for c in spec.columns)
     rows, rejects = parse_delimited(lines, ddl, keep=["line_order"], sep=sep)
     entries = enc.feature_entries(rows, spec, row_id="line_order")
-    existing = read_dictionary(spark, existing_idmap) if existing_idmap else None
+    existing = None
+    if existing_idmap:  # the key:id text form, or the lossless Parquet form
+        existing = (load_table(spark, existing_idmap) if existing_format == "parquet"
+                    else read_dictionary(spark, existing_idmap))
     dictionary = enc.build_dictionary(entries, row_id="line_order", existing=existing)
     encoded = enc.encode_lines(rows, spec, dictionary, row_id="line_order")
     paths = {"lines": f"{out_dir.rstrip('/')}/lines", "idmap": f"{out_dir.rstrip('/')}/idmap",
-             "rejects": f"{out_dir.rstrip('/')}/rejects"}
+             "idmap_parquet": f"{out_dir.rstrip('/')}/idmap_parquet", "rejects": f"{out_dir.rstrip('/')}/rejects"}
     sinks.write_lines(encoded, paths["lines"], order_by="line_order")
-    sinks.write_dictionary(dictionary, paths["idmap"])
+    sinks.write_dictionary(dictionary, paths["idmap"], paths["idmap_parquet"])
     sinks.write_lines(rejects.select(F.col("value").alias("line")), paths["rejects"])
     return paths
 

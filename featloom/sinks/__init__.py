@@ -30,9 +30,15 @@ def write_lines(df: DataFrame, path: str, col: str = "line", order_by=None, num_
     out.write.mode("overwrite").text(path)
 
 
-def write_dictionary(dictionary: DataFrame, path: str) -> None:
-    """K5: ``key:id`` lines."""
+def write_dictionary(dictionary: DataFrame, path: str, parquet_path: str | None = None) -> None:
+    """K5: ``key:id`` lines; optionally also the Parquet form.
+
+    A key that itself contains ``:`` cannot be read back from the text form
+    (SURVEY D18); the Parquet form keeps every key and is the one to reload.
+    """
     write_lines(dictionary.select(F.concat_ws(":", "key", F.col("id").cast("string")).alias("line")), path)
+    if parquet_path:
+        write_parquet(dictionary.select("key", F.col("id").cast("long")), parquet_path)
 
 
 def trailing_schema(columns, existing: list[str] | None = None) -> list[str]:

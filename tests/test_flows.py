@@ -104,3 +104,19 @@ def test_train_and_score(spark, csv_tables):
     r = flows.train_and_score(spark, f"{d}/tables")
     assert r["n_validation"] > 0 and r["rmse_zero"] >= 0 and r["rmse_model"] >= 0
     assert len(r["coefficients"]) == 6
+
+
+def test_encode_job_reuses_parquet_dictionary_with_colon_keys(spark, scratch):
+    with open(f"{scratch}/data", "w") as fh:
+        fh.write("1,a:b,x:1\n2,c,y:2\n")
+    with open(f"{scratch}/schema", "w") as fh:
+        fh.write("lab\nv_d\nm_m\nlabel=lab\n")
+    first = flows.encode_text(spark, f"{scratch}/data", f"{scratch}/schema", f"{scratch}/enc1")
+    ids = {r.key: r.id for r in spark.read.parquet(first["idmap_parquet"]).collect()}
+    assert "v_d_a:b" in ids  # survives in the Parquet form
+    with open(f"{scratch}/data2", "w") as fh:
+        fh.write("3,a:b,z:5\n")
+    second = flows.encode_text(spark, f"{scratch}/data2", f"{scratch}/schema", f"{scratch}/enc2",
+                               existing_idmap=first["idmap_parquet"], existing_format="parquet")
+    line = spark.read.text(second["lines"]).first().value
+    assert line == f"3 {ids['v_d_a:b']}:1 {max(ids.values()) + 1}:5#"

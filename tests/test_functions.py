@@ -91,3 +91,10 @@ def test_numeric_helpers(spark):
     rows = df.select(empty_to("s", "-1").alias("e"), clamp_zero("x").alias("c"), safe_ratio("x", "d").alias("r"),
                      squared_error("x", F.lit(1.0)).alias("q")).collect()
     assert [(r.e, r.c, r.r, r.q) for r in rows] == [("-1", 3.0, None, 4.0), ("2.5", 0.0, -0.5, 4.0)]
+
+
+def test_non_numeric_map_value_fails(spark):
+    import pytest
+    df = spark.createDataFrame([("a:1;b:x",)], "s string")
+    with pytest.raises(Exception):
+        df.select(unpack_map("s").alias("m")).collect()
