@@ -78,3 +78,9 @@ def test_encode_without_broadcast_matches(spark, monkeypatch):
     monkeypatch.setattr(enc, "BROADCAST_MAX_KEYS", 0)  # force the shuffle-join path
     got = {r.row_id: r.line for r in enc.encode_lines(rows(spark), spec, d).collect()}
     assert got == want
+
+
+def test_checkpoint_dir_comes_from_session(spark):
+    from featloom.session import checkpoint_dir
+    d = checkpoint_dir(spark)
+    assert d and d == spark.sparkContext.getCheckpointDir()
