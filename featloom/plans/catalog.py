@@ -186,7 +186,11 @@ def csv_parse_orders(spark: SparkSession, sf: str) -> DataFrame:
     lines = o.select(F.concat_ws(",", o.uid.cast("string"), ymd_text("buy_date"), price_txt,
                                  o.number.cast("string"), o.cate_id.cast("string"), o.discount.cast("string"))
                      .alias("value"))
-    good, _bad = parse_delimited(lines, ORDER_LINE_SCHEMA, defaults={"price": -1}, date_format="yyyy-M-d")
+    # Spark's CSV parser with the order reader's options (no quoting, strict
+    # yyyy-M-d dates, FAILFAST); an empty price becomes -1 as in the reader.
+    opts = {"dateFormat": "yyyy-M-d", "mode": "FAILFAST", "quote": "\u0000", "nullValue": ""}
+    parsed = lines.select(F.from_csv("value", ORDER_LINE_SCHEMA, opts).alias("r")).select("r.*")
+    good = parsed.withColumn("price", F.coalesce("price", F.lit(-1).cast("decimal(18,2)")))
     out = good.withColumn("amount", per.order_amount())
     return _doubles(out, ["price", "discount", "amount"]).select(
         "uid", "buy_date", "price", "number", "cate_id", "discount", "amount")
