@@ -86,6 +86,15 @@ def latest_map(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("uid", *[c for c in out.columns if "Latest" in c])
 
 
+def latest_numeric_long(spark: SparkSession, sf: str) -> DataFrame:
+    """W1 long form: running order counts over months 10, 9, 8 (window per uid)."""
+    fine = per.order_period_stats(t.orders(spark, sf), DEFAULT_PERIODS)
+    long_df = fine.groupBy("uid", "period").agg(F.sum("n").alias("orders"))
+    out = lat.latest_numeric_long(long_df, ["orders"], order=(10, 9, 8))
+    return out.select("uid", F.col("period").cast("long").alias("period"), F.col("n").cast("int").alias("n"),
+                      "orders_latest")
+
+
 def latest_map_long(spark: SparkSession, sf: str) -> DataFrame:
     long_df = per.order_amount_by_category(t.orders(spark, sf), DEFAULT_PERIODS)
     return lat.latest_map_long(long_df, "amountByCateId", order=(10, 9, 8))
@@ -297,6 +306,7 @@ QUERIES = {
     "loan_label_month": loan_label_month,
     "latest_numeric": latest_numeric,
     "latest_map": latest_map,
+    "latest_numeric_long": latest_numeric_long,
     "latest_map_long": latest_map_long,
     "sample_by_month": sample_by_month,
     "sample_nov": sample_nov,
@@ -335,6 +345,7 @@ def oracle_sql() -> dict[str, str]:
         "loan_label_month": o.loan_label_month(11),
         "latest_numeric": o.latest_numeric(),
         "latest_map": o.latest_map(),
+        "latest_numeric_long": o.latest_numeric_long(),
         "latest_map_long": o.latest_map_long(),
         "sample_by_month": o.sample_by_month(),
         "sample_nov": o.sample_nov(),

@@ -267,6 +267,15 @@ SELECT wide.uid, {', '.join(_latest_map_cols())}
 FROM wide LEFT JOIN mpack ON wide.uid = mpack.uid GROUP BY ALL"""
 
 
+def latest_numeric_long(order=DEFAULT_LATEST) -> str:
+    r1, r2, r3 = order
+    return _with(*order_cte(DEFAULT_PERIODS), f"""rk AS (SELECT uid, p, CASE p WHEN {r1} THEN 1 WHEN {r2} THEN 2
+            WHEN {r3} THEN 3 END AS r, CAST(n AS DOUBLE) AS v FROM order_p WHERE p IN ({r1}, {r2}, {r3}))""") + """
+SELECT uid, CAST(p AS BIGINT) AS period, CAST(r AS INTEGER) AS n,
+       sum(v) OVER (PARTITION BY uid ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS orders_latest
+FROM rk"""
+
+
 def latest_map_long(order=DEFAULT_LATEST) -> str:
     r1, r2, r3 = order
     return _with(*order_cte(DEFAULT_PERIODS), f"""lm AS (SELECT uid, CASE p WHEN {r1} THEN 1 WHEN {r2} THEN 2 WHEN {r3} THEN 3 END AS r, cat
