@@ -101,7 +101,7 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0]:offs[-1]], offs - offs[0]
 
 
-def chunks(batches, max_bytes: int = 4 << 20, col: str = "text"):
+def chunks(batches, max_bytes: int = 2 << 20, col: str = "text"):
     """Slices of the incoming record batches of about ``max_bytes`` of text (one long text stays whole)."""
     for b in batches:
         lens = _lengths(b.column(b.schema.get_field_index(col)))

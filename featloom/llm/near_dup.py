@@ -121,12 +121,12 @@ def shared_counts(rows: DataFrame, share: float, from_text: bool) -> DataFrame:
     as there are chunks.  The exchange moves blocks of 12-byte (shingle, owner)
     entries by hash bucket.  Truncated hashes can only make a class look shared.
     """
-    buckets = 16 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = "bucket int, chunk long, entries binary, owners binary, counts binary"
 
     def deal(batches):
         chunk = TaskContext.get().partitionId() << 36
-        for b in chunks(batches, (12 << 20) if from_text else (16 << 20), "text" if from_text else "toks"):
+        for b in chunks(batches, col="text" if from_text else "toks"):
             if from_text:
                 grams, offs = shingle_sets(b.column(1))
                 keys = set_keys(grams, offs)[0].view(np.uint64)
@@ -187,10 +187,27 @@ def shared_counts(rows: DataFrame, share: float, from_text: bool) -> DataFrame:
                 pairs, n = np.unique(pairs, axis=0, return_counts=True)
                 out.append((pairs[:, 0], n, pairs[:, 1].astype(np.int64)))
         who, n, c = (np.concatenate([x[i] for x in out]) if out else np.empty(0, np.int64) for i in range(3))
-        return pa.table({"o": pa.array(who.astype(np.int64)), "c": pa.array(c.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
-
-    return (rows.mapInArrow(deal, schema).groupBy("bucket").applyInArrow(settle, "o long, c long, n long")
-            .groupBy("o", "c").agg(F.sum("n").alias("n")).groupBy("o").agg(F.max("n").alias("n_shared")))
+        who = who.astype(np.int64)
+        to = who % buckets
+        order = np.argsort(to, kind="stable")
+        who, n, c, to = who[order], n[order].astype(np.int32), c[order].astype(np.int64), to[order]
+        cut = np.flatnonzero(np.diff(to, prepend=-1))
+        ends = np.append(cut[1:], len(to)) if len(cut) else cut
+        blobs = [[x[a:z].tobytes() for a, z in zip(cut, ends)] for x in (who, c, n)]
+        return pa.table({"bucket": pa.array(to[cut].astype(np.int32)), **{k: pa.array(v, pa.binary()) for k, v in zip("ocn", blobs)}})
+
+    def add(table: pa.Table) -> pa.Table:
+        """Sum the answers of a class per chunk; the chunk that knows most about it counts."""
+        who, c, n = (np.frombuffer(b"".join(table.column(k).to_pylist()), t) for k, t in zip("ocn", (np.int64, np.int64, np.int32)))
+        order = np.lexsort((c, who))
+        who, c, n = who[order], c[order], n[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (c[1:] != c[:-1])]))
+        n, who = np.add.reduceat(n, first), who[first]
+        first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+        return pa.table({"o": pa.array(who[first]), "n_shared": pa.array(np.maximum.reduceat(n, first))})
+
+    return (rows.mapInArrow(deal, schema).groupBy("bucket").applyInArrow(settle, "bucket int, o binary, c binary, n binary")
+            .groupBy("bucket").applyInArrow(add, "o long, n_shared long"))
 
 
 def _owner(c: str = "k1"):
