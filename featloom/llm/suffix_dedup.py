@@ -189,7 +189,7 @@ def _settle(table: pa.Table) -> pa.Table:
 def _first_round(texts: DataFrame, buckets: int) -> DataFrame:
     def rank(batches):
         chunk = TaskContext.get().partitionId() << 36
-        for b in chunks(batches, 6 << 20):
+        for b in chunks(batches):
             raw, offs = text_buffer(b.column(1))
             lo, hi, anchor = anchored_runs(raw, offs)
             shared = anchor, anchor + THRESHOLD - WIDTHS[0] + 1
@@ -204,7 +204,7 @@ def _next_round(texts: DataFrame, open_runs: DataFrame, width: int, buckets: int
 
     def rank(batches):
         chunk = TaskContext.get().partitionId() << 36
-        for b in chunks(batches, 6 << 20):
+        for b in chunks(batches):
             raw, offs = text_buffer(b.column(1))
             runs = b.column(2)
             n = np.diff(runs.offsets.to_numpy())
@@ -227,7 +227,7 @@ def _next_round(texts: DataFrame, open_runs: DataFrame, width: int, buckets: int
 
 def repeated_starts(texts: DataFrame) -> DataFrame:
     """(uid, lo, hi): runs of starts whose strings occur earlier."""
-    buckets = 8 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     settled = staged(_first_round(texts, buckets).groupBy("bucket").applyInArrow(_settle, SETTLED), "repeats-0")
     found = settled.where("NOT again")
     for r, width in enumerate(WIDTHS[1:], 1):
