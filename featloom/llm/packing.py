@@ -78,9 +78,8 @@ class Segments:
         n = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((x for i in ids for x in i), np.uint16, int(n.sum()))
         at = len(self.flat) + np.cumsum(n) - n
-        known = np.concatenate([self.known, new])
-        order = np.argsort(known, kind="stable")
-        self.known, self.at, self.n = known[order], np.concatenate([self.at, at])[order], np.concatenate([self.n, n])[order]
+        place = np.searchsorted(self.known, new)
+        self.known, self.at, self.n = np.insert(self.known, place, new), np.insert(self.at, place, at), np.insert(self.n, place, n)
         self.flat = np.concatenate([self.flat, flat])
 
     def encode(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +107,7 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         enc = Segments(ranks_path, pattern)
-        for b in chunks(batches):
+        for b in chunks(batches, 4 << 20):
             ids, offs = enc.encode(*text_buffer(b.column(1)))
             col = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(offs * 2), pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays([b.column(0), col.cast(pa.binary())], names=["doc_id", "ids"])
