@@ -59,7 +59,9 @@ def entries_to_map_sql(ents: str, value_type: str = "double") -> str:
     """
     typed = lambda a: f"transform({a}, e -> named_struct('key', e.key, 'value', cast(e.value AS {value_type})))"
     srt = (f"array_sort(transform({ents}, (e, i) -> named_struct('key', e.key, 'pos', i, 'value', e.value)))")
-    last = (f"filter({srt}, (e, i) -> i = size({srt}) - 1 OR element_at({srt}, i + 2).key != e.key)")
+    # transform(array(x), s -> ...) binds the sorted entries once, not once per entry.
+    last = (f"element_at(transform(array({srt}), s -> filter(s, (e, i) -> i = size(s) - 1 "
+            "OR element_at(s, i + 2).key != e.key)), 1)")
     return (f"CASE WHEN size(array_distinct(transform({ents}, e -> e.key))) = size({ents}) "
             f"THEN map_from_entries({typed(ents)}) ELSE map_from_entries({typed(last)}) END")
 
@@ -144,8 +146,9 @@ def unpack_map(s, value_type: str = "double", strip_trailing: bool = True,
     tagged = F.transform(entries, lambda e, i: F.struct(e.key.alias("key"), i.alias("pos"),
                                                         e.value.alias("value")))
     ordered = F.array_sort(tagged)
-    n = F.size(ordered)
-    last = F.filter(ordered, lambda e, i: (i == n - 1) | (F.element_at(ordered, i + 2).getField("key") != e.key))
+    # Bound once by the outer transform: written inside the filter, the sort would run for every entry.
+    last = F.element_at(F.transform(F.array(ordered), lambda s: F.filter(
+        s, lambda e, i: (i == F.size(s) - 1) | (F.element_at(s, i + 2).getField("key") != e.key))), 1)
     return F.when(unique, F.map_from_entries(typed(entries))).otherwise(F.map_from_entries(typed(last)))
 
 

@@ -68,9 +68,9 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> D
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="error").transform(df)
 
 
-def fit_linear(train: DataFrame, features: Sequence[str], label: str, fit_intercept: bool = True,
+def fit_linear(train: DataFrame, features: Sequence[str], label: str, fit_intercept: bool = False,
                reg_param: float = 0.0):
-    """L2: least squares (normal equations: statistics aggregated on executors)."""
+    """L2: least squares, without an intercept unless asked for (normal equations: statistics aggregated on executors)."""
     from pyspark.ml.regression import LinearRegression
     data = assemble(train, features).select("features", F.col(label).cast("double").alias("label"))
     lr = LinearRegression(featuresCol="features", labelCol="label", solver="normal",

@@ -26,6 +26,11 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def concat_fields(sep: str, fields: Sequence) -> Column:
+    """Fields joined by ``sep``; a null is an empty field, never a missing one."""
+    return F.concat_ws(sep, *[F.coalesce(f.cast("string"), F.lit("")) for f in fields])
+
+
 @dataclass(frozen=True)
 class Discrete:
     slot: str
@@ -61,7 +66,7 @@ class Sample:
 
     def line(self) -> Column:
         label = F.lit("0") if self.label is None else _c(self.label).cast("string")
-        return F.concat_ws(" ", label, *[f.render(self.hashing, self.buckets) for f in self.features])
+        return concat_fields(" ", [label, *[f.render(self.hashing, self.buckets) for f in self.features]])
 
 
 def month_sample(period: int, periods: Sequence[int] = DEFAULT_PERIODS, label=True,
@@ -122,11 +127,11 @@ def raw_line(wide: DataFrame, periods: Sequence[int] = DEFAULT_PERIODS, sep: str
     for m in WIDE_METRICS:
         parts += [F.col(c) for c in period_columns(m, periods)]
     parts.append(F.col("loanSum"))
-    return F.concat_ws(sep, *[p.cast("string") for p in parts])
+    return concat_fields(sep, parts)
 
 
 def trailing_line(wide_with_latest: DataFrame, periods: Sequence[int] = DEFAULT_PERIODS,
                   order: Sequence[int] = DEFAULT_LATEST, sep: str = ",") -> Column:
     """P2 followed by the 24 numeric and 12 map trailing columns."""
     trailing = [F.col(c).cast("string") for c in latest_columns(TRAILING_NUMERIC, TRAILING_MAPS, order)]
-    return F.concat_ws(sep, raw_line(wide_with_latest, periods, sep), *trailing)
+    return concat_fields(sep, [raw_line(wide_with_latest, periods, sep), *trailing])

@@ -233,7 +233,7 @@ def linreg_single_feature(spark: SparkSession, sf: str) -> DataFrame:
     # (memory and disk, released right after) instead of re-joining per pass.
     xy = xy.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = mdl.fit_linear(xy, ["x"], "y")
+        model = mdl.fit_linear(xy, ["x"], "y", fit_intercept=True)
         n = xy.count()
     finally:
         xy.unpersist()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,7 +55,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        if not sc.master.startswith("local"):
+        if not re.match(r"local($|\[)", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
                                "(a machine-local folder does not survive executor loss)")
         conf_dir = tempfile.mkdtemp(prefix="featloom-ckpt-")  # local runs and tests only

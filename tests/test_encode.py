@@ -84,3 +84,12 @@ def test_checkpoint_dir_comes_from_session(spark):
     from featloom.session import checkpoint_dir
     d = checkpoint_dir(spark)
     assert d and d == spark.sparkContext.getCheckpointDir()
+
+
+def test_rows_that_share_an_id_stay_apart(spark):
+    spec = enc.FeatureSpec.from_lines(SCHEMA_LINES)
+    df = spark.createDataFrame([(1, "1", "2", "3", "a:1"), (1, "9", "2", "3", "b:1"), (2, "5", "2", "3", "a:1"), (2, "5", "2", "3", "a:1")],
+                               "row_id long, col_1 string, col_d string, col1_d string, col_m string")
+    d = enc.build_dictionary(enc.feature_entries(df, spec))
+    lines = sorted((r.row_id, r.line.split()[0], r.line.count(":")) for r in enc.encode_lines(df, spec, d).collect())
+    assert lines == [(1, "1", 3), (1, "9", 3), (2, "5", 3), (2, "5", 3)]

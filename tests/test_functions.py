@@ -98,3 +98,10 @@ def test_non_numeric_map_value_fails(spark):
     df = spark.createDataFrame([("a:1;b:x",)], "s string")
     with pytest.raises(Exception):
         df.select(unpack_map("s").alias("m")).collect()
+
+
+def test_repeated_map_keys_stay_cheap(spark):
+    text = ";".join(f"7:{i}" for i in range(20_000))
+    df = spark.createDataFrame([(text,)], "s string")
+    assert df.select(unpack_map("s").alias("m")).first().m == {"7": 19999.0}
+    assert df.select(unpack_map(F.col("s")).alias("m")).first().m == {"7": 19999.0}

@@ -25,7 +25,7 @@ def test_rmse(spark):
 
 def test_linear_fit_exact_line(spark):
     df = spark.range(0, 50).select(F.col("id").cast("double").alias("x"), (F.col("id") * 3 + 2).cast("double").alias("y"))
-    m = mdl.fit_linear(df, ["x"], "y")
+    m = mdl.fit_linear(df, ["x"], "y", fit_intercept=True)
     assert m.coefficients[0] == pytest.approx(3.0) and m.intercept == pytest.approx(2.0)
 
 

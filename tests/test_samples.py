@@ -55,3 +55,11 @@ def test_wide_text_round_trip(spark):
     b = lat.latest_numeric(w).first()
     assert a["orderAmount8Latest3Month"] == b["orderAmount8Latest3Month"]
     assert a["clickPage8"] == "7:1;1:20;10:39;9:3" and a["active_date"] == "2016-1"
+
+
+def test_a_null_is_an_empty_field(spark):
+    w = golden_wide(spark)
+    full = w.select(smp.raw_line(w).alias("line")).first().line
+    w = w.withColumn("limit", F.lit(None).cast("double"))
+    line = w.select(smp.raw_line(w).alias("line")).first().line
+    assert line.count(",") == full.count(",") and line.split(",")[4] == ""
