@@ -34,7 +34,7 @@ def _regex_lit(s: str) -> str:
 
 def pack_entries_sql(entries_sql: str, sep: str = ";", kv_sep: str = ":") -> str:
     return (f"coalesce(array_join(transform(array_sort(transform({entries_sql}, "
-            f"e -> named_struct('k', cast(e.key AS string), 'v', cast(e.value AS string)))), "
+            f"e -> named_struct('k', coalesce(cast(e.key AS string), ''), 'v', coalesce(cast(e.value AS string), '')))), "
             f"e -> concat(e.k, {lit_sql(kv_sep)}, e.v)), {lit_sql(sep)}), '')")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from featloom.functions.dates import period_of, period_range
-from featloom.functions.mapstr import pack_entries, pack_entries_sql
+from featloom.functions.mapstr import pack_entries_sql
 from featloom.functions.numeric import clamp_zero, safe_ratio
 from featloom.schemas import (CLICK_METRICS, DEFAULT_PERIODS, LOAN_METRICS, ORDER_METRICS,
                               USER_COLUMNS, period_columns)
@@ -33,13 +33,8 @@ def _in_periods(df: DataFrame, period, ts_col: str, periods) -> DataFrame:
     return df if rng is None else df.where(rng)
 
 
-def _packed(sel: Column, key: Column, value: Column) -> Column:
-    """Packed ``key:value`` map of the rows selected by ``sel`` inside a group."""
-    return pack_entries(F.collect_list(F.when(sel, F.struct(key.alias("key"), value.alias("value")))))
-
-
 def _packed_sql(sel: str, key: str, value: str, agg: str = "collect_list") -> str:
-    """SQL-text form of ``_packed`` (one JVM parse instead of many calls).
+    """Packed ``key:value`` map of the rows selected by ``sel`` inside a group.
 
     ``collect_set`` de-duplicates rows that repeat a (key, value) pair, e.g.
     a page total carried by every param row of that page.
@@ -73,7 +68,8 @@ def click_features(clicks: DataFrame, periods: Sequence[int] = DEFAULT_PERIODS,
         *keys, "n",
         F.sum("n").over(Window.partitionBy("uid", "period", "pid")).alias("n_page"),
         F.sum("n").over(Window.partitionBy("uid", "period", "param")).alias("n_param"))
-    pair = "concat_ws('_', cast(pid AS string), cast(param AS string))"
+    # A null page or param is an empty key, so that map totals add up to the count.
+    pair = "concat(coalesce(cast(pid AS string), ''), '_', coalesce(cast(param AS string), ''))"
     aggs = []
     for p in periods:
         at = f"period = {p}"
@@ -109,7 +105,7 @@ def order_amount_by_category(orders: DataFrame, periods: Sequence[int] = DEFAULT
     """A10 in long form: ``uid, period, amountByCateId`` packed ``cate:amount``."""
     fine = order_period_stats(orders, periods, period, date_col)
     return fine.groupBy("uid", "period").agg(
-        _packed(F.lit(True), F.col("cate_id").cast("string"), F.col("amount")).alias("amountByCateId"))
+        F.expr(_packed_sql("true", "cast(cate_id AS string)", "amount")).alias("amountByCateId"))
 
 
 def order_features(orders: DataFrame, periods: Sequence[int] = DEFAULT_PERIODS, period="month",

@@ -93,12 +93,12 @@ def snapshot_records(df: DataFrame, ts_col: str, months: Sequence[int] = (9, 10,
     return out.select(snap_id.alias("id"), "*")
 
 
-def loan_label(users: DataFrame, loans: DataFrame, month: int) -> DataFrame:
-    """A2 + F3 + J4: each user's loan total in month ``month`` (0 when none)."""
+def loan_label(users: DataFrame, loans: DataFrame, month: int, keep: Sequence[str] = ("uid",)) -> DataFrame:
+    """A2 + F3 + J4: each user's loan total in month ``month`` (0 when none), next to the user columns ``keep``."""
     sums = (loans.where(F.month("loan_time") == month)
             .groupBy("uid").agg(F.sum("loan_amount").alias("loan_sum")))
-    return (users.select("uid").join(sums, "uid", "left")
-            .select("uid", F.coalesce(F.col("loan_sum"), _zero()).alias("loan_sum")))
+    return (users.join(sums, "uid", "left")
+            .select(*keep, F.coalesce(F.col("loan_sum"), _zero()).alias("loan_sum")))
 
 
 def assemble_counts(users: DataFrame, clicks: DataFrame, orders: DataFrame, loans: DataFrame,

@@ -8,7 +8,6 @@ stay exact.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +18,11 @@ from featloom.operators import periods as per
 from featloom.operators import samples as smp
 from featloom.operators import snapshot as snp
 from featloom.plans import tables as t
-from featloom.schemas import CLICK_METRICS, DEFAULT_PERIODS, LOAN_METRICS, period_columns
+from featloom.schemas import (CLICK_METRICS, CLICK_SCHEMA, DEFAULT_PERIODS, LOAN_METRICS, LOAN_SCHEMA,
+                              LOAN_SUM_CSV_SCHEMA, USER_SCHEMA, period_columns)
 from featloom.functions.dates import ymd_text
+from featloom.sources import csv as csvsrc
+from featloom.sources.specs import parse_dictionary
 from featloom.sources.text import parse_delimited
 
 WEEKS = (1, 2, 3, 4)
@@ -149,6 +151,19 @@ def snapshot_order_records(spark: SparkSession, sf: str) -> DataFrame:
         "cate_id", "discount")
 
 
+def snapshot_click_records(spark: SparkSession, sf: str) -> DataFrame:
+    r = snp.snapshot_records(t.clicks(spark, sf), "click_time", [9, 10, 11], run_id=0)
+    return r.select("id", "uid", F.col("snapshot_month").cast("int").alias("snapshot_month"),
+                    _seconds("click_time").alias("click_time"), "pid", "param")
+
+
+def snapshot_loan_records(spark: SparkSession, sf: str) -> DataFrame:
+    r = snp.snapshot_records(t.loans(spark, sf), "loan_time", [9, 10, 11], run_id=0)
+    return _doubles(r, ["loan_amount"]).select(
+        "id", "uid", F.col("snapshot_month").cast("int").alias("snapshot_month"),
+        _seconds("loan_time").alias("loan_time"), "loan_amount", "plan_num")
+
+
 def assembled_users(spark: SparkSession, sf: str) -> DataFrame:
     a = snp.assemble_counts(t.users(spark, sf), t.clicks(spark, sf), t.orders(spark, sf), t.loans(spark, sf),
                             t.loan_sums(spark, sf))
@@ -192,19 +207,54 @@ ORDER_LINE_SCHEMA = "uid long, buy_date date, price decimal(18,2), number int, c
 def csv_parse_orders(spark: SparkSession, sf: str) -> DataFrame:
     o = t.orders(spark, sf)
     price_txt = F.when((o.order_key + o.line_number) % 10 == 0, F.lit("")).otherwise(o.price.cast("string"))
-    lines = o.select(F.concat_ws(",", o.uid.cast("string"), ymd_text("buy_date"), price_txt,
-                                 o.number.cast("string"), o.cate_id.cast("string"), o.discount.cast("string"))
-                     .alias("value"))
-    # Spark's CSV parser with the order reader's options (no quoting, strict
-    # yyyy-M-d dates, FAILFAST); an empty price becomes -1 as in the reader.
-    opts = {"dateFormat": "yyyy-M-d", "mode": "FAILFAST", "quote": "\u0000", "nullValue": ""}
-    parsed = lines.select(F.from_csv("value", ORDER_LINE_SCHEMA, opts).alias("r")).select("r.*")
-    good = parsed.withColumn("price", F.coalesce("price", F.lit(-1).cast("decimal(18,2)")))
-    out = good.withColumn("amount", per.order_amount())
+    lines = _csv_lines(o, "uid", ymd_text("buy_date"), price_txt, "number", "cate_id", "discount")
+    # The order reader's options and rules over lines; money as decimals.
+    out = csvsrc.as_orders(csvsrc.parse_csv_lines(lines, ORDER_LINE_SCHEMA)).withColumn("amount", per.order_amount())
     return _doubles(out, ["price", "discount", "amount"]).select(
         "uid", "buy_date", "price", "number", "cate_id", "discount", "amount")
 
 
+def _csv_lines(df: DataFrame, *fields) -> DataFrame:
+    """The fields of each row as one comma line; a null is an empty field."""
+    cols = [F.col(f"`{f}`") if isinstance(f, str) else f for f in fields]
+    return df.select(F.concat_ws(",", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols]).alias("value"))
+
+
+def _seconds(ts: str):
+    """Wall-clock text of a timestamp, to the second."""
+    return F.substring(F.col(ts).cast("string"), 1, 19)
+
+
+def csv_parse_users(spark: SparkSession, sf: str) -> DataFrame:
+    lines = _csv_lines(t.users(spark, sf), "uid", "age", "sex", ymd_text("active_date"), "limit")
+    return csvsrc.as_users(csvsrc.parse_csv_lines(lines, USER_SCHEMA))
+
+
+def csv_parse_clicks(spark: SparkSession, sf: str) -> DataFrame:
+    lines = _csv_lines(t.clicks(spark, sf), "uid", _seconds("click_time"), "pid", "param")
+    return csvsrc.as_clicks(csvsrc.parse_csv_lines(lines, CLICK_SCHEMA)).withColumn("click_time", _seconds("click_time"))
+
+
+def csv_parse_loans(spark: SparkSession, sf: str) -> DataFrame:
+    lines = _csv_lines(t.loans(spark, sf), "uid", _seconds("loan_time"), "loan_amount", "plan_num")
+    return csvsrc.as_loans(csvsrc.parse_csv_lines(lines, LOAN_SCHEMA)).withColumn("loan_time", _seconds("loan_time"))
+
+
+def csv_parse_loan_sums(spark: SparkSession, sf: str) -> DataFrame:
+    lines = _csv_lines(t.loan_sums(spark, sf), "uid", "month", "loan_sum")
+    return csvsrc.as_loan_sums(csvsrc.parse_csv_lines(lines, LOAN_SUM_CSV_SCHEMA))
+
+
+def delimited_users(spark: SparkSession, sf: str) -> DataFrame:
+    """S8 typed side: every 7th user lacks the limit (default -1), every 11th line has a field too many (rejected)."""
+    u = t.users(spark, sf)
+    limit = F.when(F.col("uid") % 7 == 0, F.lit("")).otherwise(F.col("limit").cast("string"))
+    line = F.when(F.col("uid") % 11 == 0, F.concat("value", F.lit(",x"))).otherwise(F.col("value"))
+    lines = u.select("uid", F.concat_ws(",", "uid", "age", "sex", ymd_text("active_date"), limit).alias("value"))
+    good, _bad = parse_delimited(lines.select(line.alias("value")), USER_SCHEMA, defaults={"limit": -1})
+    return good
+
+
 def csv_rejects(spark: SparkSession, sf: str) -> DataFrame:
     conv = t.table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("value"))
     _good, bad = parse_delimited(conv, "a string, b string, c string", keep=["conv_id", "turn"])
@@ -217,8 +267,7 @@ def split_train_validation(spark: SparkSession, sf: str) -> DataFrame:
 
 def _labelled_users(spark: SparkSession, sf: str) -> DataFrame:
     u = t.users(spark, sf)
-    lab = snp.loan_label(u, t.loans(spark, sf), 11)
-    return mdl.hash_split(u.join(lab, "uid"), "uid")
+    return mdl.hash_split(snp.loan_label(u, t.loans(spark, sf), 11, keep=u.columns), "uid")
 
 
 def rmse_zero_baseline(spark: SparkSession, sf: str) -> DataFrame:
@@ -229,16 +278,9 @@ def rmse_zero_baseline(spark: SparkSession, sf: str) -> DataFrame:
 def linreg_single_feature(spark: SparkSession, sf: str) -> DataFrame:
     xy = t.orders(spark, sf).select(F.col("number").cast("double").alias("x"),
                                     per.order_amount().cast("double").alias("y"))
-    # The fit makes more than one pass; keep the joined input for its duration
-    # (memory and disk, released right after) instead of re-joining per pass.
-    xy = xy.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = mdl.fit_linear(xy, ["x"], "y", fit_intercept=True)
-        n = xy.count()
-    finally:
-        xy.unpersist()
-    return spark.createDataFrame([(n, round(float(model.coefficients[0]), 4), round(float(model.intercept), 4))],
-                                 "n long, slope double, intercept double")
+    # With one feature the normal equations are aggregates: one pass, nothing stored.
+    return xy.agg(F.count(F.lit(1)).alias("n"), F.round(F.regr_slope("y", "x"), 6).alias("slope"),
+                  F.round(F.regr_intercept("y", "x"), 6).alias("intercept"))
 
 
 def linreg_full_rmse(spark: SparkSession, sf: str) -> DataFrame:
@@ -291,6 +333,23 @@ def encode_lines(spark: SparkSession, sf: str) -> DataFrame:
     return enc.encode_lines(rows, ENCODER_SPEC, d, row_id="uid")
 
 
+def encode_with_existing(spark: SparkSession, sf: str) -> DataFrame:
+    """M10 grown from ``key:id`` lines rendered from the clicks.
+
+    Each click gives a line for its page, with an older id before the valid one
+    and malformed lines between; the ids have gaps.
+    """
+    c = t.clicks(spark, sf).where("pid IS NOT NULL")
+    lines = c.select("pid", F.explode(F.expr(
+        "array(named_struct('n', 1, 'value', concat(' page_m_', pid, ':', pid)), "
+        "named_struct('n', 2, 'value', concat('page_m_', pid, ':', pid * 10, '\\t')), "
+        "named_struct('n', 3, 'value', concat('page_m_', pid)), "
+        "named_struct('n', 4, 'value', concat('page_m_', pid, ':9:9')))")).alias("l")).select("l.n", "l.value")
+    existing = parse_dictionary(lines, "n")
+    entries = enc.feature_entries(encoder_rows(spark, sf), ENCODER_SPEC, row_id="uid")
+    return enc.build_dictionary(entries, row_id="uid", existing=existing)
+
+
 QUERIES = {
     "monthly_order_features": monthly_order_features,
     "order_amount_by_category": order_amount_by_category,
@@ -314,6 +373,14 @@ QUERIES = {
     "sample_fanout": sample_fanout,
     "encode_dictionary": encode_dictionary,
     "encode_lines": encode_lines,
+    "encode_with_existing": encode_with_existing,
+    "snapshot_click_records": snapshot_click_records,
+    "snapshot_loan_records": snapshot_loan_records,
+    "csv_parse_users": csv_parse_users,
+    "csv_parse_clicks": csv_parse_clicks,
+    "csv_parse_loans": csv_parse_loans,
+    "csv_parse_loan_sums": csv_parse_loan_sums,
+    "delimited_users": delimited_users,
     "csv_parse_orders": csv_parse_orders,
     "trailing_feature_line": trailing_feature_line,
     "attach_column": attach_column,
@@ -353,6 +420,14 @@ def oracle_sql() -> dict[str, str]:
         "sample_fanout": o.sample_fanout(),
         "encode_dictionary": o.encode_dictionary(),
         "encode_lines": o.encode_lines(),
+        "encode_with_existing": o.encode_with_existing(),
+        "snapshot_click_records": o.snapshot_click_records(),
+        "snapshot_loan_records": o.snapshot_loan_records(),
+        "csv_parse_users": o.csv_parse_users(),
+        "csv_parse_clicks": o.csv_parse_clicks(),
+        "csv_parse_loans": o.csv_parse_loans(),
+        "csv_parse_loan_sums": o.csv_parse_loan_sums(),
+        "delimited_users": o.delimited_users(),
         "csv_parse_orders": o.csv_parse_orders(),
         "trailing_feature_line": o.trailing_feature_line(),
         "attach_column": o.attach_column(),

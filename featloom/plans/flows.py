@@ -151,7 +151,7 @@ def train_and_score(spark: SparkSession, tables_dir: str, label_month: int = 11)
     """Users + their loan total of ``label_month`` -> hash split, linear fit,
     RMSE of the model and of the constant-zero baseline on validation."""
     t = load_tables(spark, tables_dir)
-    labelled = t["user"].join(snp.loan_label(t["user"], t["loan"], label_month), "uid")
+    labelled = snp.loan_label(t["user"], t["loan"], label_month, keep=t["user"].columns)
     data = mdl.hash_split(mdl.numeric_user_features(labelled).withColumn("label", F.col("loan_sum").cast("double")),
                           "uid")
     model = mdl.fit_linear(data.where("is_train"), mdl.USER_FEATURES, "label")

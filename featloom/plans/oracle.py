@@ -19,7 +19,7 @@ users AS (
          CAST(c_acctbal AS DECIMAL(18,2)) AS "limit"
   FROM customer),
 clicks AS (
-  SELECT user_id AS uid, ts AS click_time,
+  SELECT user_id AS uid, ts - to_days(CAST(9100 + event_id % 700 AS INTEGER)) AS click_time,
          CAST(CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3
                               WHEN 'signup' THEN 4 WHEN 'error' THEN 5 END AS BIGINT) AS pid,
          CAST(json_extract_string(props, '$.k') AS BIGINT) AS param
@@ -513,4 +513,53 @@ SELECT count(*) AS n, CASE WHEN count(*) > 0 THEN sqrt(CAST(sum((0 - label) * (0
 
 def linreg_single_feature() -> str:
     return _with(f"xy AS (SELECT CAST(number AS DOUBLE) AS x, CAST({AMOUNT} AS DOUBLE) AS y FROM buys)") + """
-SELECT count(*) AS n, round(regr_slope(y, x), 4) AS slope, round(regr_intercept(y, x), 4) AS intercept FROM xy"""
+SELECT count(*) AS n, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept FROM xy"""
+
+
+def snapshot_click_records(months=(9, 10, 11)) -> str:
+    ms = ", ".join(f"({m})" for m in months)
+    return _with(f"snap_months AS (SELECT * FROM (VALUES {ms}) AS t(m))") + """
+SELECT CAST(uid AS VARCHAR) || '_' || CAST(m AS VARCHAR) || '_0' AS id, uid, CAST(m AS INTEGER) AS snapshot_month,
+       strftime(click_time, '%Y-%m-%d %H:%M:%S') AS click_time, pid, param
+FROM clicks JOIN snap_months ON month(click_time) < m"""
+
+
+def snapshot_loan_records(months=(9, 10, 11)) -> str:
+    ms = ", ".join(f"({m})" for m in months)
+    return _with(f"snap_months AS (SELECT * FROM (VALUES {ms}) AS t(m))") + """
+SELECT CAST(uid AS VARCHAR) || '_' || CAST(m AS VARCHAR) || '_0' AS id, uid, CAST(m AS INTEGER) AS snapshot_month,
+       strftime(loan_time, '%Y-%m-%d %H:%M:%S') AS loan_time, CAST(loan_amount AS DOUBLE) AS loan_amount, plan_num
+FROM loans JOIN snap_months ON month(loan_time) < m"""
+
+
+def csv_parse_users() -> str:
+    return _with() + 'SELECT uid, age, sex, active_date, CAST("limit" AS DOUBLE) AS "limit" FROM users'
+
+
+def csv_parse_clicks() -> str:
+    return _with() + "SELECT uid, strftime(click_time, '%Y-%m-%d %H:%M:%S') AS click_time, pid, param FROM clicks"
+
+
+def csv_parse_loans() -> str:
+    return _with() + """
+SELECT uid, strftime(loan_time, '%Y-%m-%d %H:%M:%S') AS loan_time, CAST(loan_amount AS DOUBLE) AS loan_amount, plan_num
+FROM loans"""
+
+
+def csv_parse_loan_sums() -> str:
+    return _with() + "SELECT uid, CAST(loan_sum AS DOUBLE) AS loan_sum FROM loan_sums"
+
+
+def delimited_users() -> str:
+    return _with() + """
+SELECT uid, age, sex, active_date, CAST(CASE WHEN uid % 7 = 0 THEN -1 ELSE "limit" END AS DOUBLE) AS "limit"
+FROM users WHERE uid % 11 <> 0"""
+
+
+def encode_with_existing() -> str:
+    return _with(ENCODER_ROWS,
+                 "known AS (SELECT 'page_m_' || CAST(pid AS VARCHAR) AS key, max(pid) * 10 AS id FROM clicks WHERE pid IS NOT NULL GROUP BY pid)",
+                 """fresh AS (SELECT key, row_number() OVER (ORDER BY id) AS k FROM enc_dict
+                    WHERE key NOT IN (SELECT key FROM known))""") + """
+SELECT key, CAST(id AS BIGINT) AS id FROM known
+UNION ALL SELECT key, CAST(k + (SELECT coalesce(max(id), 0) FROM known) AS BIGINT) FROM fresh"""

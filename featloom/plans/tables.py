@@ -51,6 +51,8 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Event type -> page id.
 PAGE_IDS = {"click": 1, "view": 2, "purchase": 3, "signup": 4, "error": 5}
+# Least number of days that a click lies before its event, and the spread of that number.
+DAYS_BACK = (9100, 700)
 
 
 def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +60,10 @@ def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pid = F.lit(None).cast("long")
     for name, i in reversed(list(PAGE_IDS.items())):
         pid = F.when(F.col("event_type") == name, F.lit(i).cast("long")).otherwise(pid)
-    return e.select(F.col("user_id").alias("uid"), F.col("ts").alias("click_time"), pid.alias("pid"),
+    # The events lie in one month; moved back by a number of days that follows the
+    # event id, they cover the feature months and both sides of the order dates' end.
+    back = F.expr(f"ts - make_dt_interval(cast({DAYS_BACK[0]} + event_id % {DAYS_BACK[1]} AS int))")
+    return e.select(F.col("user_id").alias("uid"), back.alias("click_time"), pid.alias("pid"),
                     F.get_json_object("props", "$.k").cast("long").alias("param"))
 
 

@@ -33,15 +33,18 @@ def read_feature_spec(path: str, spark: SparkSession | None = None) -> FeatureSp
     return FeatureSpec.from_lines([ln for ln in read_small_text(path, spark) if ln.strip()])
 
 
-def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """``key:id`` lines -> ``key, id``.
+def parse_dictionary(lines: DataFrame, order_col: str = "line_order") -> DataFrame:
+    """``key:id`` lines (``value`` and an order column) -> ``key, id``.
 
-    Lines without exactly two parts are skipped; for a repeated key the last
-    line in file order wins (``max_by`` over the line-order key, no window
-    over the whole file).
+    Spaces and tabs at both ends of a line are dropped.  Lines without exactly
+    two parts are skipped; for a repeated key the last line in order wins
+    (``max_by`` over the order column, no window over the whole file).
     """
-    lines = read_lines(spark, path)
-    parts = F.split(F.trim(F.col("value")), ":", -1)
-    ok = lines.where(F.size(parts) == 2).select(parts[0].alias("key"), parts[1].cast("long").alias("id"),
-                                                "line_order")
-    return ok.groupBy("key").agg(F.max_by("id", "line_order").alias("id"))
+    parts = F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), ":", -1)
+    ok = lines.where(F.size(parts) == 2).select(parts[0].alias("key"), parts[1].cast("long").alias("id"), order_col)
+    return ok.groupBy("key").agg(F.max_by("id", order_col).alias("id"))
+
+
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """S11 from a file, in file order."""
+    return parse_dictionary(read_lines(spark, path))

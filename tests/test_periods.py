@@ -44,6 +44,14 @@ def test_clicks_maps_and_counts(spark):
     assert f.clickPage10 == ""
 
 
+def test_null_pages_and_params_stay_in_the_maps(spark):
+    rows = [(1, T(2016, 8, 1, 1), None, 5), (1, T(2016, 8, 1, 2), 3, None), (1, T(2016, 8, 1, 3), 3, 5)]
+    clicks = spark.createDataFrame(rows, "uid long, click_time timestamp_ntz, pid long, param long")
+    f = per.click_features(clicks).collect()[0]
+    assert f.clickNum8 == 3
+    assert (f.clickPage8, f.clickPageParam8, f.clickParam8) == (":1;3:2", "3_5:1;3_:1;_5:1", ":1;5:2")
+
+
 def test_wide_defaults_and_layout(spark):
     clicks = spark.createDataFrame([(1, T(2016, 8, 1, 1), 7, 4)], "uid long, click_time timestamp_ntz, pid long, param long")
     orders = spark.createDataFrame([(1, D(2016, 10, 3), 2.0, 3, 5, 1.0)],

@@ -53,7 +53,24 @@ def test_trailing_columns_add_no_shuffle(no_broadcast):
 
 def test_cutoff_reaches_the_scan(spark):
     plan = plan_of(catalog.cutoff_filtered_users(spark, SF))
-    assert re.search(r"PushedFilters: \[[^\]]*LessThan\(ts,1998-11-01T00:00\)", plan)
+    assert re.search(r"PushedFilters: \[[^\]]*LessThan\(o_orderdate,1998-11-01T00:00\)", plan)
+
+
+def test_labelled_users_one_customer_scan(no_broadcast):
+    plan = plan_of(catalog.rmse_zero_baseline(no_broadcast, SF))
+    assert len(re.findall(r"FileScan parquet \[c_", plan)) == 1
+
+
+def test_single_feature_fit_stores_nothing(spark):
+    assert "InMemory" not in plan_of(catalog.linreg_single_feature(spark, SF))
+
+
+def test_clicks_reach_months_and_both_sides_of_the_cutoff(spark):
+    c = t.clicks(spark, SF)
+    n = c.count()
+    for rows in (c.where("month(click_time) < 9"), c.where(f"click_time < timestamp_ntz'{catalog.CUTOFF}'")):
+        assert 0 < rows.count() < n
+    assert {r.m for r in c.selectExpr("month(click_time) AS m").distinct().collect()} >= {8, 9, 10, 11}
 
 
 def test_snapshot_one_shuffle_per_behaviour_table(no_broadcast):

@@ -37,6 +37,15 @@ def test_csv_failfast(spark, scratch):
         bad.collect()
 
 
+@pytest.mark.parametrize("reader, line", [
+    (csvsrc.read_users, "1,,1,2016-1-5,5.5"), (csvsrc.read_users, "1,30,1,2016-1-5,"),
+    (csvsrc.read_clicks, "1,2016-08-01 10:11:12,,4"), (csvsrc.read_orders, "1,2016-8-3,2.5,,5,0"),
+    (csvsrc.read_loans, ",2016-08-01 00:00:00,9.5,3"), (csvsrc.read_loan_sums, "1,2016-11,")])
+def test_empty_required_field_fails(spark, scratch, reader, line):
+    with pytest.raises(Exception, match="required field"):
+        reader(spark, write(f"{scratch}/empty.csv", f"h\n{line}\n")).collect()
+
+
 def test_parse_delimited_rejects(spark):
     lines = spark.createDataFrame([(1, "1,2016-8-3,,2"), (2, "1,2"), (3, "1,2016-8-4,3.5,1"), (4, "a,b,c,d,e")],
                                   "k long, value string")
