@@ -49,7 +49,7 @@ def test_null_pages_and_params_stay_in_the_maps(spark):
     clicks = spark.createDataFrame(rows, "uid long, click_time timestamp_ntz, pid long, param long")
     f = per.click_features(clicks).collect()[0]
     assert f.clickNum8 == 3
-    assert (f.clickPage8, f.clickPageParam8, f.clickParam8) == (":1;3:2", "3_5:1;3_:1;_5:1", ":1;5:2")
+    assert (f.clickPage8, f.clickPageParam8, f.clickParam8) == (":1;3:2", "3_:1;3_5:1;_5:1", ":1;5:2")
 
 
 def test_wide_defaults_and_layout(spark):

@@ -62,7 +62,7 @@ def test_labelled_users_one_customer_scan(no_broadcast):
 
 
 def test_single_feature_fit_stores_nothing(spark):
-    assert "InMemory" not in plan_of(catalog.linreg_single_feature(spark, SF))
+    assert "InMemoryTableScan" not in plan_of(catalog.linreg_single_feature(spark, SF))
 
 
 def test_clicks_reach_months_and_both_sides_of_the_cutoff(spark):
