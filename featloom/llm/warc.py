@@ -1,17 +1,23 @@
 """WARC archives as a Python data source (``format("warc")``), with revisit records.
 
+Every record is a gzip member of its own whose header states the member's
+compressed length (the WARC standard's skip-length field), so any gzip reader
+opens the archives and ours passes over a member without inflating it.
+
 Reading plans one partition per archive file, takes record-type and header
-predicates by filter pushdown, parses the headers of a record first and seeks
-past the payloads of records that are not wanted.  Writing goes through the same
-source: every task writes its own files, and the driver's commit lists the files
-of the successful attempts, so retried tasks leave nothing that is read.
+predicates by filter pushdown, inflates and parses the headers of a record first
+and seeks past the payloads of records that are not wanted.  Writing goes through
+the same source: every task writes its own files, and the driver's commit lists
+the files of the successful attempts, so retried tasks leave nothing that is read.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import struct
 import uuid
+import zlib
 from datetime import datetime, timezone
 
 from pyarrow import fs
@@ -63,6 +69,72 @@ def record_bytes(row) -> bytes:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
+#: Fixed part of a gzip header with one extra field "sl": compressed and full length of the member.
+_GZIP = struct.Struct("<4sIBBH2sHII")
+
+
+def member(record: bytes) -> bytes:
+    """``record`` as one gzip member with its skip length."""
+    pack = zlib.compressobj(6, zlib.DEFLATED, -zlib.MAX_WBITS)
+    body = pack.compress(record) + pack.flush()
+    total = _GZIP.size + len(body) + 8
+    full = len(record) & 0xFFFFFFFF
+    head = _GZIP.pack(b"\x1f\x8b\x08\x04", 0, 0, 255, 12, b"sl", 8, total, full)
+    return head + body + struct.pack("<II", zlib.crc32(record), full)
+
+
+class _Member:
+    """Reads one member from its start, inflating no more than was asked for."""
+
+    STEP = 4096
+
+    def __init__(self, f, at: int) -> None:
+        f.seek(at)
+        head = f.read(_GZIP.size)
+        if len(head) < _GZIP.size or head[:4] != b"\x1f\x8b\x08\x04":
+            raise ValueError(f"no gzip member with an extra field at byte {at}")
+        *_, tag, _, length, full = _GZIP.unpack(head)
+        if tag != b"sl":
+            raise ValueError(f"the member at byte {at} states no skip length")
+        self.end, self._f, self._full = at + length, f, full
+        self._left = length - _GZIP.size - 8
+        self._pack, self._raw, self._at = zlib.decompressobj(-zlib.MAX_WBITS), b"", 0
+
+    def _more(self, step: int) -> bool:
+        if self._pack.unconsumed_tail:
+            source = self._pack.unconsumed_tail
+        else:
+            source = self._f.read(min(step, self._left))
+            self._left -= len(source)
+        got = self._pack.decompress(source, step)
+        self._raw += got
+        return bool(got or source)
+
+    def header(self) -> dict[str, str]:
+        """The fields (lower-case names) of the header that comes next."""
+        while (end := self._raw.find(b"\r\n\r\n", self._at)) < 0:
+            if not self._more(self.STEP):
+                raise ValueError("a record ends inside its header")
+        fields = {}
+        for line in self._raw[self._at:end].decode().split("\r\n")[1:]:
+            name, _, value = line.partition(":")
+            fields[name.strip().lower()] = value.strip()
+        self._at = end + 4
+        return fields
+
+    def body(self, n: int) -> bytes:
+        """The next ``n`` bytes; a damaged member raises an error."""
+        rest = [self._raw]
+        if self._pack.unconsumed_tail:
+            rest.append(self._pack.decompress(self._pack.unconsumed_tail))
+        rest += [self._pack.decompress(self._f.read(self._left)), self._pack.flush()]
+        whole = b"".join(rest)
+        crc, full = struct.unpack("<II", self._f.read(8))
+        if zlib.crc32(whole) != crc or len(whole) & 0xFFFFFFFF != full:
+            raise ValueError("the record does not match its checksum")
+        return whole[self._at:self._at + n]
+
+
 class _Files(WriterCommitMessage):
     def __init__(self, names: list[str]) -> None:
         self.names = names
@@ -80,9 +152,9 @@ class WarcWriter(DataSourceWriter):
             if out is None or size >= FILE_BYTES:
                 if out is not None:
                     out.close()
-                names.append(f"part-{uuid.uuid4().hex}.warc")
+                names.append(f"part-{uuid.uuid4().hex}.warc.gz")
                 out, size = store.open_output_stream(f"{root}/{names[-1]}"), 0
-            size += out.write(record_bytes(row))
+            size += out.write(member(record_bytes(row)))
         if out is not None:
             out.close()
         return _Files(names)
@@ -129,22 +201,20 @@ class WarcReader(DataSourceReader):
         with store.open_input_file(f"{root}/{partition.name}") as f:
             at, total = 0, f.size()
             while at < total:
-                head, body_at, length = _header(f, at)
-                at = body_at + length + 4
+                record = _Member(f, at)
+                at = record.end
+                head = record.header()
                 row = {"record_type": head.get("warc-type"), "record_id": head.get("warc-record-id"),
                        "target_uri": head.get("warc-target-uri"), "page_id": _page(head.get("warc-record-id")),
                        "refers_to": _page(head.get("warc-refers-to")),
                        "payload_digest": head.get("warc-payload-digest", "").removeprefix("sha1:")}
                 if not self._keeps(row):
-                    continue  # the body is never read
-                http, payload_at, n = _header(f, body_at)
+                    continue  # the rest of the member is never read
+                n = int(record.header()["content-length"])
                 row["payload_length"] = n
                 if not self._keeps(row):
                     continue
-                payload = None
-                if self.payload and row["record_type"] != "revisit":
-                    f.seek(payload_at)
-                    payload = f.read(n)
+                payload = record.body(n) if self.payload and row["record_type"] != "revisit" else None
                 yield (*(row[c] for c in FILTERED), payload)
 
     def _keeps(self, row: dict) -> bool:
@@ -152,23 +222,6 @@ class WarcReader(DataSourceReader):
                    for name, values in self.wanted)
 
 
-def _header(f, at: int) -> tuple[dict[str, str], int, int]:
-    """Fields (lower-case names) of the header at ``at``, where its body begins, and its Content-Length."""
-    f.seek(at)
-    raw, end = b"", -1
-    while end < 0:
-        more = f.read(2048)
-        if not more:
-            raise ValueError(f"no end of header after byte {at}")
-        raw += more
-        end = raw.find(b"\r\n\r\n")
-    fields = {}
-    for line in raw[:end].decode().split("\r\n")[1:]:
-        name, _, value = line.partition(":")
-        fields[name.strip().lower()] = value.strip()
-    return fields, at + end + 4, int(fields["content-length"])
-
-
 class WarcSource(DataSource):
     """Options: ``path``; ``payload`` (``false`` reads headers only)."""
 

@@ -1,8 +1,11 @@
 """Every operator against brute force on a small corpus with the awkward cases, and on empty tables."""
 
 import collections
+import gzip
 import hashlib
+import os
 import re
+import types
 import zlib
 
 import numpy as np
@@ -301,3 +304,28 @@ def test_warc_round_trip(spark, tmp_path):
     empty = str(tmp_path / "none")
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), empty)
     assert warc.read_archives(spark, empty).count() == 0
+
+
+def test_warc_members_are_gzip_and_skippable(tmp_path):
+    rows = [warc.record_bytes(types.SimpleNamespace(page_id=i, url=f"http://h/{i}", record_type="response", refers_to=None, payload_digest="d",
+                                                    payload_length=len(p), payload=p)) for i, p in enumerate([b"", b"x" * 300_000, os.urandom(50_000)])]
+    packed = b"".join(map(warc.member, rows))
+    assert gzip.decompress(packed) == b"".join(rows)
+    path = tmp_path / "one.warc.gz"
+    path.write_bytes(packed)
+    with open(path, "rb") as f:
+        at = 0
+        for i, raw in enumerate(rows):
+            m = warc._Member(f, at)
+            assert m.header()["warc-record-id"] == f"<urn:page:{i}>" and len(m._raw) <= 2 * m.STEP
+            n = int(m.header()["content-length"])
+            assert m.body(n) == raw[len(raw) - 4 - n:len(raw) - 4]
+            at = m.end
+        assert at == len(packed)
+    path.write_bytes(packed[:-1] + bytes([packed[-1] ^ 1]))
+    with open(path, "rb") as f:
+        m = warc._Member(f, len(packed) - len(warc.member(rows[2])))
+        m.header()
+        n = int(m.header()["content-length"])
+        with pytest.raises(ValueError):
+            m.body(n)
