@@ -153,7 +153,7 @@ class WarcWriter(DataSourceWriter):
                 if out is not None:
                     out.close()
                 names.append(f"part-{uuid.uuid4().hex}.warc.gz")
-                out, size = store.open_output_stream(f"{root}/{names[-1]}"), 0
+                out, size = store.open_output_stream(f"{root}/{names[-1]}", compression=None), 0
             size += out.write(member(record_bytes(row)))
         if out is not None:
             out.close()
