@@ -34,7 +34,8 @@ class LineRuns:
 
     def _write(self, keys: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex[:12]}"
-        (keys.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
+        # One task per bucket, so that a run is one file per bucket and not one per task and bucket.
+        (keys.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
          .option("path", staging_path(self.spark, name)).saveAsTable(name))
         return name
 
