@@ -112,6 +112,8 @@ def score(docs: DataFrame, model: DataFrame, threshold: int = THRESHOLD, buckets
             .withColumn("llr", F.expr("_s DIV _n"))
             .withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
             .withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+            # A filter on ``kept`` must not move below: Catalyst would copy all hashing into it, once per use.
+            .withColumn("kept", F.when(F.monotonically_increasing_id() >= 0, F.col("kept")))
             .drop("_n", "_s"))
 
 
