@@ -329,3 +329,9 @@ def test_warc_members_are_gzip_and_skippable(tmp_path):
         n = int(m.header()["content-length"])
         with pytest.raises(ValueError):
             m.body(n)
+
+
+def test_quality_filter_stays_above_the_counts(spark, docs):
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    kept = quality.run(docs, labels).where("kept").select("doc_id", "text")
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("array_remove(split(") == 1
