@@ -29,9 +29,11 @@ def jaccard_regions(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_index(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
-    verdict = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(verdict.where("contaminated").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    """Contaminated documents go, each row by its own verdict: a doc_id may be null or repeated."""
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "decontamination-rows")
+    # The operator carries its doc_id through, here the row's own id.
+    verdict = decontam.decontaminate(rows.select(F.col("_row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.join(verdict.where("contaminated").select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(*COLUMNS)
 
 
 def bm25_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,3 +40,14 @@ def test_pipeline_decisions_take_effect(spark):
     assert kept.join(clean, "doc_id", "left_anti").count() == 0
     pieces = corpus_pipeline.bm25_packing(spark, kept, SF)
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in kept.collect()}
+
+
+def test_decontamination_judges_rows_not_ids(spark, tmp_path):
+    item = " ".join(f"w{i}" for i in range(13))
+    spark.createDataFrame([(9, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, item), (None, "clean without an id"), (1, item), (1, "clean under the same id"), (2, "clean"), (2, "clean"), (3, None)]
+    docs = spark.createDataFrame([(i, t, "en", "x", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.benchmark_index(spark, docs.repartition(3), str(tmp_path))
+    assert kept.columns == corpus_pipeline.COLUMNS
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(got, key=repr) == sorted((r for r in rows if r[1] != item), key=repr)
