@@ -83,13 +83,21 @@ def score(model, df: DataFrame, features: Sequence[str]) -> DataFrame:
     return model.transform(assemble(df, features))
 
 
+#: The reference's whole grid after the parameter mapping: 64 fits.
+REFERENCE_GRID = {"step_sizes": (0.01, 0.1, 0.5, 1.0), "min_info_gain": (0.01, 0.1, 0.5, 1.0),
+                  "min_instances": (1, 5), "depths": (3, 6)}
+
+
 def grid_sweep(train: DataFrame, features: Sequence[str], label: str,
-               step_sizes=(0.1, 0.3), min_info_gain=(0.0,), min_instances=(1,), depths=(2, 3),
-               max_iter: int = 10, parallelism: int = 2, seed: int = 7):
+               step_sizes=None, min_info_gain=None, min_instances=None, depths=None,
+               max_iter: int = 10, parallelism: int | None = None, seed: int = 7):
     """L4: a parameter grid of gradient-boosted trees, each scored by RMSE.
 
     Parameters stand in for the reference's external grid (eta, gamma,
-    min_child_weight, depth).  Returns ``(params, rmse)`` pairs from a
+    min_child_weight, depth).  Without any list the whole ``REFERENCE_GRID`` is
+    swept; otherwise a parameter without a list keeps the estimator's default.
+    As many fits run at a time as the cluster has cores (at most 8), unless
+    ``parallelism`` is given.  Returns ``(params, rmse)`` pairs from a
     ``TrainValidationSplit`` whose fits run on the cluster.
     """
     from pyspark.ml.evaluation import RegressionEvaluator
@@ -97,11 +105,16 @@ def grid_sweep(train: DataFrame, features: Sequence[str], label: str,
     from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
     data = assemble(train, features).select("features", F.col(label).cast("double").alias("label"))
     gbt = GBTRegressor(featuresCol="features", labelCol="label", maxIter=max_iter, seed=seed)
-    grid = (ParamGridBuilder().addGrid(gbt.stepSize, list(step_sizes))
-            .addGrid(gbt.minInfoGain, list(min_info_gain))
-            .addGrid(gbt.minInstancesPerNode, list(min_instances))
-            .addGrid(gbt.maxDepth, list(depths)).build())
+    lists = {"step_sizes": step_sizes, "min_info_gain": min_info_gain, "min_instances": min_instances, "depths": depths}
+    if all(v is None for v in lists.values()):
+        lists = REFERENCE_GRID
+    swept = {"step_sizes": gbt.stepSize, "min_info_gain": gbt.minInfoGain, "min_instances": gbt.minInstancesPerNode, "depths": gbt.maxDepth}
+    builder = ParamGridBuilder()
+    for name, param in swept.items():
+        builder.addGrid(param, [gbt.getOrDefault(param)] if lists[name] is None else list(lists[name]))
+    grid = builder.build()
     tvs = TrainValidationSplit(estimator=gbt, estimatorParamMaps=grid, trainRatio=0.9, seed=seed,
-                               evaluator=RegressionEvaluator(metricName="rmse"), parallelism=parallelism)
+                               evaluator=RegressionEvaluator(metricName="rmse"),
+                               parallelism=parallelism or min(8, train.sparkSession.sparkContext.defaultParallelism))
     model = tvs.fit(data)
     return list(zip(grid, model.validationMetrics))

@@ -47,3 +47,13 @@ def test_grid_sweep_small(spark):
     df = spark.range(0, 60).select(F.col("id").cast("double").alias("x"), (F.col("id") * 2.0).alias("y"))
     res = mdl.grid_sweep(df, ["x"], "y", step_sizes=(0.3,), depths=(2,), max_iter=3, parallelism=1)
     assert len(res) == 1 and res[0][1] >= 0
+
+
+def test_grid_sweep_default_is_the_whole_reference_grid(spark):
+    import itertools
+    df = spark.range(0, 60).coalesce(1).select(F.col("id").cast("double").alias("x"), (F.col("id") * 2.0).alias("y"))
+    res = mdl.grid_sweep(df, ["x"], "y", max_iter=1)
+    names = ("stepSize", "minInfoGain", "minInstancesPerNode", "maxDepth")
+    got = [tuple({k.name: v for k, v in p.items()}[n] for n in names) for p, _ in res]
+    want = set(itertools.product((0.01, 0.1, 0.5, 1.0), (0.01, 0.1, 0.5, 1.0), (1, 5), (3, 6)))
+    assert len(got) == 64 and set(got) == want and all(r >= 0 for _, r in res)
