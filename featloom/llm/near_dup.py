@@ -2,8 +2,9 @@
 
 Jaccard distance d = 1 - J is a metric; documents link when d <= r (r = 0.2).
 
-1. Equal shingle sets are one class (128-bit set key); a class is named by its
-   smallest doc_id.  Everything below works on classes.
+1. Equal shingle sets are one class (128-bit set key); its id is the smallest
+   staged row id of its rows.  Everything below works on classes; doc_ids, which
+   may be null or repeated, only name the components at the end.
 2. Exact pruning.  A class with a partner lacks at most r * n of its n shingles
    in that partner, so a class with more than r * n shingles that no other class
    has is alone.  This is tested on the shingles below a fixed hash bound first
@@ -43,7 +44,6 @@ REGION = 0.3
 LEVELS, SHRINK = 4, 0.15
 #: Rows of a block of a region.
 BLOCK = 1024
-ID = "did long, n long, k1 long, k2 long"
 
 
 def shingle_sets(col: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -81,20 +81,19 @@ def set_keys(grams: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out[0], out[1]
 
 
-def classes_of(docs: DataFrame) -> DataFrame:
-    """One row per input row: (doc_id, n, k1, k2, low): set size, set key, shingles below the region bound."""
+def classes_of(texts: DataFrame) -> DataFrame:
+    """One row per row of ``texts``: (rid, doc_id, n, k1, k2, low): set size, set key, shingles below the region bound."""
 
     def run(batches):
         for b in chunks(batches):
-            grams, offs = shingle_sets(b.column(1))
+            grams, offs = shingle_sets(b.column(2))
             k1, k2 = set_keys(grams, offs)
             low = np.concatenate([[0], np.cumsum(grams < _bound(REGION))])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.diff(offs), pa.int64()), pa.array(k1), pa.array(k2), pa.array(low[offs[1:]] - low[offs[:-1]], pa.int64())],
-                names=["doc_id", "n", "k1", "k2", "low"])
+                [b.column(0), b.column(1), pa.array(np.diff(offs), pa.int64()), pa.array(k1), pa.array(k2), pa.array(low[offs[1:]] - low[offs[:-1]], pa.int64())],
+                names=["rid", "doc_id", "n", "k1", "k2", "low"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, low long")
+    return texts.select("rid", "doc_id", "text").mapInArrow(run, "rid long, doc_id long, n long, k1 long, k2 long, low long")
 
 
 def _bound(share: float) -> np.uint64:
@@ -214,34 +213,28 @@ def _owner(c: str = "k1"):
     return F.col(c).bitwiseAND(F.lit(2**48 - 1))
 
 
-def candidate_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def candidate_sets(texts: DataFrame, classes: DataFrame) -> DataFrame:
     """Staged (id, n, toks): classes of which at most r * n shingles are theirs alone, with all shingles."""
     loose = 100 - PERCENT
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     # A class whose count is missing shares nothing.
-    shared = shared_counts(texts, REGION, True)
-    first = (classes.where("n > 0").join(shared, _owner() == F.col("o"), "left")
+    shared = shared_counts(texts.select("rid", "text"), REGION, True)
+    first = (classes.join(shared, _owner() == F.col("o"), "left")
              .where(100 * (F.col("low") - F.coalesce("n_shared", F.lit(0))) <= loose * F.col("n"))
-             .select("did", "id", "n", "k1", "k2"))
+             .select("id", "n", "k1"))
     first = staged(first, "near-first")
 
     def sets(batches):
         for b in chunks(batches):
             grams, offs = shingle_sets(b.column(1))
-            k1, k2 = set_keys(grams, offs)
             toks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(offs.astype(np.int64) * 8), pa.py_buffer(np.ascontiguousarray(grams))])
-            cols = [b.column(0), toks.cast(pa.binary()), pa.array(k1), pa.array(k2), *(b.column(i) for i in (2, 3, 4, 5))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "toks", "a1", "a2", "id", "n", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([b.column(3), toks.cast(pa.binary()), b.column(0), b.column(2)], names=["k1", "toks", "id", "n"])
 
-    found = (texts.join(first.select(F.col("did").alias("doc_id"), "id", "n", "k1", "k2"), "doc_id")
-             .select("doc_id", "text", "id", "n", "k1", "k2")
-             .mapInArrow(sets, "doc_id long, toks binary, a1 long, a2 long, id long, n long, k1 long, k2 long")
-             .where("a1 = k1 AND a2 = k2").select("k1", "toks", "id", "n"))
+    found = (texts.select(F.col("rid").alias("id"), "text").join(first, "id").select("id", "text", "n", "k1")
+             .mapInArrow(sets, "k1 long, toks binary, id long, n long"))
     found = staged(found, "near-sets")
     again = shared_counts(found.select("k1", "toks"), 1.0, False)
-    # Repeated rows of a representative would repeat its class.
     return staged(found.join(again, _owner() == F.col("o")).where(100 * (F.col("n") - F.col("n_shared")) <= loose * F.col("n"))
-                  .groupBy("id").agg(F.first("n").alias("n"), F.first("toks").alias("toks")), "near-candidates")
+                  .select("id", "n", "toks"), "near-candidates")
 
 
 def ranked_shingles(sets: DataFrame) -> DataFrame:
@@ -396,38 +389,50 @@ def links(sets: DataFrame) -> list[DataFrame]:
     return edges
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: (doc_id, n_shingles, component_id).
+def linked(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of staged ``texts`` (rid, doc_id, text; rid unique): the rows (see classes_of) and (k1, k2, c).
 
-    A null or empty text, or one without words, has no shingles and is linked
-    with nothing.  Rows with equal sets are linked, repeated rows included.  A
-    null doc_id is its class's name only where the class has no other; its
-    component is null then.
+    ``c`` is the component of a class: the smallest class id in it.
     """
-    rows = staged(classes_of(docs), "near-classes")
-    classes = (rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("did"), F.first("n").alias("n"), F.first("low").alias("low"))
-               .where("did IS NOT NULL").withColumn("id", F.col("did")))
+    rows = staged(classes_of(texts), "near-classes")
+    classes = (rows.where("n > 0").groupBy("k1", "k2").agg(F.min("rid").alias("id"), F.min("doc_id").alias("did"), F.first("n").alias("n"), F.first("low").alias("low")))
     classes = staged(classes, "near-names")
-    sets = candidate_sets(docs, classes)
-    edges = links(sets)
-    names = classes.select("k1", "k2", "id")
+    edges = links(candidate_sets(texts, classes))
+    names = classes.select("k1", "k2", "id", "did")
     if edges:
         all_edges = edges[0]
         for e in edges[1:]:
             all_edges = all_edges.union(e)
-        names = names.join(components(all_edges), "id", "left").select("k1", "k2", F.coalesce("comp", "id").alias("comp"))
+        names = names.join(components(all_edges), "id", "left").withColumn("c", F.coalesce("comp", "id"))
     else:
-        names = names.withColumnRenamed("id", "comp")
+        names = names.withColumn("c", F.col("id"))
+    return rows, staged(names.select("k1", "k2", "did", "c"), "near-linked")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: (doc_id, n_shingles, component_id).
+
+    A null or empty text, or one without words, has no shingles and is linked
+    with nothing.  Rows with equal sets are linked, repeated rows included.
+    Links are between rows, whatever their doc_id; a component is named by its
+    smallest doc_id, and null if none of its rows has one.
+    """
+    texts = staged(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), F.col("text").cast("string")), "near-rows")
+    rows, names = linked(texts)
+    names = names.join(names.groupBy("c").agg(F.min("did").alias("comp")), "c").select("k1", "k2", "comp")
     return (rows.join(names, ["k1", "k2"], "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that name their group: the smallest doc_id of each component, one row of it.
+    """One row of ``docs`` of each component: the one with its smallest doc_id, a row without an id only if no row has one.
 
-    Rows with a null doc_id stay only if nothing links to a document with an id.
+    A row without shingles is linked with nothing and stays.
     """
-    found = near_duplicates(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id")
-    kept = staged(found.groupBy("doc_id").agg(F.count("*").alias("rows")), "near-kept")
-    out = docs.join(kept.select(F.col("doc_id").alias("_kept")), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return out if kept.where("rows > 1 AND doc_id IS NOT NULL").isEmpty() else out.dropDuplicates(["doc_id"])
+    whole = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    rows, names = linked(whole.select(F.col("_row").alias("rid"), F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("best")
+    # Classes first, so that the rows of a large component meet only as one row per class.
+    of_class = rows.where("n > 0").groupBy("k1", "k2").agg(best).join(names, ["k1", "k2"]).select("c", "best.*")
+    kept = of_class.groupBy("c").agg(best).select(F.col("best.rid").alias("_row")).union(rows.where("n = 0").select(F.col("rid").alias("_row")))
+    return whole.join(staged(kept, "near-kept"), "_row", "left_semi").drop("_row")

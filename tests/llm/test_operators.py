@@ -144,6 +144,28 @@ def test_one_of_each_group_stays(docs, corpus):
     assert bag(kept) == bag({c for _, _, c in jaccard_components(corpus)})
 
 
+def test_links_do_not_depend_on_doc_ids(spark):
+    words = [f"w{k}" for k in range(100)]
+    change = lambda base, *at: " ".join("new" if k in at else w for k, w in enumerate(base))
+    bridge = [f"b{k}" for k in range(100)]
+    other, third = [f"o{k}" for k in range(100)], [f"t{k}" for k in range(100)]
+    rows = [
+        (10, change(words)), (None, change(words, 50)), (None, change(words, 50)),  # near copies without an id
+        (21, change(bridge, 10, 30)), (None, change(bridge)), (20, change(bridge, 60, 80)),  # linked only by a row without an id
+        (30, change(other)), (30, change(third)), (31, change(other, 40)), (32, change(third, 40)),  # two texts of one id
+        (None, "none of these has an id " * 2), (None, "none of these has an id " * 2), (None, None), (40, ""),
+    ]
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for _, t in rows[3:6]]
+    alike = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    assert alike(sets[0], sets[1]) and alike(sets[1], sets[2]) and not alike(sets[0], sets[2])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    name = [10] * 3 + [20] * 3 + [30] * 4 + [None] * 3 + [40]
+    got = [(r.doc_id, r.component_id) for r in near_dup.near_duplicates(docs).collect()]
+    assert bag(got) == bag(zip([i for i, _ in rows], name))
+    kept = [tuple(r) for r in near_dup.keep_one(docs).collect()]
+    assert bag(kept) == bag([rows[0], rows[5], rows[6], rows[7], rows[10], rows[12], rows[13]])
+
+
 def test_quality(spark, docs, corpus, empty):
     labels = spark.createDataFrame([(0, 1, 0), (10, 1, 0), (11, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     want = []
