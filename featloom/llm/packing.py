@@ -3,10 +3,11 @@
 Documents are tokenised once into a staged table of token ids.  Term statistics
 (document frequencies, mean length) cover all documents.  The BM25 inverted
 index is sharded: a shard is a run of ``SHARD_DOCS`` documents of one partition,
-so shards need no shuffle and bound a task's memory.  Whole windows of a long
-document are sequences of their own; the ends of documents are packed: a seed
-asks its shard's index for unused neighbours, which fill its window in order of
-score.  The neighbour that does not fit is cut, and its rest is the next seed,
+so shards need no shuffle and bound a task's memory; neighbours in other shards
+are not found.  Whole windows of a long document are sequences of their own; the
+ends of documents are packed: a seed asks its shard's index, with all terms of
+its whole document, for unused neighbours, whose ends fill its window in order
+of score.  The neighbour that does not fit is cut, and its rest is the next seed,
 so only the last sequence of a shard is padded.
 """
 
@@ -25,8 +26,8 @@ from featloom.llm.common import chunks, span_hashes, staged, text_buffer
 
 WINDOW = 1024
 SHARD_DOCS = 2048
-#: Rarest terms of a seed that are looked up; BM25 parameters.
-QUERY_TERMS, K1, B = 24, 1.2, 0.75
+#: BM25 parameters.
+K1, B = 1.2, 0.75
 END = 0
 SPECIAL = {"<|endoftext|>": 50256}
 #: Segments whose ids a Python worker remembers before it starts anew.
@@ -140,32 +141,46 @@ def statistics(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
 
 
 class Shard:
-    """A BM25 inverted index over the open ends of documents, and the greedy filling of windows."""
-
-    def __init__(self, ends: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
-        lens = np.fromiter(map(len, ends), np.int64, len(ends))
-        doc = np.repeat(np.arange(len(ends)), lens)
-        terms = np.concatenate(ends).astype(np.int64)
-        key, tf = np.unique(doc * (1 << 16) + terms, return_counts=True)
-        d, t = key >> 16, key & 0xFFFF
-        w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[d] / mean))
-        order = np.argsort(t, kind="stable")
-        self.docs, self.weights = d[order], w[order].astype(np.float32)
+    """A BM25 inverted index over whole documents, and the greedy filling of windows with their open ends.
+
+    ``left`` is how many ids of each document are still to be packed.  Terms that
+    more than a quarter of the documents have are dense rows, the others postings.
+    """
+
+    def __init__(self, docs: list[np.ndarray], left: np.ndarray, idf: np.ndarray, mean: float) -> None:
+        lens = np.fromiter(map(len, docs), np.int64, len(docs))
+        terms, counts = zip(*(np.unique(x, return_counts=True) for x in docs))
+        size = np.fromiter(map(len, terms), np.int64, len(docs))
+        d, t, tf = np.repeat(np.arange(len(docs)), size), np.concatenate(terms).astype(np.int64), np.concatenate(counts)
+        w = (idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[d] / mean))).astype(np.float32)
+        df = np.bincount(t, minlength=1 << 16)
+        often = 4 * df > len(docs)
+        row = np.cumsum(often) - 1
+        here = often[t]
+        self.dense = np.zeros((int(often.sum()), len(docs)), np.float32)
+        self.dense[row[t[here]], d[here]] = w[here]
+        order = np.flatnonzero(~here)
+        order = order[np.argsort(t[order], kind="stable")]
+        self.docs, self.weights = d[order], w[order]
         self.bounds = np.searchsorted(t[order], np.arange((1 << 16) + 1))
-        first = np.searchsorted(d, np.arange(len(ends) + 1))
+        first = np.cumsum(size) - size
         self.query = []
-        shared = np.diff(self.bounds) > 1
-        for a, z in zip(first, first[1:]):
-            own = t[a:z][shared[t[a:z]]]
-            self.query.append(own if len(own) <= QUERY_TERMS else own[np.argpartition(-idf[own], QUERY_TERMS)[:QUERY_TERMS]])
-        self.left = lens.copy()
+        for a, n in zip(first.tolist(), size.tolist()):
+            own = t[a:a + n]
+            own = own[df[own] > 1]  # a term of the seed alone scores nobody else
+            self.query.append((row[own[often[own]]], own[~often[own]]))
+        self.left = left.copy()
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 score of every document for all terms of the seed."""
+        rows, rare = self.query[seed]
+        a, n = self.bounds[rare], self.bounds[rare + 1] - self.bounds[rare]
+        at = np.arange(int(n.sum())) + np.repeat(a - (np.cumsum(n) - n), n)
+        return np.bincount(self.docs[at], self.weights[at], len(self.left)) + self.dense[rows].sum(0)
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Unused documents in order of BM25 score for the seed's rarest terms, the rest after them."""
-        spans = [slice(self.bounds[t], self.bounds[t + 1]) for t in self.query[seed]]
-        score = np.zeros(len(self.left), np.float64)
-        if spans:
-            score = np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), len(self.left))
+        """Unused documents in order of BM25 score for the seed, whole document against whole document."""
+        score = self.scores(seed)
         open_ = np.flatnonzero(self.left > 0)
         return open_[np.argsort(-score[open_], kind="stable")]
 
@@ -235,7 +250,8 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             rest = [i for i, (_, ids) in enumerate(shard) if len(ids) > whole[i]]
             if rest:
                 at = {k: whole[i] for k, i in enumerate(rest)}
-                for row in Shard([shard[i][1][whole[i]:] for i in rest], idf, mean).sequences():
+                left = np.array([len(shard[i][1]) - whole[i] for i in rest])
+                for row in Shard([shard[i][1] for i in rest], left, idf, mean).sequences():
                     offset = 0
                     for k, n in row:
                         pieces.append(piece(shard[rest[k]], at[k], n, number, offset))

@@ -103,6 +103,38 @@ def test_packing(docs, corpus, empty):
     assert packing.pack(empty, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_packing_scores_whole_documents_by_all_terms():
+    rnd = np.random.default_rng(3)
+    p = 1 / np.arange(1, 400)
+    docs = [rnd.choice(np.arange(1, 400, dtype=np.uint16), rnd.integers(60, 3000), p=p / p.sum()) for _ in range(40)]
+    df = np.bincount(np.concatenate([np.unique(x) for x in docs]), minlength=1 << 16)
+    idf, mean = np.log1p((40 - df + 0.5) / (df + 0.5)), float(np.mean([len(x) for x in docs]))
+    shard = packing.Shard(docs, np.array([len(x) % 1024 for x in docs]), idf, mean)
+    for seed in range(40):
+        want = np.zeros(40)
+        for other, x in enumerate(docs):
+            tf = collections.Counter(x.tolist())
+            want[other] = sum(idf[t] * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(x) / mean)) for t in np.unique(docs[seed]).tolist() if df[t] > 1)
+        assert np.allclose(shard.scores(seed), want, rtol=1e-4)
+        assert len(shard.neighbours(seed)) == sum(len(x) % 1024 > 0 for x in docs)
+
+
+def test_packing_neighbour_comes_from_the_body(spark):
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    body, tail = "river mountain valley forest ", "engine piston valve gear "
+    n = lambda t: len(tok.encode(t, add_special_tokens=False).ids) + 1
+    long = body * 100
+    while n(long + tail) < 1024 + 3:
+        long += body
+    assert n(long + tail) < 1024 + 40
+    rows = [(1, long + tail), (2, tail * 40), (3, tail * 40), (4, body * 40), (5, tail * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    pieces = packing.pack(docs, RANKS, public_tokenizers.PATTERN).collect()
+    of_seed = next(r.sequence_id for r in pieces if r.doc_id == 1 and r.start == 1024)
+    first = sorted((r.offset, r.doc_id) for r in pieces if r.sequence_id == of_seed)
+    assert [d for _, d in first[:2]] == [1, 4]
+
+
 @pytest.mark.parametrize("text", ["a  b  c   d", "it's <|endoftext|> ok <|endoftext|>", " lead", "tail \n", "é ß\u0085 x 12 34", "　 　x "])
 def test_segments_encode_like_the_tokenizer(text):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
