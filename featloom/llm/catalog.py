@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featloom.llm import chat, decontam, line_dedup, near_dup, packing, quality, secrets, suffix_dedup, url_filter, warc
+from featloom.llm import (chat, decontam, lang_id, line_dedup, merkle, near_dup, packing, quality, secrets, suffix_dedup, url_filter,
+                          warc, whitening)
 from featloom.llm.common import staging_path
 
 
@@ -70,5 +71,18 @@ def op10_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(full, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_positional_index, op2_prefix_doubling, op3_bm25_packing, op4_jaccard_regions, op5_quality_llr, op6_line_runs, op7_url_rules, op8_secret_ledger, op9_chat_columns, op10_warc_source)}
-ORACLES = {"op6_line_runs": line_dedup.ORACLE_SQL, "op10_warc_source": warc.ORACLE_SQL}
+def op11_rank_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(_t(spark, sf_dir, "documents"))
+
+
+def op12_time_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(_t(spark, sf_dir, "documents"))
+
+
+def op13_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(_t(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (op1_positional_index, op2_prefix_doubling, op3_bm25_packing, op4_jaccard_regions, op5_quality_llr, op6_line_runs, op7_url_rules, op8_secret_ledger, op9_chat_columns, op10_warc_source, op11_rank_profiles, op12_time_forward, op13_feast_whitening)}
+ORACLES = {"op6_line_runs": line_dedup.ORACLE_SQL, "op10_warc_source": warc.ORACLE_SQL, "op11_rank_profiles": lang_id.ORACLE_SQL, "op12_time_forward": merkle.ORACLE_SQL}
