@@ -53,19 +53,30 @@ def click_features(clicks: DataFrame, periods: Sequence[int] = DEFAULT_PERIODS,
     Output: ``uid, clickNum{p}, clickPage{p}, clickPageParam{p}, clickParam{p}``
     for users with at least one click in ``periods``; hash-partitioned by uid.
     """
+    return click_wide(click_period_counts(clicks, periods, period, ts_col), periods)
+
+
+def click_period_counts(clicks: DataFrame, periods: Sequence[int] = DEFAULT_PERIODS, period="month",
+                        ts_col: str = "click_time") -> DataFrame:
+    """Clicks per ``(uid, period, pid, param)``: the finest grain."""
     periods = list(periods)
     base = (_in_periods(clicks, period, ts_col, periods)
             .select("uid", _period_col(period, ts_col).alias("period"), "pid", "param")
             .where(F.col("period").isin(periods)))
+    return base.groupBy("uid", "period", "pid", "param").agg(F.count(F.lit(1)).alias("n"))
+
+
+def click_wide(counts: DataFrame, periods: Sequence[int] = DEFAULT_PERIODS) -> DataFrame:
+    """A3-A6 per user from click counts of the finest grain."""
+    periods = list(periods)
     # One scan and one shuffle of raw rows (map-side partial counts at the
     # finest key), then one small shuffle re-keying those counts by uid.  The
     # per-page and per-param totals are window sums inside the uid partitions
     # (uid partitioning satisfies both windows and the final aggregate), so
     # raw rows are hashed once and no further exchange is planned.
-    keys = ["uid", "period", "pid", "param"]
-    fine = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).repartition("uid")
+    fine = counts.select("uid", "period", "pid", "param", "n").repartition("uid")
     fine = fine.select(
-        *keys, "n",
+        "*",
         F.sum("n").over(Window.partitionBy("uid", "period", "pid")).alias("n_page"),
         F.sum("n").over(Window.partitionBy("uid", "period", "param")).alias("n_param"))
     # A null page or param is an empty key, so that map totals add up to the count.
@@ -115,8 +126,12 @@ def order_features(orders: DataFrame, periods: Sequence[int] = DEFAULT_PERIODS,
     Sums keep the input type (exact for decimals); the mean is a double ratio
     of the discount total over the order count.
     """
+    return order_wide(order_period_stats(orders, periods, period, date_col), periods)
+
+
+def order_wide(fine: DataFrame, periods: Sequence[int] = DEFAULT_PERIODS) -> DataFrame:
+    """A7-A10 per user from order aggregates of the finest grain."""
     periods = list(periods)
-    fine = order_period_stats(orders, periods, period, date_col)
     aggs = []
     for p in periods:
         at = f"period = {p}"
@@ -149,15 +164,36 @@ def loan_features(loans: DataFrame, periods: Sequence[int] = DEFAULT_PERIODS, pe
     base = (_in_periods(loans, period, ts_col, periods)
             .select("uid", _period_col(period, ts_col).alias("period"), "loan_amount", q.alias("q"))
             .where(F.col("period").isin(periods)))
+    return _loan_wide(base, periods, lambda at: f"count(CASE WHEN {at} THEN 1 END)")
+
+
+def loan_period_stats(loans: DataFrame, periods: Sequence[int] = DEFAULT_PERIODS, period="month",
+                      ts_col: str = "loan_time", per_plan_type: str | None = None) -> DataFrame:
+    """Loan aggregates per ``(uid, period)``: count, total and sum of instalments."""
+    q = safe_ratio(F.col("loan_amount"), F.col("plan_num"))
+    base = (_in_periods(loans, period, ts_col, periods)
+            .select("uid", _period_col(period, ts_col).alias("period"), "loan_amount",
+                    (q.cast(per_plan_type) if per_plan_type else q).alias("q"))
+            .where(F.col("period").isin(list(periods))))
+    return base.groupBy("uid", "period").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("loan_amount").alias("loan_amount"), F.sum("q").alias("q"))
+
+
+def loan_wide(fine: DataFrame, periods: Sequence[int] = DEFAULT_PERIODS) -> DataFrame:
+    """A11-A12 per user from loan aggregates per period."""
+    return _loan_wide(fine, list(periods), lambda at: _sum_sql(at, "n", "0L"))
+
+
+def _loan_wide(rows: DataFrame, periods: Sequence[int], count_sql) -> DataFrame:
     aggs = []
     for p in periods:
         at = f"period = {p}"
         aggs += [
-            F.expr(f"count(CASE WHEN {at} THEN 1 END)").alias(f"loanNum{p}"),
+            F.expr(count_sql(at)).alias(f"loanNum{p}"),
             F.expr(_sum_sql(at, "loan_amount")).alias(f"loanAmount{p}"),
             F.expr(_sum_sql(at, "q")).alias(f"_q{p}"),
         ]
-    per_user = base.groupBy("uid").agg(*aggs)
+    per_user = rows.groupBy("uid").agg(*aggs)
     avg = {f"avgLoanPerPlan{p}": F.expr(f"CASE WHEN loanNum{p} > 0 THEN cast(_q{p} AS double) / loanNum{p} ELSE 0D END")
            for p in periods}
     cols = ["uid"] + [c for m in LOAN_METRICS for c in period_columns(m, periods)]
@@ -207,6 +243,12 @@ def wide_features(users: DataFrame, clicks: DataFrame, orders: DataFrame, loans:
     cf = click_features(clicks, periods, click_period or period)
     of = order_features(orders, periods, period)
     lf = loan_features(loans, periods, period, per_plan_type=per_plan_type)
+    return join_wide(users, cf, of, lf, loan_sums, periods)
+
+
+def join_wide(users: DataFrame, cf: DataFrame, of: DataFrame, lf: DataFrame, loan_sums: DataFrame | None = None,
+              periods: Sequence[int] = DEFAULT_PERIODS) -> DataFrame:
+    """The wide row from the per-user frames of clicks, orders and loans."""
     u = users.select(*USER_COLUMNS)
     j = u.join(cf, "uid", "left").join(of, "uid", "left").join(lf, "uid", "left")
     if loan_sums is not None:

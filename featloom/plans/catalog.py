@@ -11,18 +11,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from featloom.operators import boosting as gbt
 from featloom.operators import encode as enc
 from featloom.operators import latest as lat
 from featloom.operators import model as mdl
+from featloom.operators import moments as mom
+from featloom.operators import nested as nst
 from featloom.operators import periods as per
+from featloom.operators import positions as pos
 from featloom.operators import samples as smp
 from featloom.operators import snapshot as snp
+from featloom.operators.store import PeriodStore
 from featloom.plans import tables as t
 from featloom.schemas import (CLICK_METRICS, CLICK_SCHEMA, DEFAULT_PERIODS, LOAN_METRICS, LOAN_SCHEMA,
                               LOAN_SUM_CSV_SCHEMA, USER_SCHEMA, period_columns)
 from featloom.functions.dates import ymd_text
 from featloom.sources import csv as csvsrc
 from featloom.sources.specs import parse_dictionary
+from featloom.session import scratch_path
 from featloom.sources.text import parse_delimited
 
 WEEKS = (1, 2, 3, 4)
@@ -66,7 +72,10 @@ def monthly_loan_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def raw_feature_wide(spark: SparkSession, sf: str) -> DataFrame:
-    w = _wide(spark, sf)
+    return _wide_doubles(_wide(spark, sf))
+
+
+def _wide_doubles(w: DataFrame) -> DataFrame:
     dbl = ["limit", "loanSum"] + [c for m in DOUBLE_METRICS for c in period_columns(m, DEFAULT_PERIODS)]
     return _doubles(w, dbl).withColumn("active_date", F.col("active_date").cast("string"))
 
@@ -303,6 +312,95 @@ def grid_sweep_rmse(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "step_size double, min_info_gain double, min_instances int, max_depth int, rmse double")
 
 
+def _exact_users(spark: SparkSession, sf: str) -> DataFrame:
+    """Features and label as exact decimals, so that their sums do not depend on the partitioning."""
+    data = mdl.numeric_user_features(_labelled_users(spark, sf))
+    return data.select("uid", "is_train", *[F.col(f).cast(t.MONEY).alias(f) for f in mdl.USER_FEATURES], F.col("loan_sum").cast(t.MONEY).alias("label"))
+
+
+def linreg_sgd_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """L2 as the reference trains: at most 100 steps of 1e-8 on the training side."""
+    fit = mom.fit_steps(_exact_users(spark, sf).where("is_train"), mdl.USER_FEATURES, "label")
+    return fit.select("n", "steps", *[F.col("weights")[i].alias(f"w_{f}") for i, f in enumerate(mdl.USER_FEATURES)], "rmse_zero", "rmse_model")
+
+
+def kfold_sgd_rmse(spark: SparkSession, sf: str) -> DataFrame:
+    """L1 + L2 + L3 + A13 over ten folds, all from one scan."""
+    return mom.cross_validate(_exact_users(spark, sf), "uid", mdl.USER_FEATURES, "label").drop("weights")
+
+
+def boosted_grid_rmse(spark: SparkSession, sf: str) -> DataFrame:
+    """L4: the whole grid of 128 boosted forests, grown together and scored on the validation side."""
+    data = mdl.numeric_user_features(_labelled_users(spark, sf))
+    _, scored = gbt.fit_grid(data, mdl.USER_FEATURES, "loan_sum", train="is_train")
+    return gbt.grid_rmse(gbt.grid(), scored)
+
+
+#: Records of a kind in a chunk of the nested queries; small, so that the test tables have users of several chunks.
+CHUNK = 16
+
+
+def _nested(spark: SparkSession, sf: str, **options) -> DataFrame:
+    return nst.nest(t.users(spark, sf), t.clicks(spark, sf), t.orders(spark, sf), t.loans(spark, sf), size=CHUNK, **options)
+
+
+def nested_user_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """A1 + J1-J3 + J6: every user's records in sorted chunks, rendered as text."""
+    def text(kind, *fields):
+        return F.array_join(F.transform(kind, lambda r: F.concat_ws(":", *[F.coalesce(f(r), F.lit("")) for f in fields])), ";").alias(kind)
+
+    def plain(name):
+        return lambda r: r[name].cast("string")
+
+    def time(name):
+        return lambda r: F.date_format(r[name], "yyyy-MM-dd HH:mm:ss")
+
+    n = _nested(spark, sf, loan_sums=t.loan_sums(spark, sf))
+    return n.select("uid", "age", "chunk_no", text("clicks", time("click_time"), plain("pid"), plain("param")),
+                    text("orders", plain("buy_date"), plain("order_key"), plain("line_number"), plain("number")),
+                    text("loans", time("loan_time"), plain("loan_amount"), plain("plan_num")), F.col("loan_sum").cast("double").alias("loan_sum"))
+
+
+def nested_snapshot_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """J1-J3 + F2: only records of months before October, with each chunk's sizes and time span."""
+    n = _nested(spark, sf, before_month=10)
+    return n.select("uid", "chunk_no", *[F.size(k).cast("long").alias(f"n_{k}") for k in nst.KINDS],
+                    *[F.date_format(f"{k}_{e}", "yyyy-MM-dd HH:mm:ss").alias(f"{k}_{e}") for k in nst.KINDS for e in ("from", "to")])
+
+
+def nested_cutoff_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """F4 over the stored nested table: whole chunks judged by their time columns."""
+    n = nst.cut_off(nst.store(_nested(spark, sf)), CUTOFF)
+    return n.select("uid", "chunk_no", *[F.size(k).cast("long").alias(f"n_{k}") for k in nst.KINDS],
+                    *[F.date_format(f"{k}_to", "yyyy-MM-dd HH:mm:ss").alias(f"{k}_to") for k in nst.KINDS])
+
+
+def nested_feature_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """A16 over the nested table; the same rows as ``raw_feature_wide``."""
+    n = nst.store(_nested(spark, sf, loan_sums=t.loan_sums(spark, sf)))
+    return _wide_doubles(nst.wide_features(n, per_plan_type=t.PER_PLAN))
+
+
+def store_feature_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """The wide row from a period store grown month by month; a part of month 9 arrives two months late."""
+    store = PeriodStore(spark, scratch_path(spark, "period-store"), per_plan_type=t.PER_PLAN)
+    frames = {"clicks": (t.clicks(spark, sf), "click_time"), "orders": (t.orders(spark, sf), "buy_date"), "loans": (t.loans(spark, sf), "loan_time")}
+    late = (F.col("uid") % 7 == 0)
+    for m in DEFAULT_PERIODS:
+        month = {k: F.month(ts) for k, (_, ts) in frames.items()}
+        due = {k: df.where(((month[k] == m) & ~((month[k] == 9) & late)) | ((month[k] == 9) & late & F.lit(m == 11))) for k, (df, _) in frames.items()}
+        store.add(f"month-{m}", **due)
+    return _wide_doubles(store.wide(t.users(spark, sf), {k: df for k, (df, _) in frames.items()}, t.loan_sums(spark, sf)))
+
+
+def attach_by_position(spark: SparkSession, sf: str) -> DataFrame:
+    """R5 + J7 by row position: row i of the users gets the amount of row i of the loans in time order."""
+    users = t.users(spark, sf).select("uid", "age")
+    loans = t.loans(spark, sf).select("loan_time", F.col("uid").alias("loan_uid"), "loan_amount", "plan_num")
+    out = pos.attach_by_position(users, loans, ["loan_uid", "loan_amount"], ["uid"], ["loan_time", "loan_uid", "loan_amount", "plan_num"])
+    return out.select("pos", "uid", "age", "loan_uid", F.col("loan_amount").cast("double").alias("loan_amount"))
+
+
 # Encoder over one row per user: label loan_sum, discrete age/sex, a page map, a count.
 ENCODER_SPEC = enc.FeatureSpec(["uid", "age_d", "sex_d", "page_m", "n_orders", "loan_sum"], "loan_sum",
                                ["uid", "sex_d"])
@@ -392,6 +490,15 @@ QUERIES = {
     "linreg_single_feature": linreg_single_feature,
     "linreg_full_rmse": linreg_full_rmse,
     "grid_sweep_rmse": grid_sweep_rmse,
+    "linreg_sgd_steps": linreg_sgd_steps,
+    "kfold_sgd_rmse": kfold_sgd_rmse,
+    "boosted_grid_rmse": boosted_grid_rmse,
+    "nested_user_chunks": nested_user_chunks,
+    "nested_snapshot_chunks": nested_snapshot_chunks,
+    "nested_cutoff_chunks": nested_cutoff_chunks,
+    "nested_feature_wide": nested_feature_wide,
+    "store_feature_wide": store_feature_wide,
+    "attach_by_position": attach_by_position,
 }
 
 
@@ -437,4 +544,12 @@ def oracle_sql() -> dict[str, str]:
         "split_train_validation": o.split_train_validation(),
         "rmse_zero_baseline": o.rmse_zero_baseline(),
         "linreg_single_feature": o.linreg_single_feature(),
+        "linreg_sgd_steps": o.linreg_sgd_steps(),
+        "kfold_sgd_rmse": o.kfold_sgd_rmse(),
+        "nested_user_chunks": o.nested_user_chunks(CHUNK),
+        "nested_snapshot_chunks": o.nested_snapshot_chunks(CHUNK),
+        "nested_cutoff_chunks": o.nested_cutoff_chunks(CHUNK, CUTOFF),
+        "nested_feature_wide": o.raw_feature_wide(),
+        "store_feature_wide": o.raw_feature_wide(),
+        "attach_by_position": o.attach_by_position(),
     }

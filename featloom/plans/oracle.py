@@ -563,3 +563,126 @@ def encode_with_existing() -> str:
                     WHERE key NOT IN (SELECT key FROM known))""") + """
 SELECT key, CAST(id AS BIGINT) AS id FROM known
 UNION ALL SELECT key, CAST(k + (SELECT coalesce(max(id), 0) FROM known) AS BIGINT) FROM fresh"""
+
+
+# --- least squares from sums -----------------------------------------------------
+
+LINEAR_FEATURES = ("age", '"limit"', "sex", "year(active_date) - 1900", "month(active_date) - 1", "day(active_date)")
+
+
+def _plus(terms) -> str:
+    out = terms[0]
+    for x in terms[1:]:
+        out = f"({out} + {x})"
+    return out
+
+
+def _gradient_ctes(steps: int = 100, step_size: float = 1e-8, tolerance: float = 1e-3) -> list[str]:
+    """``fit(grp, t, w0.., done)``: the steps on the sums in ``m(grp, n, x{i}_{j}, xy{i}, yy)``, in the order Spark takes them."""
+    d = range(len(LINEAR_FEATURES))
+    at = lambda i, j: f"m.x{min(i, j)}_{max(i, j)}"
+    moved = [f"fit.w{i} - {step_size!r}::DOUBLE / sqrt((t + 1)::DOUBLE) * (({_plus([f'{at(i, j)} * fit.w{j}' for j in d])} - m.xy{i}) / n::DOUBLE) AS v{i}" for i in d]
+    gap = f"sqrt({_plus([f'(v{i} - w{i}) * (v{i} - w{i})' for i in d])})"
+    norm = f"sqrt({_plus([f'v{i} * v{i}' for i in d])})"
+    return [f"""fit AS (SELECT grp, 0 AS t, {", ".join(f"0::DOUBLE AS w{i}" for i in d)}, n = 0 AS done FROM m
+  UNION ALL SELECT grp, t + 1, {", ".join(f"v{i}" for i in d)}, t + 1 > 1 AND {gap} < {tolerance!r}::DOUBLE * greatest({norm}, 1::DOUBLE)
+  FROM (SELECT fit.*, n, {", ".join(moved)} FROM fit JOIN m USING (grp) WHERE NOT done AND t < {steps}))""",
+            "fitted AS (SELECT * FROM fit QUALIFY t = max(t) OVER (PARTITION BY grp))"]
+
+
+def _sums(prefix: str = "") -> list[str]:
+    d = range(len(LINEAR_FEATURES))
+    return [*[f"x{i}_{j}" for i in d for j in d if i <= j], *[f"xy{i}" for i in d], "yy"]
+
+
+def _linear_rows() -> list[str]:
+    feats = ", ".join(f"CAST({f} AS DECIMAL(18,2)) AS f{i}" for i, f in enumerate(LINEAR_FEATURES))
+    d = range(len(LINEAR_FEATURES))
+    sums = [f"sum(f{i} * f{j}) AS x{i}_{j}" for i in d for j in d if i <= j] + [f"sum(f{i} * label) AS xy{i}" for i in d] + ["sum(label * label) AS yy"]
+    return [
+        "ll AS (SELECT uid, sum(loan_amount) AS s FROM loans WHERE month(loan_time) = 11 GROUP BY uid)",
+        f"""rows AS (SELECT {_sha1_bucket("CAST(users.uid AS VARCHAR)")} AS bucket, {feats}, CAST(coalesce(ll.s, 0) AS DECIMAL(18,2)) AS label
+            FROM users LEFT JOIN ll ON users.uid = ll.uid)""",
+        f"folds AS (SELECT bucket // 100 AS fold, count(*) AS n, {', '.join(sums)} FROM rows GROUP BY ALL)",
+        f"train AS (SELECT count(*) AS n, {', '.join(sums)} FROM rows WHERE bucket < 900)",
+    ]
+
+
+def _error(alias: str) -> str:
+    d = range(len(LINEAR_FEATURES))
+    at = lambda i, j: f"{alias}.x{min(i, j)}_{max(i, j)}::DOUBLE"
+    fit = _plus([f"w{i} * {alias}.xy{i}::DOUBLE" for i in d])
+    square = _plus([f"w{i} * ({_plus([f'{at(i, j)} * w{j}' for j in d])})" for i in d])
+    return f"sqrt(greatest({alias}.yy::DOUBLE - 2::DOUBLE * {fit} + {square}, 0::DOUBLE) / {alias}.n)"
+
+
+def linreg_sgd_steps() -> str:
+    names = ("f_age", "f_limit", "f_sex", "f_year", "f_month", "f_day")
+    m = f"m AS (SELECT 0 AS grp, n, {', '.join(f'{c}::DOUBLE AS {c}' for c in _sums())} FROM train)"
+    return _with(*_linear_rows(), m, *_gradient_ctes()).replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+SELECT m.n, t AS steps, {", ".join(f"w{i} AS w_{c}" for i, c in enumerate(names))}, sqrt(yy / m.n) AS rmse_zero, {_error("m")} AS rmse_model
+FROM m JOIN fitted USING (grp)"""
+
+
+def kfold_sgd_rmse() -> str:
+    rest = ", ".join(f"(sum({c}) OVER () - {c})::DOUBLE AS {c}" for c in _sums())
+    m = f"m AS (SELECT fold AS grp, sum(n) OVER () - n AS n, {rest} FROM folds)"
+    return _with(*_linear_rows(), m, *_gradient_ctes()).replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+SELECT fold, CAST(m.n AS BIGINT) AS n_train, folds.n AS n_valid, t AS steps, sqrt(folds.yy::DOUBLE / folds.n) AS rmse_zero, {_error("folds")} AS rmse_model
+FROM folds JOIN m ON m.grp = fold JOIN fitted ON fitted.grp = fold"""
+
+
+# --- nested users ------------------------------------------------------------------
+
+_RECORDS = {
+    "clicks": ("clicks", "click_time", "click_time, pid, param",
+               "strftime(click_time, '%Y-%m-%d %H:%M:%S') || ':' || coalesce(pid::VARCHAR, '') || ':' || coalesce(param::VARCHAR, '')"),
+    "orders": ("buys", "buy_date", "buy_date, price, number, cate_id, discount, order_key, line_number",
+               "buy_date::VARCHAR || ':' || order_key::VARCHAR || ':' || line_number::VARCHAR || ':' || number::VARCHAR"),
+    "loans": ("loans", "loan_time", "loan_time, loan_amount, plan_num",
+              "strftime(loan_time, '%Y-%m-%d %H:%M:%S') || ':' || loan_amount::VARCHAR || ':' || plan_num::VARCHAR"),
+}
+
+
+def _chunk_ctes(size: int, before_month: int | None = None) -> list[str]:
+    """``placed(uid, kind, pos, chunk_no, ts, txt)`` and ``chunk_keys(uid, chunk_no)`` (every user has chunk 0)."""
+    parts = []
+    for kind, (table, ts, order, txt) in _RECORDS.items():
+        month = f" WHERE month({ts}) < {before_month}" if before_month else ""
+        parts.append(f"""SELECT uid, '{kind}' AS kind, row_number() OVER (PARTITION BY uid ORDER BY {", ".join(f"{c} NULLS FIRST" for c in order.split(", "))}) - 1 AS pos,
+          CAST({ts} AS TIMESTAMP) AS ts, {txt} AS txt FROM (SELECT * FROM {table}{month}) WHERE uid IN (SELECT uid FROM users)""")
+    return [f"placed AS (SELECT *, pos // {size} AS chunk_no FROM ({' UNION ALL '.join(parts)}))",
+            "chunk_keys AS (SELECT uid, 0 AS chunk_no FROM users UNION SELECT uid, chunk_no FROM placed)"]
+
+
+def _per_kind(form: str) -> str:
+    return ", ".join(form.format(k=k, on=f"kind = '{k}'") for k in _RECORDS)
+
+
+def nested_user_chunks(size: int) -> str:
+    return _with(*_chunk_ctes(size)) + f"""
+SELECT k.uid, users.age, k.chunk_no, {_per_kind("coalesce(string_agg(txt, ';' ORDER BY pos) FILTER ({on}), '') AS {k}")},
+  CAST(coalesce(any_value(loan_sums.loan_sum), 0) AS DOUBLE) AS loan_sum
+FROM chunk_keys k JOIN users ON users.uid = k.uid LEFT JOIN loan_sums ON loan_sums.uid = k.uid LEFT JOIN placed p ON p.uid = k.uid AND p.chunk_no = k.chunk_no
+GROUP BY k.uid, users.age, k.chunk_no"""
+
+
+def nested_snapshot_chunks(size: int, before_month: int = 10) -> str:
+    return _with(*_chunk_ctes(size, before_month)) + f"""
+SELECT k.uid, k.chunk_no, {_per_kind("count(*) FILTER ({on}) AS n_{k}")},
+  {_per_kind("strftime(min(ts) FILTER ({on}), '%Y-%m-%d %H:%M:%S') AS {k}_from, strftime(max(ts) FILTER ({on}), '%Y-%m-%d %H:%M:%S') AS {k}_to")}
+FROM chunk_keys k LEFT JOIN placed p ON p.uid = k.uid AND p.chunk_no = k.chunk_no GROUP BY k.uid, k.chunk_no"""
+
+
+def nested_cutoff_chunks(size: int, cutoff: str) -> str:
+    return _with(*_chunk_ctes(size)) + f"""
+SELECT k.uid, k.chunk_no, {_per_kind("count(*) FILTER ({on}) AS n_{k}")}, {_per_kind("strftime(max(ts) FILTER ({on}), '%Y-%m-%d %H:%M:%S') AS {k}_to")}
+FROM chunk_keys k LEFT JOIN (SELECT * FROM placed WHERE ts < TIMESTAMP '{cutoff}') p ON p.uid = k.uid AND p.chunk_no = k.chunk_no
+GROUP BY k.uid, k.chunk_no HAVING k.chunk_no = 0 OR count(kind) > 0"""
+
+
+def attach_by_position() -> str:
+    return _with(
+        "a AS (SELECT row_number() OVER (ORDER BY uid) - 1 AS pos, uid, age FROM users)",
+        "b AS (SELECT row_number() OVER (ORDER BY loan_time, uid, loan_amount, plan_num) - 1 AS pos, uid AS loan_uid, loan_amount FROM loans)",
+    ) + "SELECT a.pos, a.uid, a.age, b.loan_uid, CAST(b.loan_amount AS DOUBLE) AS loan_amount FROM a JOIN b ON a.pos = b.pos"

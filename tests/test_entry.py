@@ -14,7 +14,7 @@ def test_contract_keys():
     q, s = entry.queries(), entry.oracle_sql()
     assert set(s) <= set(q) and set(catalog.QUERIES) <= set(q)
     # The training-data queries may be absent; their twins are tested beside them.
-    assert set(catalog.QUERIES) - set(s) == {"linreg_full_rmse", "grid_sweep_rmse"}
+    assert set(catalog.QUERIES) - set(s) == {"linreg_full_rmse", "grid_sweep_rmse", "boosted_grid_rmse"}
 
 
 def test_entry_runs(spark):
