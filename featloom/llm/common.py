@@ -8,33 +8,77 @@ vectorised passes and memory is bounded by the batch.
 from __future__ import annotations
 
 import uuid
+import weakref
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featloom.session import checkpoint_dir
+from featloom.session import checkpoint_dir, delete_path
 
 ASCII_SPACE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Deletes the shuffle files of an execution as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Where staged tables lie, and the folders of every open scope.
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+_SCOPES: list[list[str]] = []
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared checkpoint folder, removed when the session's JVM ends."""
+    """A new folder under the shared checkpoint folder, removed with its scope or when the session's JVM ends."""
     path = f"{checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex[:12]}"
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    for scope in _SCOPES:
+        scope.append(path)
     return path
 
 
 def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a lineage cut that survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: a lineage cut that survives lost executors.
+
+    What the write has shuffled is deleted with it: from here on the table stands for it.
+    """
     spark, path = df.sparkSession, staging_path(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    spark._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files behind what is now a table
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for t in tables:
+        delete_path(t.sparkSession, _PATHS.pop(t))
+
+
+@contextmanager
+def staging_scope(folders: list[str] | None = None):
+    """Collects the folders staged inside; see ``discard_folders``."""
+    folders = [] if folders is None else folders
+    _SCOPES.append(folders)
+    try:
+        yield folders
+    finally:
+        _SCOPES.remove(folders)
+
+
+def discard_folders(spark: SparkSession, folders: list[str], keep: DataFrame | None = None) -> None:
+    """Deletes the folders of a scope, but for that of the staged table ``keep``."""
+    for path in folders:
+        if keep is None or path != _PATHS[keep]:
+            delete_path(spark, path)
 
 
 def lower_ascii(c: Column) -> Column:

@@ -19,7 +19,8 @@ Jaccard distance d = 1 - J is a metric; documents link when d <= r (r = 0.2).
    boundary document and compared with those x for which the triangle inequality
    leaves |d(x, p) - d(y, p)| <= r.  Large regions are split into blocks.
 5. Classes without a home recur with new pivots.  When a level no longer shrinks
-   them, each is its own region and a prefix join at radius r finishes.
+   them, each is its own region and a prefix join at radius r finishes; classes that
+   share a frequent prefix shingle are compared in blocks instead of as pairs.
 
 The join is exact; links inside a region that cannot change the components are
 not enumerated.
@@ -30,10 +31,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featloom.llm.common import ASCII_FOLD, NOT_SPACE, chunks, gram_hashes, mix, span_hashes, staged, text_buffer, word_spans
+from featloom.llm.common import (ASCII_FOLD, NOT_SPACE, chunks, discard, discard_folders, gram_hashes, mix, span_hashes, staged,
+                                  staging_scope, text_buffer, word_spans)
 
 SHINGLE = 5
 #: Similarity in percent at which two documents link.
@@ -42,8 +44,10 @@ PERCENT = 80
 REGION = 0.3
 #: Levels of pivots before the rest is joined directly; a level must settle this share of its classes.
 LEVELS, SHRINK = 4, 0.15
-#: Rows of a block of a region.
-BLOCK = 1024
+#: Rows of a block of a region or family, and shingles of a block of a family.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 22
+#: Prefixes that hold a shingle up to which their pairs are listed.
+FEW = 16
 
 
 def shingle_sets(col: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -186,27 +190,12 @@ def shared_counts(rows: DataFrame, share: float, from_text: bool) -> DataFrame:
                 pairs, n = np.unique(pairs, axis=0, return_counts=True)
                 out.append((pairs[:, 0], n, pairs[:, 1].astype(np.int64)))
         who, n, c = (np.concatenate([x[i] for x in out]) if out else np.empty(0, np.int64) for i in range(3))
-        who = who.astype(np.int64)
-        to = who % buckets
-        order = np.argsort(to, kind="stable")
-        who, n, c, to = who[order], n[order].astype(np.int32), c[order].astype(np.int64), to[order]
-        cut = np.flatnonzero(np.diff(to, prepend=-1))
-        ends = np.append(cut[1:], len(to)) if len(cut) else cut
-        blobs = [[x[a:z].tobytes() for a, z in zip(cut, ends)] for x in (who, c, n)]
-        return pa.table({"bucket": pa.array(to[cut].astype(np.int32)), **{k: pa.array(v, pa.binary()) for k, v in zip("ocn", blobs)}})
-
-    def add(table: pa.Table) -> pa.Table:
-        """Sum the answers of a class per chunk; the chunk that knows most about it counts."""
-        who, c, n = (np.frombuffer(b"".join(table.column(k).to_pylist()), t) for k, t in zip("ocn", (np.int64, np.int64, np.int32)))
-        order = np.lexsort((c, who))
-        who, c, n = who[order], c[order], n[order].astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (c[1:] != c[:-1])]))
-        n, who = np.add.reduceat(n, first), who[first]
-        first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
-        return pa.table({"o": pa.array(who[first]), "n_shared": pa.array(np.maximum.reduceat(n, first))})
-
-    return (rows.mapInArrow(deal, schema).groupBy("bucket").applyInArrow(settle, "bucket int, o binary, c binary, n binary")
-            .groupBy("bucket").applyInArrow(add, "o long, n_shared long"))
+        return pa.table({"o": pa.array(who.astype(np.int64)), "c": pa.array(c.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+    answers = rows.mapInArrow(deal, schema).groupBy("bucket").applyInArrow(settle, "o long, c long, n long")
+    # Of a class's answers per chunk, the chunk that knows most about it counts; one exchange serves both sums.
+    per_chunk = answers.repartition("o").groupBy("o", "c").agg(F.sum("n").alias("n"))
+    return per_chunk.groupBy("o").agg(F.max("n").alias("n_shared"))
 
 
 def _owner(c: str = "k1"):
@@ -232,15 +221,21 @@ def candidate_sets(texts: DataFrame, classes: DataFrame) -> DataFrame:
     found = (texts.select(F.col("rid").alias("id"), "text").join(first, "id").select("id", "text", "n", "k1")
              .mapInArrow(sets, "k1 long, toks binary, id long, n long"))
     found = staged(found, "near-sets")
+    discard(first)
     again = shared_counts(found.select("k1", "toks"), 1.0, False)
-    return staged(found.join(again, _owner() == F.col("o")).where(100 * (F.col("n") - F.col("n_shared")) <= loose * F.col("n"))
-                  .select("id", "n", "toks"), "near-candidates")
+    out = staged(found.join(again, _owner() == F.col("o")).where(100 * (F.col("n") - F.col("n_shared")) <= loose * F.col("n"))
+                 .select("id", "n", "toks"), "near-candidates")
+    discard(found)
+    return out
 
 
 def ranked_shingles(sets: DataFrame) -> DataFrame:
-    """Staged (id, n, tok, df, rank, shared): shingles that several classes have, rarest first.
+    """Staged, per class: (id, n, shared, typical, buckets, prefix).
 
-    ``rank`` counts from 0 and starts behind the shingles that only this class has.
+    ``shared`` counts the shingles that other classes have too, ``typical`` is their mean frequency.
+    ``prefix`` lists the rarest of them, rarest first, as far as a search at 2r reads; the rank of
+    entry i is ``n - shared + i``, behind the shingles that only this class has.  ``buckets`` holds a
+    min-hash over the more frequent half for each level.
     """
 
     def explode(batches):
@@ -251,15 +246,30 @@ def ranked_shingles(sets: DataFrame) -> DataFrame:
                                               pa.array(raw.view(np.int64) if len(raw) else np.empty(0, np.int64))], names=["id", "n", "tok"])
 
     toks = sets.select("id", "n", "toks").mapInArrow(explode, "id long, n long, tok long")
-    df = toks.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
-    own = Window.partitionBy("id")
-    return staged(toks.join(df, "tok").withColumn("shared", F.count("*").over(own))
-                  .withColumn("rank", F.col("n") - F.col("shared") + F.row_number().over(own.orderBy("df", "tok")) - 1), "near-shingles")
+    df = staged(toks.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1"), "near-frequencies")
+    # Each of the three shuffles is deleted before the next one begins.
+    found = staged(toks.join(df, "tok"), "near-frequent")
+    discard(df)
+    per = found.groupBy("id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("t"))
+    per = per.select("id", "n", F.size("t").cast("long").alias("shared"), "t")
+    length = F.expr(f"cast(greatest(least(n * {2 * (100 - PERCENT)} div 100 - (n - shared) + 1, shared), 0) AS int)")
+    half = F.expr("transform(slice(t, cast((shared + 1) div 2 + 1 AS int), cast(shared - (shared + 1) div 2 AS int)), e -> e.tok)")
+    out = staged(per.select(
+        "id", "n", "shared", (F.expr("aggregate(t, 0L, (s, e) -> s + e.df)") / F.col("n")).alias("typical"),
+        F.array(*[F.array_min(F.transform(half, _hashed(level))) for level in range(LEVELS)]).alias("buckets"),
+        F.transform(F.slice("t", F.lit(1), length), lambda e: e.tok).alias("prefix")), "near-shingles")
+    discard(found)
+    return out
+
+
+def _hashed(level: int):
+    return lambda t: F.xxhash64(t, F.lit(level))
 
 
 def _prefix(ranked: DataFrame, percent: int) -> DataFrame:
-    """The prefix in which two classes of at least ``percent`` similarity share a shingle."""
-    return ranked.where(100 * F.col("rank") <= (100 - percent) * F.col("n"))
+    """(id, n, tok): the prefix in which two classes of at least ``percent`` similarity share a shingle."""
+    rows = ranked.select("id", "n", "shared", F.posexplode("prefix").alias("i", "tok"))
+    return rows.where(100 * (F.col("n") - F.col("shared") + F.col("i")) <= (100 - percent) * F.col("n")).select("id", "n", "tok")
 
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -288,7 +298,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        e = staged(small.where("u <> v").distinct(), "cc")
+        was, e = e, staged(small.where("u <> v").distinct(), "cc")
+        discard(was)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return e.select(F.col("u").alias("id"), F.col("v").alias("comp"))
@@ -343,15 +354,15 @@ def links(sets: DataFrame) -> list[DataFrame]:
     ranked = ranked_shingles(sets)
     loose = 100 - PERCENT
     wide = 100 - 2 * loose
-    members = staged(ranked.groupBy("id").agg(F.first("n").alias("n"), (F.sum("df") / F.first("n")).alias("typical")), "near-members")
+    members = ranked.select("id", "n", "typical")
     edges: list[DataFrame] = []
     left = members.count()
     for level in range(LEVELS):
         if not left:
             return edges
         here = ranked.join(members.select("id"), "id", "left_semi") if level else ranked
-        bucket = here.where("2 * (rank - n + shared) >= shared").groupBy("id").agg(F.min(F.xxhash64("tok", F.lit(level))).alias("bucket"))
-        pivots = staged(members.join(bucket, "id").groupBy("bucket").agg(F.max_by(F.struct("id", "n", "typical"), F.struct("typical", -F.col("id"))).alias("p"))
+        bucket = F.col("buckets")[level].alias("bucket")
+        pivots = staged(here.select("id", "n", "typical", bucket).where("bucket IS NOT NULL").groupBy("bucket").agg(F.max_by(F.struct("id", "n", "typical"), F.struct("typical", -F.col("id"))).alias("p"))
                         .select("p.*").distinct(), "near-pivots")
         ys = _prefix(here, wide).select("tok", F.col("id").alias("a"), F.col("n").alias("na"))
         ps = _prefix(here, wide).join(pivots.select("id"), "id", "left_semi").select("tok", F.col("id").alias("b"), F.col("n").alias("nb"))
@@ -376,37 +387,100 @@ def links(sets: DataFrame) -> list[DataFrame]:
         border = staged(border, "near-border")
         if not border.isEmpty():
             edges.append(staged(region_links(home, border, sets), "near-links"))
-        members = staged(members.join(home, "id", "left_anti").join(stay, "id", "left_anti"), "near-left")
+        before, members = members, staged(members.join(home, "id", "left_anti").join(stay, "id", "left_anti"), "near-left")
+        discard(pivots, stay, home, border, *([before] if level else []))
         was, left = left, members.count()
         if left > (1 - SHRINK) * was:
             break
     if left:
-        rest = _prefix(ranked.join(members.select("id"), "id", "left_semi"), PERCENT)
-        xs, ys = rest.select("tok", F.col("id").alias("a"), F.col("n").alias("na")), rest.select("tok", F.col("id").alias("b"), F.col("n").alias("nb"))
-        pairs = (xs.join(ys, "tok").where((F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")))
-                 .select("a", "b").distinct())
-        edges.append(staged(measured(pairs, sets).where(100 * F.col("both") >= PERCENT * F.col("total")).select("a", "b"), "near-rest"))
+        edges += rest_links(_prefix(ranked.join(members.select("id"), "id", "left_semi"), PERCENT), sets)
     return edges
 
 
+def rest_links(rest: DataFrame, sets: DataFrame) -> list[DataFrame]:
+    """Edge tables that connect what links connect among the classes whose prefixes ``rest`` (id, n, tok) lists.
+
+    A shingle that at most ``FEW`` prefixes hold gives its pairs, at most ``FEW / 2`` a prefix entry.
+    Classes that share a more frequent one form a family (connected over such shingles), which is
+    compared in blocks.
+    """
+    rest = staged(rest, "near-prefixes")
+    freq = staged(rest.groupBy("tok").agg(F.count("*").alias("m"), F.min("id").alias("lead")).where("m > 1"), "near-tokens")
+    few = staged(rest.join(freq.where(F.col("m") <= FEW).select("tok"), "tok"), "near-few")
+    xs, ys = few.select("tok", F.col("id").alias("a"), F.col("n").alias("na")), few.select("tok", F.col("id").alias("b"), F.col("n").alias("nb"))
+    pairs = (xs.join(ys, "tok").where((F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")))
+             .select("a", "b").distinct())
+    edges = [staged(measured(pairs, sets).where(100 * F.col("both") >= PERCENT * F.col("total")).select("a", "b"), "near-rest")]
+    many = freq.where(F.col("m") > FEW)
+    if not many.isEmpty():
+        of = components(rest.join(many, "tok").select(F.col("id").alias("a"), F.col("lead").alias("b")))
+        family = staged(of.union(of.select("comp", "comp").distinct()), "near-families")
+        edges.append(staged(family_links(family, sets), "near-family"))
+        discard(family)
+    discard(rest, freq, few)
+    return edges
+
+
+def family_links(family: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links that connect what all links within each family (id, comp) connect: a forest per pair of blocks."""
+    rows = family.join(sets, "id")
+    blocks = rows.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("k"))
+    rows = rows.join(blocks, "comp").withColumn("own", F.pmod(F.xxhash64("id"), "k").cast("int")).withColumn("x", F.explode(F.expr("sequence(0, k - 1)")))
+    rows = rows.select("comp", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "own", "id", "toks")
+
+    def forest(table: pa.Table) -> pa.Table:
+        first, own = table.column("i")[0].as_py(), table.column("own").to_numpy()
+        ids, toks = table.column("id").to_numpy(), [np.frombuffer(t, np.uint64) for t in table.column("toks").to_pylist()]
+        same = first == table.column("j")[0].as_py()
+        at = np.flatnonzero(own == first)
+        out = []
+        if len(at):
+            each = [toks[k] for k in at]
+            size = np.array([len(x) for x in each])
+            flat, owner = np.concatenate(each), np.repeat(np.arange(len(at)), size)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            root = np.arange(len(ids))
+            for k in at if same else np.flatnonzero(own != first):
+                t = toks[k]
+                a, z = np.searchsorted(flat, t), np.searchsorted(flat, t, side="right")
+                n = z - a
+                both = np.bincount(owner[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(at))
+                linked = at[100 * both >= PERCENT * (size + len(t) - both)]
+                new, pick = np.unique(root[linked], return_index=True)
+                for r, y in zip(new.tolist(), linked[pick].tolist()):
+                    if r != root[k]:
+                        out.append((ids[k], ids[y]))
+                        root[root == r] = root[k]
+        a, b = zip(*out) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("comp", "i", "j").applyInArrow(forest, "a long, b long")
+
+
 def linked(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of staged ``texts`` (rid, doc_id, text; rid unique): the rows (see classes_of) and (k1, k2, c).
 
     ``c`` is the component of a class: the smallest class id in it.
     """
     rows = staged(classes_of(texts), "near-classes")
-    classes = (rows.where("n > 0").groupBy("k1", "k2").agg(F.min("rid").alias("id"), F.min("doc_id").alias("did"), F.first("n").alias("n"), F.first("low").alias("low")))
-    classes = staged(classes, "near-names")
-    edges = links(candidate_sets(texts, classes))
-    names = classes.select("k1", "k2", "id", "did")
-    if edges:
-        all_edges = edges[0]
-        for e in edges[1:]:
-            all_edges = all_edges.union(e)
-        names = names.join(components(all_edges), "id", "left").withColumn("c", F.coalesce("comp", "id"))
-    else:
-        names = names.withColumn("c", F.col("id"))
-    return rows, staged(names.select("k1", "k2", "did", "c"), "near-linked")
+    with staging_scope() as folders:
+        classes = (rows.where("n > 0").groupBy("k1", "k2").agg(F.min("rid").alias("id"), F.min("doc_id").alias("did"), F.first("n").alias("n"), F.first("low").alias("low")))
+        classes = staged(classes, "near-names")
+        sets = candidate_sets(texts, classes)
+        edges = links(sets)
+        discard(sets)
+        names = classes.select("k1", "k2", "id", "did")
+        if edges:
+            all_edges = edges[0]
+            for e in edges[1:]:
+                all_edges = all_edges.union(e)
+            names = names.join(components(all_edges), "id", "left").withColumn("c", F.coalesce("comp", "id"))
+        else:
+            names = names.withColumn("c", F.col("id"))
+        out = staged(names.select("k1", "k2", "did", "c"), "near-linked")
+    discard_folders(texts.sparkSession, folders, out)
+    return rows, out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

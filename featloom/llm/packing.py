@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,12 +51,40 @@ class Segments:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=SPECIAL)
-        self.clear()
-
-    def clear(self) -> None:
-        self.known = np.empty(0, np.uint64)
+        self.bytes_of = np.zeros(1 << 16, np.int64)
+        for token, i in [*ranks.items(), *((k.encode(), v) for k, v in SPECIAL.items())]:
+            self.bytes_of[i] = len(token)
+        self.clear(CACHE_SEGMENTS)
+
+    def clear(self, room: int) -> None:
+        """Forgets all segments and makes room for the given number of them, in an open hash table of twice that."""
+        size = 1 << (2 * room - 1).bit_length()
+        self.room, self.mask = room, np.uint64(size - 1)
+        self.slot_key, self.slot_at = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
         self.at, self.n, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint16)
 
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each segment, -1 if it isn't known."""
+        out, open_, place = np.full(len(hashes), -1, np.int64), np.arange(len(hashes)), hashes & self.mask
+        while len(open_):
+            at = self.slot_at[place]
+            hit = (at >= 0) & (self.slot_key[place] == hashes[open_])
+            out[open_[hit]] = at[hit]
+            on = (at >= 0) & ~hit
+            open_, place = open_[on], (place[on] + np.uint64(1)) & self.mask
+        return out
+
+    def _enter(self, hashes: np.ndarray) -> None:
+        """Gives distinct new segments the next numbers."""
+        left = np.arange(len(hashes))
+        place, number = hashes & self.mask, (len(self.at) + left).astype(np.int32)
+        while len(left):
+            free = self.slot_at[place] < 0
+            self.slot_at[place[free]] = number[left[free]]
+            won = free & (self.slot_at[place] == number[left])
+            self.slot_key[place[won]] = hashes[left[won]]
+            left, place = left[~won], (place[~won] + np.uint64(1)) & self.mask
+
     @staticmethod
     def borders(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Start of every segment: of each text, and each space that opens one."""
@@ -66,32 +95,45 @@ class Segments:
         return np.union1d(starts, offs[:-1][offs[:-1] < offs[1:]])
 
     def learn(self, raw: np.ndarray, s: np.ndarray, e: np.ndarray, hashes: np.ndarray) -> None:
+        """Encodes the distinct segments among the given ones, none of them known.
+
+        Segments that open with a space and end with a visible character are encoded as one text: no
+        token spans their borders.  The others (at the ends of texts) are encoded one by one.
+        """
         new, first = np.unique(hashes, return_index=True)
-        if len(self.known):
-            at = np.minimum(np.searchsorted(self.known, new), len(self.known) - 1)
-            fresh = self.known[at] != new
-            new, first = new[fresh], first[fresh]
-        if not len(new):
-            return
-        data = raw.tobytes()
-        texts = [data[a:z].decode("utf-8", "replace") for a, z in zip(s[first].tolist(), e[first].tolist())]
-        ids = [self.encoding.encode(t, allowed_special="all") for t in texts]
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for i in ids for x in i), np.uint16, int(n.sum()))
-        at = len(self.flat) + np.cumsum(n) - n
-        place = np.searchsorted(self.known, new)
-        self.known, self.at, self.n = np.insert(self.known, place, new), np.insert(self.at, place, at), np.insert(self.n, place, n)
-        self.flat = np.concatenate([self.flat, flat])
+        s, e = s[first], e[first]
+        last = raw[e - 1]
+        joined = (raw[s] == 32) & (e - s > 1) & (last > 32) & (last < 127) & (raw[np.minimum(s + 1, len(raw) - 1)] > 32) & (raw[np.minimum(s + 1, len(raw) - 1)] < 127)
+        order = np.concatenate([np.flatnonzero(joined), np.flatnonzero(~joined)])
+        new, s, e = new[order], s[order], e[order]
+        k, data = int(joined.sum()), raw.tobytes()
+        text = b"".join([data[a:z] for a, z in zip(s[:k].tolist(), e[:k].tolist())])
+        ids = np.array(self._ids(text), np.uint16)
+        ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum((e - s)[:k]))
+        n = np.diff(ends + 1, prepend=0)
+        rest = [self._ids(data[a:z]) for a, z in zip(s[k:].tolist(), e[k:].tolist())]
+        n = np.concatenate([n, np.fromiter(map(len, rest), np.int64, len(rest))])
+        flat = np.concatenate([ids, np.fromiter((x for i in rest for x in i), np.uint16)])
+        self._enter(new)
+        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(n) - n])
+        self.n, self.flat = np.concatenate([self.n, n]), np.concatenate([self.flat, flat])
+
+    def _ids(self, text: bytes) -> list[int]:
+        return self.encoding.encode(text.decode("utf-8", "replace"), allowed_special="all")
 
     def encode(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and the n+1 offsets."""
         s = self.borders(raw, offs)
         e = np.append(s[1:], len(raw))
         hashes = span_hashes(raw, s, e)
-        if len(self.known) > CACHE_SEGMENTS:
-            self.clear()
-        self.learn(raw, s, e, hashes)
-        k = np.searchsorted(self.known, hashes) if len(s) else np.empty(0, np.int64)
+        k = self.find(hashes)
+        new = np.flatnonzero(k < 0)
+        if len(new):
+            if len(self.at) + len(np.unique(hashes[new])) > self.room:
+                self.clear(max(CACHE_SEGMENTS, len(hashes)))
+                new = np.arange(len(hashes))
+            self.learn(raw, s[new], e[new], hashes[new])
+            k = self.find(hashes)
         doc = np.searchsorted(offs, s, side="right") - 1
         n = self.n[k]
         per_doc = np.bincount(doc, n, len(offs) - 1).astype(np.int64) + 1
@@ -103,11 +145,19 @@ class Segments:
         return out, np.concatenate([[0], ends])
 
 
+@lru_cache(maxsize=1)
+def _segments(ranks_path: str, pattern: str) -> Segments:
+    """The segments of this Python worker; they outlive a task."""
+    return Segments(ranks_path, pattern)
+
+
 def tokenize(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Staged (doc_id, ids): little-endian unsigned 16-bit ids of each document, its end id included."""
 
     def run(batches):
-        enc = Segments(ranks_path, pattern)
+        from featloom.llm import packing  # the worker's own module, whose cache outlives the task
+
+        enc = packing._segments(ranks_path, pattern)
         for b in chunks(batches, 4 << 20):
             ids, offs = enc.encode(*text_buffer(b.column(1)))
             col = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(offs * 2), pa.py_buffer(ids)])
