@@ -2,32 +2,54 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featloom.llm import decontam, line_dedup, near_dup, packing, quality
 from featloom.llm.catalog import RANKS
-from featloom.llm.common import staged
+from featloom.llm.common import discard, discard_folders, staged, staging_scope
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+#: Folders of working tables that the last stage's result may still read.
+_left: list[str] = []
+
+
+def stage(function):
+    """A stage's result is written before the next stage begins, so its working tables go then."""
+
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard_folders(spark, _left)
+        _left.clear()
+        with staging_scope(_left):
+            return function(spark, docs, sf_dir)
+
+    return run_stage
+
 
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or the log-likelihood threshold go."""
     return quality.run(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("kept").select(*COLUMNS)
 
 
+@stage
 def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document holds go; ``n_chars`` follows the text."""
     return line_dedup.dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+@stage
 def jaccard_regions(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest doc_id."""
     return near_dup.keep_one(docs).select(*COLUMNS)
 
 
+@stage
 def benchmark_index(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go, each row by its own verdict: a doc_id may be null or repeated."""
     rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "decontamination-rows")
@@ -36,6 +58,7 @@ def benchmark_index(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.join(verdict.where("contaminated").select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(*COLUMNS)
 
 
+@stage
 def bm25_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 1024 tokens."""
     return packing.pack(docs, RANKS, public_tokenizers.PATTERN).drop("ids")
@@ -49,7 +72,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"stage-{name.replace('_', '-')}")
+    """The packed pieces; nothing else is left in the shared folder."""
+    docs, was = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, function in STAGES:
+        docs = staged(function(spark, docs, sf_dir), f"stage-{name.replace('_', '-')}")
+        discard_folders(spark, _left)
+        _left.clear()
+        if was is not None:
+            discard(was)
+        was = docs
     return docs
