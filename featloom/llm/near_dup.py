@@ -43,7 +43,7 @@ PERCENT = 80
 #: Share of the hash space that the first pruning test reads.
 REGION = 0.3
 #: Levels of pivots before the rest is joined directly; a level must settle this share of its classes.
-LEVELS, SHRINK = 4, 0.15
+LEVELS, SHRINK = 2, 0.15
 #: Rows of a block of a region or family, and shingles of a block of a family.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 22
 #: Prefixes that hold a shingle up to which their pairs are listed.
@@ -190,12 +190,43 @@ def shared_counts(rows: DataFrame, share: float, from_text: bool) -> DataFrame:
                 pairs, n = np.unique(pairs, axis=0, return_counts=True)
                 out.append((pairs[:, 0], n, pairs[:, 1].astype(np.int64)))
         who, n, c = (np.concatenate([x[i] for x in out]) if out else np.empty(0, np.int64) for i in range(3))
-        return pa.table({"o": pa.array(who.astype(np.int64)), "c": pa.array(c.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
-
-    answers = rows.mapInArrow(deal, schema).groupBy("bucket").applyInArrow(settle, "o long, c long, n long")
-    # Of a class's answers per chunk, the chunk that knows most about it counts; one exchange serves both sums.
-    per_chunk = answers.repartition("o").groupBy("o", "c").agg(F.sum("n").alias("n"))
-    return per_chunk.groupBy("o").agg(F.max("n").alias("n_shared"))
+        return dealt(who, c, n, lambda to: to // side + table.column("bucket")[0].as_py() // side * side)
+
+    def dealt(who, c, n, key) -> pa.Table:
+        """Answers (class, chunk, count) as one blob for each value of ``key`` of their target bucket."""
+        who, c, n = who.astype(np.int64), c.astype(np.int64), n.astype(np.int32)
+        to = key(who % buckets)
+        order = np.argsort(to, kind="stable")
+        who, n, c, to = who[order], n[order], c[order], to[order]
+        cut = np.flatnonzero(np.diff(to, prepend=-1))
+        ends = np.append(cut[1:], len(to)) if len(cut) else cut
+        blobs = [[x[a:z].tobytes() for a, z in zip(cut, ends)] for x in (who, c, n)]
+        return pa.table({"bucket": pa.array(to[cut].astype(np.int32)), **{k: pa.array(v, pa.binary()) for k, v in zip("ocn", blobs)}})
+
+    def summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Answers per class and chunk, added up."""
+        who, c, n = (np.frombuffer(b"".join(table.column(k).to_pylist()), t) for k, t in zip("ocn", (np.int64, np.int64, np.int32)))
+        order = np.lexsort((c, who))
+        who, c, n = who[order], c[order], n[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (c[1:] != c[:-1])]))
+        return who[first], c[first], np.add.reduceat(n, first)
+
+    def pass_on(table: pa.Table) -> pa.Table:
+        who, c, n = summed(table)
+        return dealt(who, c, n, lambda to: to)
+
+    def add(table: pa.Table) -> pa.Table:
+        """The chunk that knows most about a class counts."""
+        who, _, n = summed(table)
+        first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+        return pa.table({"o": pa.array(who[first]), "n_shared": pa.array(np.maximum.reduceat(n, first))})
+
+    # Answers go home in two steps over a square grid of buckets, so that their blobs number
+    # buckets ** 1.5 and not buckets ** 2: first from a row of senders to a row of targets.
+    side = int(np.ceil(np.sqrt(buckets)))
+    blob = "bucket int, o binary, c binary, n binary"
+    return (rows.mapInArrow(deal, schema).groupBy("bucket").applyInArrow(settle, blob).groupBy("bucket").applyInArrow(pass_on, blob)
+            .groupBy("bucket").applyInArrow(add, "o long, n_shared long"))
 
 
 def _owner(c: str = "k1"):
@@ -240,17 +271,16 @@ def ranked_shingles(sets: DataFrame) -> DataFrame:
 
     def explode(batches):
         for b in batches:
-            raw, offs = text_buffer(b.column(2))
-            n = np.diff(offs // 8)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.repeat(b.column(1).to_numpy(), n)),
-                                              pa.array(raw.view(np.int64) if len(raw) else np.empty(0, np.int64))], names=["id", "n", "tok"])
+            raw, offs = text_buffer(b.column(1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), np.diff(offs // 8))),
+                                              pa.array(raw.view(np.int64) if len(raw) else np.empty(0, np.int64))], names=["id", "tok"])
 
-    toks = sets.select("id", "n", "toks").mapInArrow(explode, "id long, n long, tok long")
+    toks = sets.select("id", "toks").mapInArrow(explode, "id long, tok long")
     df = staged(toks.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1"), "near-frequencies")
     # Each of the three shuffles is deleted before the next one begins.
     found = staged(toks.join(df, "tok"), "near-frequent")
     discard(df)
-    per = found.groupBy("id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("t"))
+    per = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("t")).join(sets.select("id", "n"), "id")
     per = per.select("id", "n", F.size("t").cast("long").alias("shared"), "t")
     length = F.expr(f"cast(greatest(least(n * {2 * (100 - PERCENT)} div 100 - (n - shared) + 1, shared), 0) AS int)")
     half = F.expr("transform(slice(t, cast((shared + 1) div 2 + 1 AS int), cast(shared - (shared + 1) div 2 AS int)), e -> e.tok)")
@@ -458,16 +488,19 @@ def family_links(family: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.groupBy("comp", "i", "j").applyInArrow(forest, "a long, b long")
 
 
-def linked(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def linked(texts: DataFrame, spare: bool = False) -> tuple[DataFrame, DataFrame]:
     """Of staged ``texts`` (rid, doc_id, text; rid unique): the rows (see classes_of) and (k1, k2, c).
 
-    ``c`` is the component of a class: the smallest class id in it.
+    ``c`` is the component of a class: the smallest class id in it.  With ``spare`` the texts are
+    deleted as soon as their shingles are known.
     """
     rows = staged(classes_of(texts), "near-classes")
     with staging_scope() as folders:
         classes = (rows.where("n > 0").groupBy("k1", "k2").agg(F.min("rid").alias("id"), F.min("doc_id").alias("did"), F.first("n").alias("n"), F.first("low").alias("low")))
         classes = staged(classes, "near-names")
         sets = candidate_sets(texts, classes)
+        if spare:
+            discard(texts)
         edges = links(sets)
         discard(sets)
         names = classes.select("k1", "k2", "id", "did")
@@ -492,7 +525,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     smallest doc_id, and null if none of its rows has one.
     """
     texts = staged(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), F.col("text").cast("string")), "near-rows")
-    rows, names = linked(texts)
+    rows, names = linked(texts, spare=True)
     names = names.join(names.groupBy("c").agg(F.min("did").alias("comp")), "c").select("k1", "k2", "comp")
     return (rows.join(names, ["k1", "k2"], "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("doc_id")).alias("component_id")))

@@ -4,6 +4,7 @@ import collections
 import gzip
 import hashlib
 import os
+import random
 import re
 import types
 import zlib
@@ -389,3 +390,56 @@ def test_quality_filter_stays_above_the_counts(spark, docs):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     kept = quality.run(docs, labels).where("kept").select("doc_id", "text")
     assert kept._jdf.queryExecution().optimizedPlan().toString().count("array_remove(split(") == 1
+
+
+def test_families_of_loose_copies_equal_brute_force(spark, monkeypatch):
+    """Many classes around one text, few of them linked, share their frequent shingles; blocks instead of pairs."""
+    from featloom.llm import common, near_dup
+
+    rnd = random.Random(11)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for _ in range(70):
+        w = list(base)
+        for _ in range(rnd.choice([1, 2, 3, 4])):
+            at = rnd.randrange(100)
+            w[at] = f"x{rnd.randrange(10**6)}"
+        texts.append(" ".join(w))
+    sets = [{" ".join(t.split()[i:i + 5]) for i in range(96)} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert 1 < len(set(root)) < len(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for levels, few, block in ((0, 4, 16), (0, 4, 1024), (1, 4, 16), (0, 1000, 16)):
+        monkeypatch.setattr(near_dup, "LEVELS", levels)
+        monkeypatch.setattr(near_dup, "FEW", few)
+        monkeypatch.setattr(near_dup, "BLOCK", block)
+        with common.staging_scope() as folders:
+            got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df).collect()}
+        common.discard_folders(spark, folders)
+        assert got == dict(enumerate(root)), (levels, few, block)
+
+
+def test_segment_cache_grows_and_starts_anew():
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from featloom.llm import packing
+    from featloom.llm.catalog import RANKS
+
+    enc = packing.Segments(RANKS, public_tokenizers.PATTERN)
+    whole = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    rnd = random.Random(5)
+    texts = ["", " ", "a", " <|endoftext|> b", "x  y\n z", "é ü 'll we'll", *(" ".join(rnd.choice(["ab", "c'd", "é1", "--", "日本", "\n", "", "Q<|endoftext|>"]) + str(rnd.randrange(99)) for _ in range(200)) for _ in range(30))]
+    enc.clear(64)  # far too small: every call starts anew or grows
+    for part in (texts[:5], texts, texts[5:20], texts[::-1]):
+        raw = [t.encode() for t in part]
+        ids, offs = enc.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        got = [ids[a:z].tolist() for a, z in zip(offs, offs[1:])]
+        assert got == [whole.encode(t, add_special_tokens=False).ids + [0] for t in part]

@@ -51,3 +51,14 @@ def test_decontamination_judges_rows_not_ids(spark, tmp_path):
     assert kept.columns == corpus_pipeline.COLUMNS
     got = [(r.doc_id, r.text) for r in kept.collect()]
     assert sorted(got, key=repr) == sorted((r for r in rows if r[1] != item), key=repr)
+
+
+def test_pipeline_leaves_nothing_but_its_result(spark):
+    from featloom.llm import common
+    from featloom.session import checkpoint_dir
+
+    fs_path = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(fs_path))
+    out = corpus_pipeline.run(spark, SF)
+    after = {x for x in set(os.listdir(fs_path)) - before if x.startswith("llm-")}
+    assert after == {os.path.basename(common._PATHS[out])} and out.count() > 0
