@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featloom.llm.common import ASCII_SPACE, lower_ascii, staged, staging_path, text_or_empty
+from featloom.session import delete_path
 
 MIN_KEY_CHARS = 10
 #: A null id comes after every other id.
@@ -31,12 +32,14 @@ class LineRuns:
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
+        self.paths: dict[str, str] = {}
 
     def _write(self, keys: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex[:12]}"
+        self.paths[name] = staging_path(self.spark, name)
         # One task per bucket, so that a run is one file per bucket and not one per task and bucket.
         (keys.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
-         .option("path", staging_path(self.spark, name)).saveAsTable(name))
+         .option("path", self.paths[name]).saveAsTable(name))
         return name
 
     def tables(self) -> list[DataFrame]:
@@ -59,15 +62,20 @@ class LineRuns:
             runs, self.levels[level] = self.levels[level], []
             merged = self._write(reduce(DataFrame.union, [self.spark.table(t) for t in runs]))
             for t in runs:
-                self.spark.sql(f"DROP TABLE {t}")
+                self._drop(t)
             self._put(level + 1, merged)
 
     def drop(self) -> None:
         for level in self.levels:
             for t in level:
-                self.spark.sql(f"DROP TABLE {t}")
+                self._drop(t)
         self.levels = []
 
+    def _drop(self, table: str) -> None:
+        """Drops a run and its files, which an external table would leave."""
+        self.spark.sql(f"DROP TABLE {table}")
+        delete_path(self.spark, self.paths.pop(table))
+
 
 def line_keys(docs: DataFrame) -> DataFrame:
     """(did, th, pos, h1, h2): 128-bit hash of every line key that takes part."""
@@ -121,11 +129,12 @@ def dedup(docs: DataFrame, batches: int = 4) -> DataFrame:
     gone = reduce(DataFrame.union, lost).groupBy("did", "th").agg(F.collect_set("pos").alias("_gone"))
     keep = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
     lines = F.split("_t", "\n", -1)
-    out = (docs.select(*keep, text_or_empty().alias("_t")).withColumns({"did": did, "th": F.xxhash64("_t")})
-           .join(gone, ["did", "th"], "left"))
+    # The input's columns travel in one struct, so that none of them meets a helper column.
+    out = (docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_in"), did.alias("did"), text_or_empty().alias("_t"))
+           .withColumn("th", F.xxhash64("_t")).join(gone, ["did", "th"], "left"))
     kept = F.expr("array_join(transform(array_except(sequence(0, size(_l) - 1), _gone), i -> _l[i]), '\n')")
     return (out.withColumn("_l", lines)
-            .select(*keep, F.when(F.col("_gone").isNull(), F.col("_t")).otherwise(kept).alias("text"),
+            .select("_in.*", F.when(F.col("_gone").isNull(), F.col("_t")).otherwise(kept).alias("text"),
                     F.size("_l").cast("long").alias("n_lines"),
                     F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped")))
 

@@ -97,13 +97,14 @@ def score(docs: DataFrame, model: DataFrame, threshold: int = THRESHOLD, buckets
     symbols = F.length(text) - F.length(_replaced(text, SYMBOLS, ""))
     summed = lambda c, v: F.aggregate(c, F.lit(0).cast("long"), lambda a, h: a + v[F.pmod(h, F.lit(buckets)).cast("int")])
     total = F.transform(F.array("_w"), lambda v: summed("wh", v) + summed("g2", v))[0]
-    return (docs.select(*keep, text_or_empty().alias("_t"))
+    # The input's columns travel in one struct, so that none of them meets a helper column.
+    return (docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_in"), text_or_empty().alias("_t"))
             .select("*", word_hashes(text).alias("wh"))
             .select("*", F.expr(shifted_pairs("wh", "wh", 1)).alias("g2"))
             .select("*", F.expr(shifted_pairs("g2", "g2", 2)).alias("g4"), lines.alias("_lines"))
             # Used once and alone in its projection, the weights are inlined rather than copied into every row.
             .select("*", model.scalar().alias("_w"))
-            .select(*keep, F.size("wh").cast("long").alias("n_words"),
+            .select("_in", F.size("wh").cast("long").alias("n_words"),
                     F.length(_replaced(text, ASCII_SPACE, "")).cast("long").alias("word_chars"),
                     F.when(text.rlike(f"[{SYMBOLS}]"), symbols).otherwise(0).cast("long").alias("n_symbols"),
                     (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
@@ -114,7 +115,7 @@ def score(docs: DataFrame, model: DataFrame, threshold: int = THRESHOLD, buckets
             .withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
             # A filter on ``kept`` must not move below: Catalyst would copy all hashing into it, once per use.
             .withColumn("kept", F.when(F.monotonically_increasing_id() >= 0, F.col("kept")))
-            .drop("_n", "_s"))
+            .select("_in.*", *made))
 
 
 def run(docs: DataFrame, labels: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
