@@ -40,8 +40,8 @@ def java_hash_bucket_col(value, prefix: str = "", n: int = 1000) -> Column:
 
     ``hash(prefix + v) = hash(prefix) * 31^len(v) + hash(v)`` (mod 2^32), so
     the fold starts from the prefix's hash and walks only the value's
-    characters.  ``ascii`` gives the code point, equal to the UTF-16 unit for
-    every character outside surrogate pairs.
+    characters.  ``ascii`` gives the code point; one beyond 16 bits is folded as
+    its two UTF-16 units.
     """
     start = java_string_hash(prefix) % _MASK32
     if isinstance(value, str):
@@ -50,7 +50,8 @@ def java_hash_bucket_col(value, prefix: str = "", n: int = 1000) -> Column:
     unsigned = F.aggregate(
         F.transform(F.filter(F.split(v, ""), lambda ch: ch != ""), lambda ch: F.ascii(ch).cast("long")),
         F.lit(start).cast("long"),
-        lambda acc, x: (acc * 31 + x) % F.lit(_MASK32))
+        lambda acc, x: F.when(x < 65536, (acc * 31 + x) % F.lit(_MASK32)).otherwise(
+            (((acc * 31 + 55296 + F.floor((x - 65536) / 1024)) % F.lit(_MASK32)) * 31 + 56320 + (x - 65536) % 1024) % F.lit(_MASK32)))
     signed = (unsigned + F.lit(1 << 31)) % F.lit(_MASK32) - F.lit(1 << 31)
     return F.abs(signed) % F.lit(n)
 
@@ -59,7 +60,8 @@ def java_hash_bucket_sql(value_sql: str, start: int, n: int = 1000) -> str:
     """SQL-text form of the per-row Java-hash bucket (one JVM parse)."""
     h = (f"aggregate(transform(filter(split(cast({value_sql} AS string), ''), ch -> ch != ''), "
          f"ch -> cast(ascii(ch) AS bigint)), "
-         f"{start}L, (a, x) -> (a * 31 + x) % {_MASK32}L)")
+         f"{start}L, (a, x) -> CASE WHEN x < 65536 THEN (a * 31 + x) % {_MASK32}L ELSE "
+         f"(((a * 31 + 55296 + (x - 65536) div 1024) % {_MASK32}L) * 31 + 56320 + (x - 65536) % 1024) % {_MASK32}L END)")
     # signed = ((h + 2^31) mod 2^32) - 2^31 for 0 <= h < 2^32: one reference to the fold.
     return f"abs((({h}) + {1 << 31}L) % {_MASK32}L - {1 << 31}L) % {n}"
 

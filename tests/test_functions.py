@@ -105,3 +105,14 @@ def test_repeated_map_keys_stay_cheap(spark):
     df = spark.createDataFrame([(text,)], "s string")
     assert df.select(unpack_map("s").alias("m")).first().m == {"7": 19999.0}
     assert df.select(unpack_map(F.col("s")).alias("m")).first().m == {"7": 19999.0}
+
+
+def test_java_buckets_of_surrogate_pairs(spark):
+    from pyspark.sql import functions as F
+
+    from featloom.functions import hashing as h
+
+    texts = ["😀", "a😀b", "𝐀𠀀", "￿", "\U00010000", "\U0010ffff", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    rows = df.select("v", h.java_hash_bucket_col("v", "slot").alias("a"), h.java_hash_bucket_col(F.col("v"), "slot").alias("b")).collect()
+    assert [(r.a, r.b) for r in rows] == [(h.java_hash_bucket("slot" + t),) * 2 for t in texts]
