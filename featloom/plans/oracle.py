@@ -62,12 +62,12 @@ def click_cte(periods, period_fn: str = "weekofyear") -> list[str]:
         f"""cf AS (SELECT uid, CAST({period_fn}(click_time) AS BIGINT) AS p, pid, param, count(*) AS n
             FROM clicks WHERE {period_fn}(click_time) IN ({_in(periods)}) GROUP BY ALL)""",
         f"""cnum AS (SELECT uid, p, CAST(sum(n) AS BIGINT) AS n,
-            {_pack("CAST(pid AS VARCHAR) || '_' || CAST(param AS VARCHAR)", "n")} AS pp FROM cf GROUP BY uid, p)""",
+            {_pack("coalesce(CAST(pid AS VARCHAR), '') || '_' || coalesce(CAST(param AS VARCHAR), '')", "n")} AS pp FROM cf GROUP BY uid, p)""",
         f"""cpg AS (SELECT uid, p, {_pack("k", "n")} AS pg FROM
-            (SELECT uid, p, CAST(pid AS VARCHAR) AS k, CAST(sum(n) AS BIGINT) AS n FROM cf GROUP BY uid, p, pid)
+            (SELECT uid, p, coalesce(CAST(pid AS VARCHAR), '') AS k, CAST(sum(n) AS BIGINT) AS n FROM cf GROUP BY uid, p, pid)
             GROUP BY uid, p)""",
         f"""cpr AS (SELECT uid, p, {_pack("k", "n")} AS pr FROM
-            (SELECT uid, p, CAST(param AS VARCHAR) AS k, CAST(sum(n) AS BIGINT) AS n FROM cf GROUP BY uid, p, param)
+            (SELECT uid, p, coalesce(CAST(param AS VARCHAR), '') AS k, CAST(sum(n) AS BIGINT) AS n FROM cf GROUP BY uid, p, param)
             GROUP BY uid, p)""",
         """click_p AS (SELECT cnum.uid, cnum.p, cnum.n, cnum.pp, cpg.pg, cpr.pr FROM cnum
             JOIN cpg ON cnum.uid = cpg.uid AND cnum.p = cpg.p JOIN cpr ON cnum.uid = cpr.uid AND cnum.p = cpr.p)""",
