@@ -3,26 +3,42 @@
 Documents arrive in batches of ascending ``doc_id``.  The line hashes seen so
 far are kept as sorted runs (bucketed, sorted tables), newest at level 0; when a
 level holds ``fanout`` runs they are merged into one run of the next level.  A
-batch is joined against the runs by sorted merge: a key found there belongs to
-an earlier document, a key that is new belongs to the smallest ``doc_id`` of the
-batch and is added as the batch's own run.  Only (hash, id, position) rows are
-shuffled; texts move once, to meet the positions that they lose.
+batch is joined against one run after the other, bucket to bucket: a key found
+there belongs to an earlier document, a key that is new belongs to the smallest
+``doc_id`` of the batch and is added as the batch's own run.  A run is shuffled
+and sorted when it is first written and never again: looking keys up in it and
+merging it read its buckets in the order they were written in.  Only (hash, id,
+position) rows are shuffled; texts move once, to meet the positions that they lose.
 """
 
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featloom.llm.common import ASCII_SPACE, lower_ascii, staged, staging_path, text_or_empty
+from featloom.llm.common import ASCII_SPACE, discard, lower_ascii, staged, staging_path, text_or_empty
 from featloom.session import delete_path
 
 MIN_KEY_CHARS = 10
 #: A null id comes after every other id.
 NO_ID = 2**63 - 1
+#: Whether a scan of a bucketed table may report the order of its buckets' files.
+_ORDER = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+@contextmanager
+def stored_order(spark: SparkSession):
+    """Scans of runs rely on the order inside a bucket: every bucket of a run is one file, sorted when written."""
+    before = spark.conf.get(_ORDER)
+    spark.conf.set(_ORDER, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_ORDER, before)
 
 
 class LineRuns:
@@ -35,24 +51,31 @@ class LineRuns:
         self.paths: dict[str, str] = {}
 
     def _write(self, keys: DataFrame) -> str:
+        """A run of ``keys``, which lie in the runs' buckets; one task per bucket, so one sorted file per bucket."""
         name = f"line_run_{uuid.uuid4().hex[:12]}"
         self.paths[name] = staging_path(self.spark, name)
-        # One task per bucket, so that a run is one file per bucket and not one per task and bucket.
-        (keys.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
-         .option("path", self.paths[name]).saveAsTable(name))
+        with stored_order(self.spark):
+            (keys.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
+             .option("path", self.paths[name]).saveAsTable(name))
         return name
 
     def tables(self) -> list[DataFrame]:
         return [self.spark.table(t) for level in self.levels for t in level]
 
-    def seen(self) -> DataFrame | None:
-        """All keys of all runs (runs are disjoint)."""
-        runs = self.tables()
-        return reduce(DataFrame.union, runs) if runs else None
+    def mark_seen(self, keys: DataFrame) -> DataFrame:
+        """``keys`` (h1, h2, ...; each once) with ``seen``: whether any run holds the key.
+
+        Only ``keys`` are dealt to the buckets and sorted; to be run under ``stored_order``.
+        """
+        marks = []
+        for i, run in enumerate(self.tables()):
+            marks.append(f"_run{i}")
+            keys = keys.join(run.withColumn(marks[-1], F.lit(True)).hint("merge"), ["h1", "h2"], "left")
+        return keys.withColumn("seen", F.coalesce(*marks, F.lit(False))).drop(*marks)
 
     def add(self, keys: DataFrame) -> None:
         """Add a batch's own keys as a level-0 run; merge each level that is full into the next."""
-        self._put(0, self._write(keys))
+        self._put(0, self._write(keys.repartition(self.buckets, "h1", "h2")))
 
     def _put(self, level: int, table: str) -> None:
         while len(self.levels) <= level:
@@ -60,10 +83,17 @@ class LineRuns:
         self.levels[level].append(table)
         if len(self.levels[level]) >= self.fanout:
             runs, self.levels[level] = self.levels[level], []
-            merged = self._write(reduce(DataFrame.union, [self.spark.table(t) for t in runs]))
-            for t in runs:
-                self._drop(t)
-            self._put(level + 1, merged)
+            self._put(level + 1, reduce(self._merge, runs))
+
+    def merged(self, a: str, b: str) -> DataFrame:
+        """All keys of two runs, which share none: a merge of bucket with bucket."""
+        return self.spark.table(a).join(self.spark.table(b).hint("merge"), ["h1", "h2"], "full")
+
+    def _merge(self, a: str, b: str) -> str:
+        out = self._write(self.merged(a, b))
+        self._drop(a)
+        self._drop(b)
+        return out
 
     def drop(self) -> None:
         for level in self.levels:
@@ -88,20 +118,16 @@ def line_keys(docs: DataFrame) -> DataFrame:
 
 def dedup_batch(docs: DataFrame, runs: LineRuns, last: bool = False) -> DataFrame:
     """Positions that the batch's documents lose: (did, th, pos).  Adds the batch's new keys to ``runs``."""
-    keys = line_keys(docs)
-    own = keys.groupBy("h1", "h2").agg(F.min("did").alias("owner"))
-    seen = runs.seen()
-    if seen is not None:
-        old = own.join(seen.withColumn("old", F.lit(True)), ["h1", "h2"], "left")
-        own = staged(old.select("h1", "h2", F.when(F.col("old"), F.lit(None)).otherwise(F.col("owner")).alias("owner")), "line-owners")
-    elif not last:
+    keys = staged(line_keys(docs), "line-keys")
+    own = runs.mark_seen(keys.groupBy("h1", "h2").agg(F.min("did").alias("owner")))
+    with stored_order(docs.sparkSession):
         own = staged(own, "line-owners")
-    # A null owner: the key is in an older run, so every line of it in this batch goes.
-    lost = (keys.join(own, ["h1", "h2"]).where(F.col("owner").isNull() | (F.col("owner") < F.col("did")))
+    lost = (keys.join(own, ["h1", "h2"]).where(F.col("seen") | (F.col("owner") < F.col("did")))
             .select("did", "th", "pos"))
     lost = staged(lost, "lines-lost")
     if not last:
-        runs.add(own.where(F.col("owner").isNotNull()).select("h1", "h2"))
+        runs.add(own.where(~F.col("seen")).select("h1", "h2"))
+    discard(keys, own)
     return lost
 
 

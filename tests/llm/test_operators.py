@@ -263,7 +263,34 @@ def test_runs_are_merged_level_by_level(spark):
     runs = line_dedup.LineRuns(spark, buckets=2, fanout=2)
     for k in range(5):
         runs.add(spark.createDataFrame([(k, k)], "h1 long, h2 long"))
-    assert [len(x) for x in runs.levels] == [1, 0, 1] and runs.seen().count() == 5
+    assert [len(x) for x in runs.levels] == [1, 0, 1]
+    keys = spark.range(7).selectExpr("id AS h1", "id AS h2", "id + 100 AS owner")
+    with line_dedup.stored_order(spark):
+        got = {r.h1: (r.owner, r.seen) for r in runs.mark_seen(keys).collect()}
+    assert got == {k: (k + 100, k < 5) for k in range(7)}
+    runs.drop()
+    assert runs.paths == {} and not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+def test_runs_are_neither_shuffled_nor_sorted_again(spark):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    runs = line_dedup.LineRuns(spark)
+    assert runs.buckets == n
+    for k in range(3):
+        runs.add(spark.range(1000 * k, 1000 * k + 1000).selectExpr("id AS h1", "-id AS h2"))
+    tables = [t for level in runs.levels for t in level]
+    assert len(tables) == 2
+    keys = spark.range(5000).selectExpr("id AS h1", "-id AS h2", "id AS did").groupBy("h1", "h2").agg(F.min("did").alias("owner"))
+    with line_dedup.stored_order(spark):
+        seen = runs.mark_seen(keys)
+        plan = seen._jdf.queryExecution().executedPlan().toString()
+        # One exchange and one sort: those of the new keys.
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1 and plan.count("SortMergeJoin") == 2
+        assert seen.where("seen").count() == 3000 and seen.count() == 5000
+        plan = runs.merged(*tables)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Sort [" not in plan and "SortMergeJoin" in plan
+        assert runs.merged(*tables).distinct().count() == 3000
+    assert spark.conf.get(line_dedup._ORDER) == "false"
     runs.drop()
 
 
