@@ -11,28 +11,31 @@ lists are intersected by grouping on (row, item, diagonal).  Rows that survive
 are compared word by word, which gives exact phrase matches, and proximity
 matches: windows whose rarest terms lie within ``slack`` words of their places.
 
-Only the benchmark (a stated query set) is broadcast, up to ``MAX_TERMS`` words.
+Only the benchmark (a stated query set) is broadcast, in groups of items of at
+most ``MAX_TERMS`` words.  Each group is searched over all documents, and a
+document's matches in all groups are put together before it is judged.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featloom.llm.common import ALNUM, ASCII_FOLD, chunks, span_hashes, staged, text_buffer, word_spans
+from featloom.llm.common import ALNUM, ASCII_FOLD, chunks, discard, span_hashes, staged, text_buffer, word_spans
 
 WINDOW = 13
 #: Terms of a window whose postings are intersected, rarest first.
 RAREST = 3
 #: Words by which a rare term may be off in a proximity match.
 SLACK = 3
-#: Most words of a benchmark (8 bytes each on every executor); split a larger one by item.
+#: Most words of a group of items (8 bytes each on every executor); an item that is longer is a group of its own.
 MAX_TERMS = 8_000_000
 INDEX = ("kind string, term int, rids array<long>, pos array<int>, "
          "rid long, doc_id long, n_words long, terms binary")
@@ -51,8 +54,6 @@ class Items:
     def __init__(self, rows: list[tuple]) -> None:
         self.ids = [r[0] for r in rows]
         words, item = hashed_words(pa.array([r[1] for r in rows], pa.string()))
-        if len(words) > MAX_TERMS:
-            raise ValueError(f"the benchmark has more than {MAX_TERMS} words; split it by item and union the matches")
         self.vocab, numbers = np.unique(words, return_inverse=True)
         cuts = np.searchsorted(item, np.arange(len(rows) + 1))
         self.words = [numbers[a:z].astype(np.int32) + 1 for a, z in zip(cuts, cuts[1:])]
@@ -79,19 +80,34 @@ class Items:
         return out
 
 
+def item_groups(benchmark: DataFrame, max_terms: int) -> Iterator[tuple[Items, bool]]:
+    """The benchmark in groups of items, each with whether it is the last; the driver holds two groups at most."""
+    group, size, ready = [], 0, None
+    for item, text in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
+        most = len((text or "").encode()) // 2 + 1  # a word takes a byte, and one to part it from the next
+        if group and size + most > max_terms:
+            if ready is not None:
+                yield Items(ready), False
+            ready, group, size = group, [], 0
+        group.append((item, text))
+        size += most
+    if ready is not None:
+        yield Items(ready), False
+    yield Items(group), True
+
+
 def build_index(docs: DataFrame, items: Items) -> DataFrame:
-    """The staged index (see INDEX): ``kind`` posting or doc.  One narrow pass over the texts."""
+    """The staged index (see INDEX) of ``docs`` (rid, doc_id, text): ``kind`` posting or doc.  One narrow pass over the texts."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def blocks(batches):
-        items, base, n_rows = shared.value, TaskContext.get().partitionId() << 36, 0
+        items = shared.value
         for b in chunks(batches):
-            hashes, doc = hashed_words(b.column(1))
+            hashes, doc = hashed_words(b.column(2))
             terms = items.terms_of(hashes)
             n_words = np.bincount(doc, minlength=b.num_rows)
             first = np.concatenate([[0], np.cumsum(n_words)])
-            rids = base + n_rows + np.arange(b.num_rows)
-            n_rows += b.num_rows
+            rids = b.column(0).to_numpy(zero_copy_only=False)
             hit = np.flatnonzero(terms)
             hit = hit[np.argsort(terms[hit], kind="stable")]
             t = terms[hit]
@@ -103,11 +119,10 @@ def build_index(docs: DataFrame, items: Items) -> DataFrame:
                         rids=pa.ListArray.from_arrays(offs, ids), pos=pa.ListArray.from_arrays(offs, pos))
             body = pa.LargeBinaryArray.from_buffers(
                 pa.large_binary(), b.num_rows, [None, pa.py_buffer(first.astype(np.int64) * 4), pa.py_buffer(terms.tobytes())])
-            yield _rows(b.num_rows, kind="doc", rid=pa.array(rids, pa.int64()), doc_id=b.column(0),
+            yield _rows(b.num_rows, kind="doc", rid=pa.array(rids, pa.int64()), doc_id=b.column(1),
                         n_words=pa.array(n_words, pa.int64()), terms=body.cast(pa.binary()))
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return staged(rows.mapInArrow(blocks, INDEX), "postings", ["kind"])
+    return staged(docs.mapInArrow(blocks, INDEX), "postings", ["kind"])
 
 
 _TYPES = {"kind": pa.string(), "term": pa.int32(), "rids": pa.list_(pa.int64()), "pos": pa.list_(pa.int32()),
@@ -147,16 +162,17 @@ def candidates(index: DataFrame, windows: list, items: Items, slack: int) -> Dat
     return met.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("item", "bucket"))).alias("found"))
 
 
-MATCH = "rid long, item int, starts array<int>, near boolean"
+MATCH = "rid long, item string, size int, starts array<int>, near boolean"
 
 
 def match(index: DataFrame, found: DataFrame, windows: list, items: Items, slack: int) -> DataFrame:
-    """(rid, item, starts, near): word positions where windows of the item occur, and whether one is near."""
-    shared = index.sparkSession.sparkContext.broadcast((items.words, windows))
+    """(rid, item, size, starts, near): word positions where windows of the item, ``size`` words each, occur, and whether one is near."""
+    names = [i if i is not None else "null" for i in items.ids]
+    shared = index.sparkSession.sparkContext.broadcast((names, items.words, windows))
     width = slack + 1
 
     def compare(batches):
-        words, windows = shared.value
+        names, words, windows = shared.value
         for b in batches:
             out = []
             for rid, raw, pairs in zip(*(b.column(i).to_pylist() for i in range(3))):
@@ -167,10 +183,10 @@ def match(index: DataFrame, found: DataFrame, windows: list, items: Items, slack
                 for i, buckets in by_item.items():
                     starts, near = _occurrences(terms, words[i], windows[i], buckets, width)
                     if len(starts) or near:
-                        out.append((rid, i, starts, near))
-            cols = list(zip(*out)) or [[], [], [], []]
-            types = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["rid", "item", "starts", "near"])
+                        out.append((rid, names[i], min(WINDOW, len(words[i])), starts, near))
+            cols = list(zip(*out)) or [[]] * 5
+            types = [pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["rid", "item", "size", "starts", "near"])
 
     docs = index.where("kind = 'doc'").select("rid", "terms")
     return docs.join(found, "rid").select("rid", "terms", "found").mapInArrow(compare, MATCH)
@@ -200,38 +216,54 @@ def _occurrences(doc: np.ndarray, item: np.ndarray, window: tuple, buckets: list
     return sorted(found), near
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, slack: int = SLACK) -> DataFrame:
+def search(docs: DataFrame, benchmark: DataFrame, slack: int, max_terms: int) -> tuple[DataFrame, DataFrame]:
+    """An index of ``docs`` and the matches (see MATCH) of all items; one pass over ``docs`` per group of items."""
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    index, found = None, []
+    for items, last in item_groups(benchmark, max_terms):
+        if index is None and not last:
+            rows = staged(rows, "decontamination-texts")  # every group meets the same row ids
+        here = build_index(rows, items)
+        windows = items.windows(term_frequencies(here, items))
+        hits = match(here, candidates(here, windows, items, slack), windows, items, slack)
+        if index is None and last:
+            return here, hits
+        found.append(staged(hits, "matches"))
+        if index is None:
+            index = here
+        else:
+            discard(here)
+    discard(rows)
+    return index, reduce(DataFrame.union, found)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, slack: int = SLACK, max_terms: int = MAX_TERMS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): counts of hit words and matched items.
 
     A null or empty text has no words and is clean.  An item without words has no
     windows.  Items are told apart by item_id, so repeated items count once (a
-    null id is one id).  Repeated documents are judged row by row.
+    null id is one id).  Repeated documents are judged row by row.  ``max_terms``
+    bounds the words of the items that are searched at once, not the result.
     """
-    spark: SparkSession = docs.sparkSession
-    items = Items([(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator()])
-    index = build_index(docs, items)
-    windows = items.windows(term_frequencies(index, items))
-    matches = match(index, candidates(index, windows, items, slack), windows, items, slack)
-    names = spark.sparkContext.broadcast(([min(WINDOW, len(w)) for w in items.words], [i if i is not None else "null" for i in items.ids]))
+    index, matches = search(docs, benchmark, slack, max_terms)
 
     def per_row(batches):
-        sizes, ids = names.value
         for b in batches:
             out = []
             for rid, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ends, covered = -1, 0
-                for s, e in sorted((s, s + sizes[f["item"]]) for f in found for s in f["starts"]):
+                for s, e in sorted((s, s + f["size"]) for f in found for s in f["starts"]):
                     covered += max(0, e - max(s, ends))
                     ends = max(ends, e)
-                exact = sorted({ids[f["item"]] for f in found if f["starts"]})
-                near = {ids[f["item"]] for f in found}
+                exact = sorted({f["item"] for f in found if f["starts"]})
+                near = {f["item"] for f in found}
                 out.append((rid, covered, len(exact), hashlib.sha256(",".join(exact).encode()).hexdigest(), len(near)))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
             cols = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
                                              names=["rid", "n_hit", "n_items", "items_sha256", "n_near_items"])
 
-    verdict = (matches.groupBy("rid").agg(F.collect_list(F.struct("item", "starts")).alias("found"))
+    verdict = (matches.groupBy("rid").agg(F.collect_list(F.struct("item", "size", "starts")).alias("found"))
                .mapInArrow(per_row, "rid long, n_hit long, n_items long, items_sha256 string, n_near_items long"))
     zero = F.lit(0).cast("long")
     return (index.where("kind = 'doc'").select("rid", "doc_id", "n_words").join(verdict, "rid", "left")

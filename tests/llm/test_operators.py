@@ -54,6 +54,9 @@ def test_decontamination(spark, docs, corpus, empty):
     bench = spark.createDataFrame(items, "item_id long, text string")
     out = decontam.decontaminate(docs, bench).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert bag(map(tuple, out.collect())) == bag(want)
+    for bound in (1, 40):  # every item a group of its own; a few groups
+        groups = decontam.decontaminate(docs, bench, max_terms=bound).select(*out.columns)
+        assert len(list(decontam.item_groups(bench, bound))) > 1 and bag(map(tuple, groups.collect())) == bag(want)
     assert decontam.decontaminate(empty, bench).count() == 0
     assert {r.n_hit for r in decontam.decontaminate(docs, bench.where("false")).collect()} == {0}
 
