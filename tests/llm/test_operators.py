@@ -3,6 +3,7 @@
 import collections
 import gzip
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -334,7 +335,7 @@ def test_url_rules(spark):
     urls = ["http://a.net/x", "https://EXAMPLE.net/en/1?x=/de/", "http://example.com/de/", "http://blog.example.com/de/z#f", "http://notexample.com/de/",
             "http://w.org/fr/1", "http://org/fr", "http://a.net", None, "no scheme", "http://b.io?u=http://c.net/", "http://b.io?u=http://c.net/"]
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, host string")
-    none = spark.createDataFrame([], "tokens array<string>, confidence double, support double")
+    none = spark.createDataFrame([], url_filter.RULE)
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.verdicts(pages, none).collect()}
     assert got[0] == ("a.net", "/x", "net/", "block") and got[1] == ("example.net", "/en/1", "example.net/en/", "allow")
     assert got[2][2:] == got[3][2:] == ("example.com/de/", "block") and got[4][2:] == (None, "allow")
@@ -347,12 +348,48 @@ def test_url_rules_are_mined(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string")
     labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(0, 240)], "doc_id long, quality int, toxic int")
     rules = url_filter.mine(pages, labels)
-    assert [r.tokens for r in rules.collect()] == [["host:spam"]]
+    assert {(*r.tokens, r.verdict) for r in rules.collect()} == {("host:spam", "block"), ("host:good", "allow")}
     got = {r.page_id: r.verdict for r in url_filter.verdicts(pages, rules).collect()}
     assert got == {i: "block" if i % 3 == 0 else "allow" for i in range(240)}
     assert url_filter.verdicts(pages.where("false"), url_filter.mine(pages.where("false"), labels)).count() == 0
 
 
+def test_url_rules_equal_brute_force(spark):
+    rnd, n, z = random.Random(5), 200, 2.0
+    rows = []
+    for i in range(n):
+        host, top, lang = rnd.choice(["ads", "news", "shop", "blog"]), rnd.choice(["com", "info"]), rnd.choice(["en", "de", "fr"])
+        odds = 0.95 if host == "ads" or (top, lang) == ("info", "fr") else 0.05 if host == "news" else 0.4
+        rows.append((i, f"http://{host}.{top}/{lang}/{i}", rnd.random() < odds))
+    pages = spark.createDataFrame([r[:2] for r in rows] + [(900, None), (901, "no scheme")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(not bad), 0) for i, _, bad in rows] + [(900, 0, 1), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    have = {i: {f"host:{x}" for x in u.split("/")[2].split(".")} | {f"path:{u.split('/')[3]}", "path:#", "scheme:http"} for i, u, _ in rows}
+    counts = collections.defaultdict(lambda: [0, 0])
+    for i, _, bad in rows:
+        for k in range(1, len(have[i]) + 1):
+            for c in itertools.combinations(sorted(have[i]), k):
+                counts[c][bad] += 1
+    share = sum(r[2] for r in rows) / n
+    want = {}
+    for c, (good, bad) in counts.items():
+        for verdict, hits, base in (("block", bad, share), ("allow", good, 1 - share)):
+            p, t = hits / (good + bad), good + bad
+            lowest = (p + z * z / 2 / t - z * (p * (1 - p) / t + z * z / 4 / t / t) ** 0.5) / (1 + z * z / t)
+            if hits / n >= 0.002 and p >= 0.8 and lowest > base:
+                want[c, verdict] = p
+    least = {(c, v): p for (c, v), p in want.items() if not any(w == v and set(d) < set(c) for d, w in want)}
+    rules = url_filter.mine(pages, labels, z=z)
+    got = {(tuple(r.tokens), r.verdict): r.confidence for r in rules.collect()}
+    assert got.keys() == least.keys() and all(abs(got[k] - least[k]) < 1e-9 for k in got) and {v for _, v in got} == {"block", "allow"}
+    said = {i: max([(p, v) for (c, v), p in least.items() if set(c) <= have[i]], default=(0, "allow"))[1] for i in have}
+    said |= {900: "allow", 901: "allow"}
+    assert {r.page_id: r.verdict for r in url_filter.verdicts(pages, rules, ()).collect()} == said
+    # Labels that have nothing to do with the URL give no rule.
+    coin = spark.createDataFrame([(i, rnd.randrange(2), 0) for i in range(n)], labels.schema)
+    assert url_filter.mine(pages, coin).count() == 0
+    assert url_filter.mine(pages, labels.where("quality = 1")).count() == 0
+
+
 def test_chat_round_trip(spark):
     said = "</s>[INST] ok [/INST]"
     rows = [(1, 1, "assistant", said), (1, 0, "user", said), (2, 0, None, None), (2, 0, "system\n%0A", "<\\/s> <s>\\ [\\\\/INST] [/INST"), (2, 1, "assistant", "ß" * 3000),
