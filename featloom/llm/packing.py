@@ -2,13 +2,16 @@
 
 Documents are tokenised once into a staged table of token ids.  Term statistics
 (document frequencies, mean length) cover all documents.  The BM25 inverted
-index is sharded: a shard is a run of ``SHARD_DOCS`` documents of one partition,
-so shards need no shuffle and bound a task's memory; neighbours in other shards
-are not found.  Whole windows of a long document are sequences of their own; the
-ends of documents are packed: a seed asks its shard's index, with all terms of
-its whole document, for unused neighbours, whose ends fill its window in order
-of score.  The neighbour that does not fit is cut, and its rest is the next seed,
-so only the last sequence of a shard is padded.
+index is sharded by topic: documents of like vocabulary, whatever file they come
+from, meet in a shard of about ``SHARD_TARGET`` documents, which bounds a task's
+memory; neighbours in other shards are not found.  Topics are fitted on a sample of
+``SAMPLE`` documents; a large topic is cut into shards along a random direction, so
+near copies stay together, and copies too many for one shard are dealt out.  Whole
+windows of a long document are sequences of their own; the ends of documents are
+packed: a seed asks its shard's index, with all terms of its whole document, for
+unused neighbours, whose ends fill its window in order of score.  The neighbour that
+does not fit is cut, and its rest is the next seed, so only the last sequence of a
+shard is padded.
 """
 
 from __future__ import annotations
@@ -26,7 +29,10 @@ from pyspark.sql import functions as F
 from featloom.llm.common import chunks, span_hashes, staged, text_buffer
 
 WINDOW = 1024
-SHARD_DOCS = 2048
+#: Mean and largest number of documents of a shard.
+SHARD_TARGET, SHARD_DOCS = 1800, 2048
+#: Topics, the terms that tell them apart, documents they are fitted on, and steps of the fit.
+TOPICS, TERMS, SAMPLE, STEPS = 64, 2048, 4096, 8
 #: BM25 parameters.
 K1, B = 1.2, 0.75
 END = 0
@@ -190,6 +196,80 @@ def statistics(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
     return df, n, total / max(n, 1)
 
 
+def presence(ids: np.ndarray, offs: np.ndarray, column: np.ndarray, width: int) -> np.ndarray:
+    """A row of ``width`` 0/1 flags per document: which of the chosen terms it holds."""
+    out = np.zeros((len(offs) - 1, width + 1), np.float32)
+    out[np.repeat(np.arange(len(offs) - 1), np.diff(offs)), column[ids]] = 1
+    return out[:, :width]
+
+
+def _ids(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    raw, offs = text_buffer(b.column(b.schema.get_field_index("ids")))
+    return raw.view(np.uint16) if len(raw) else np.empty(0, np.uint16), offs // 2
+
+
+class Topics:
+    """Places documents on the line [0, 1): topics in a row, like ones side by side, each as long as its share.
+
+    Within its topic a document's place is the quantile of its terms' random projection.
+    """
+
+    def __init__(self, flags: np.ndarray, weight: np.ndarray) -> None:
+        rng = np.random.default_rng(1024)
+        x = flags * weight
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        k = max(1, min(TOPICS, len(x)))
+        centre = x[rng.choice(len(x), k, replace=False)] if len(x) else np.zeros((1, len(weight)), np.float32)
+        for _ in range(STEPS if len(x) else 0):
+            own = (x @ centre.T).argmax(1)
+            centre = np.eye(k, dtype=np.float32)[own].T @ x
+            centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-9)
+        near, chain = centre @ centre.T, [0]
+        while len(chain) < k:
+            chain.append(max(set(range(k)) - set(chain), key=lambda j: (near[chain[-1], j], -j)))
+        centre = centre[chain]
+        spread = rng.normal(size=len(weight))
+        self.matrix = np.column_stack([(centre * weight).T, weight * spread, weight * weight]).astype(np.float32)
+        topic, at = self._project(flags)
+        share = np.bincount(topic, minlength=k) / max(len(x), 1)
+        self.start = np.concatenate([[0], np.cumsum(share)])
+        self.values = [np.sort(at[topic == t]) for t in range(k)]
+
+    def _project(self, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p = flags @ self.matrix
+        return p[:, :-2].argmax(1), np.round(p[:, -2] / np.sqrt(np.maximum(p[:, -1], 1e-9)), 3)
+
+    def place(self, flags: np.ndarray, jitter: np.ndarray) -> np.ndarray:
+        """Place of every document; ``jitter`` in [0, 1) spreads those that many sampled documents equal."""
+        topic, at = self._project(flags)
+        out = np.empty(len(flags))
+        for t in np.unique(topic):
+            here, v = topic == t, self.values[t]
+            lo, hi = np.searchsorted(v, at[here]), np.searchsorted(v, at[here], side="right")
+            u = np.interp(at[here], v, np.arange(len(v)) + 0.5) if len(v) else jitter[here]
+            many = hi - lo > 2
+            u[many] = (lo + jitter[here] * (hi - lo))[many]
+            out[here] = self.start[t] + u / max(len(v), 1) * (self.start[t + 1] - self.start[t])
+        return np.clip(out, 0, np.nextafter(1, 0))
+
+
+def topics(tokens: DataFrame, df: np.ndarray, n: int, idf: np.ndarray) -> tuple[Topics, np.ndarray]:
+    """Topics of a sample of at most ``SAMPLE`` documents, and the column of each term (``TERMS`` if it has none)."""
+    told = np.where(2 * df <= n, df * idf * idf, 0)
+    chosen = np.argsort(-told, kind="stable")[:TERMS]
+    column = np.full(1 << 16, TERMS, np.int64)
+    column[chosen] = np.arange(TERMS)
+
+    def flags(batches):
+        for b in chunks(batches, col="ids"):
+            bits = np.packbits(presence(*_ids(b), column, TERMS).astype(bool), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in bits], pa.binary())], names=["bits"])
+
+    rows = tokens.select("ids").sample(min(1.0, SAMPLE / max(n, 1)), seed=1024).limit(SAMPLE).mapInArrow(flags, "bits binary").collect()
+    bits = np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8).reshape(len(rows), -1 if rows else TERMS // 8)
+    return Topics(np.unpackbits(bits, axis=1).astype(np.float32), (idf * (told > 0))[chosen].astype(np.float32)), column
+
+
 class Shard:
     """A BM25 inverted index over whole documents, and the greedy filling of windows with their open ends.
 
@@ -269,10 +349,22 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     tokens = tokenize(docs, ranks_path, pattern)
     df, n, mean = statistics(tokens)
     idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    shared = docs.sparkSession.sparkContext.broadcast((idf, mean))
+    n_shards = -(-n // SHARD_TARGET)
+    shared = docs.sparkSession.sparkContext.broadcast((idf, mean, *topics(tokens, df, n, idf)))
+
+    def place(batches):
+        _, _, line, column = shared.value
+        row = TaskContext.get().partitionId()
+        for b in chunks(batches, col="ids"):
+            for at in range(0, b.num_rows, 1024):
+                c = b.slice(at, 1024)
+                row += c.num_rows
+                jitter = (row - np.arange(c.num_rows)) * 0.6180339887498949 % 1
+                shard = (line.place(presence(*_ids(c), column, TERMS), jitter) * n_shards).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array(shard)], names=["doc_id", "ids", "shard"])
 
     def run(batches):
-        idf, mean = shared.value
+        idf, mean, _, _ = shared.value
         number = TaskContext.get().partitionId() << 36
 
         def emit(pieces):
@@ -311,15 +403,16 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             if pieces:
                 yield emit(pieces)
 
-        shard, held = [], 0
+        shard, held, now = [], 0, None
         for b in batches:
-            for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                shard.append((doc_id, np.frombuffer(raw, np.uint16)))
-                held += len(raw)
-                if len(shard) >= SHARD_DOCS or held >= 64 << 20:
+            for doc_id, raw, key in zip(*(c.to_pylist() for c in b.columns)):
+                if shard and (key != now or len(shard) >= SHARD_DOCS or held >= 64 << 20):
                     yield from packed(shard)
                     shard, held = [], 0
+                shard.append((doc_id, np.frombuffer(raw, np.uint16)))
+                held, now = held + len(raw), key
         if shard:
             yield from packed(shard)
 
-    return tokens.mapInArrow(run, PIECES)
+    placed = tokens.mapInArrow(place, "doc_id long, ids binary, shard long")
+    return placed.repartition("shard").sortWithinPartitions("shard", "doc_id").mapInArrow(run, PIECES)

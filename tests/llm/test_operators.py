@@ -124,6 +124,61 @@ def test_packing_scores_whole_documents_by_all_terms():
         assert len(shard.neighbours(seed)) == sum(len(x) % 1024 > 0 for x in docs)
 
 
+def test_packing_fills_windows_with_the_best_unused_neighbours():
+    rnd = np.random.default_rng(5)
+    docs = [rnd.choice(np.arange(1, 200, dtype=np.uint16), rnd.integers(20, 900)) for _ in range(30)]
+    df = np.bincount(np.concatenate([np.unique(x) for x in docs]), minlength=1 << 16)
+    idf, left = np.log1p((30 - df + 0.5) / (df + 0.5)), [len(x) for x in docs]
+    shard = packing.Shard(docs, np.array(left), idf, float(np.mean(left)))
+    want, seed = [], 0
+    while any(left):
+        seed = seed if left[seed] else next(i for i, n in enumerate(left) if n)
+        score = shard.scores(seed)
+        order = [seed, *sorted((i for i in range(30) if left[i] and i != seed), key=lambda i: (-score[i], i))]
+        room, window = 1024, []
+        for i in order:
+            n = min(room, left[i])
+            window.append((i, n))
+            left[i], room = left[i] - n, room - n
+            if left[i]:
+                seed = i
+            if not room:
+                break
+        want.append(window)
+    assert list(shard.sequences()) == want
+
+
+def test_packing_finds_neighbours_in_other_partitions(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_TARGET", 20)
+    monkeypatch.setattr(packing, "TOPICS", 10)
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    topic = [[word() for _ in range(30)] for _ in range(10)]
+    rows = [(t * 100 + i, " ".join(rnd.choice(topic[t]) for _ in range(60))) for i in range(20) for t in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7, "doc_id")
+    pieces = packing.pack(docs, RANKS, public_tokenizers.PATTERN).collect()
+    together = collections.defaultdict(set)
+    for r in pieces:
+        together[r.sequence_id].add(r.doc_id)
+    pairs = [a // 100 == b // 100 for v in together.values() for a, b in itertools.combinations(v, 2)]
+    assert np.mean(pairs) > 0.7  # 0.1 where documents meet by chance
+    assert sum(r.length for r in pieces) == sum(r.doc_tokens for r in pieces if r.start == 0)
+
+
+def test_copies_of_one_document_are_dealt_over_shards():
+    rnd = np.random.default_rng(9)
+    flags = (rnd.random((3000, 64)) < 0.3).astype(np.float32)
+    flags[::3] = flags[0]
+    line = packing.Topics(flags[::2], np.ones(64, np.float32))
+    shard = (line.place(flags, np.arange(3000) * 0.618 % 1) * 30).astype(int)
+    sizes = np.bincount(shard, minlength=30)
+    assert sizes.sum() == 3000 and sizes.max() < 250 and len(set(shard[::3])) >= 8
+    near = flags[1::3].copy()
+    near[:, 0] = 1 - near[:, 0]  # one term of 64 is another
+    moved = np.abs(line.place(near, np.zeros(1000)) - line.place(flags[1::3], np.zeros(1000)))
+    assert np.mean(moved < 1 / 30) > 0.5
+
+
 def test_packing_neighbour_comes_from_the_body(spark):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     body, tail = "river mountain valley forest ", "engine piston valve gear "
