@@ -53,6 +53,70 @@ def test_decontamination_judges_rows_not_ids(spark, tmp_path):
     assert sorted(got, key=repr) == sorted((r for r in rows if r[1] != item), key=repr)
 
 
+STAGE_COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+PROSE = "every harbour keeps old ropes near grey boats while gulls watch tired sailors mend torn nets before rain"
+AWKWARD = [(1, PROSE), (1, PROSE), (2, PROSE), (None, PROSE), (3, None), (4, ""), (5, " \n\t"), (None, None), (6, "short line\n" * 3), (7, "word " * 30_000)]
+
+
+def stage_of(name):
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+def awkward(spark, rows):
+    """Documents with nulls in every column and extra columns named like helpers."""
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], STAGE_COLUMNS)
+    return docs.withColumns({c: F.lit(f"own {c}") for c in ("_row", "_l", "wh", "did", "k1", "rid", "n", "shard")}).repartition(3)
+
+
+def small_tables(spark, path):
+    spark.createDataFrame([(1, 1, 0), (None, None, None), (3, 0, None)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(9, "a b c"), (None, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+
+
+def kept_rows(spark, name, rows, path):
+    out = stage_of(name)(spark, awkward(spark, rows), str(path))
+    assert out.columns == corpus_pipeline.COLUMNS
+    return sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+
+
+def test_quality_stage_on_awkward_rows(spark, tmp_path):
+    small_tables(spark, tmp_path)
+    got = kept_rows(spark, "quality_rules", AWKWARD, tmp_path)
+    assert all(x in AWKWARD for x in got) and not [t for _, t in got if len((t or "").split()) < 10 or t.startswith("word word")]
+    judged = quality.run(awkward(spark, AWKWARD), spark.read.parquet(f"{tmp_path}/labels.parquet")).where("kept")
+    assert got == sorted(((r.doc_id, r.text) for r in judged.collect()), key=repr)
+
+
+def test_line_stage_on_awkward_rows(spark, tmp_path):
+    got = kept_rows(spark, "line_dedup", AWKWARD, tmp_path)
+    assert len(got) == len(AWKWARD)
+    assert [t for i, t in got if i in (3, 4)] == ["", ""] and (6, "short line\n" * 3) in got
+    assert got.count((1, PROSE)) == 2 and (2, "") in got
+
+
+def test_near_duplicate_stage_on_awkward_rows(spark, tmp_path):
+    got = kept_rows(spark, "near_duplicates", AWKWARD, tmp_path)
+    assert got == sorted([(1, PROSE), *AWKWARD[4:]], key=repr)
+
+
+def test_decontamination_stage_on_awkward_rows(spark, tmp_path):
+    small_tables(spark, tmp_path)
+    assert kept_rows(spark, "decontamination", [*AWKWARD, (8, "a B c")], tmp_path) == sorted(AWKWARD, key=repr)
+
+
+def test_packing_stage_on_awkward_rows(spark, tmp_path):
+    rows = stage_of("packing")(spark, awkward(spark, AWKWARD), str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.doc_tokens) for r in rows if r.start == 0 and r.doc_id in (3, 4)) == [(3, 1), (4, 1)]
+    assert len([r for r in rows if r.start == 0]) == len(AWKWARD)
+    assert sum(r.length for r in rows) == sum(r.doc_tokens for r in rows if r.start == 0)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_an_empty_table(spark, tmp_path, name):
+    small_tables(spark, tmp_path)
+    assert stage_of(name)(spark, awkward(spark, []), str(tmp_path)).collect() == []
+
+
 def test_pipeline_leaves_nothing_but_its_result(spark):
     from featloom.llm import common
     from featloom.session import checkpoint_dir
