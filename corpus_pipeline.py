@@ -33,25 +33,41 @@ def stage(function):
 
 @stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or the log-likelihood threshold go."""
+    """Documents that fail the base rules or the log-likelihood threshold go.
+
+    A null or empty text has no words and goes.  Each row is judged by its own text: repeated rows
+    and rows without a doc_id stay or go alike.  Every stage leaves out columns other than COLUMNS,
+    whatever their names, and gives no rows for an empty table.
+    """
     return quality.run(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("kept").select(*COLUMNS)
 
 
 @stage
 def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document holds go; ``n_chars`` follows the text."""
+    """Lines that an earlier document holds go; ``n_chars`` follows the text.
+
+    Every row stays, if need be with an empty text; a null text becomes an empty one.  Rows of one
+    doc_id are one document, and so are all rows without a doc_id: they keep each other's lines.
+    """
     return line_dedup.dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 @stage
 def jaccard_regions(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest doc_id."""
+    """One document of each near-duplicate group stays: the one with the smallest doc_id.
+
+    Rows are linked by their texts whatever their doc_id: of repeated rows one stays, and a row
+    without a doc_id only if its group has no other.  Texts that are null or without words stay.
+    """
     return near_dup.keep_one(docs).select(*COLUMNS)
 
 
 @stage
 def benchmark_index(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go, each row by its own verdict: a doc_id may be null or repeated."""
+    """Contaminated documents go, each row by its own verdict: a doc_id may be null or repeated.
+
+    A null or empty text stays; null items of the benchmark match nothing.
+    """
     rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "decontamination-rows")
     # The operator carries its doc_id through, here the row's own id.
     verdict = decontam.decontaminate(rows.select(F.col("_row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -60,7 +76,11 @@ def benchmark_index(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @stage
 def bm25_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 1024 tokens."""
+    """Pieces of the documents in sequences of 1024 tokens.
+
+    A null or empty text is its end id alone; repeated rows, and rows without a doc_id, are packed
+    as often as they occur.
+    """
     return packing.pack(docs, RANKS, public_tokenizers.PATTERN).drop("ids")
 
 
