@@ -233,11 +233,14 @@ def _owner(c: str = "k1"):
     return F.col(c).bitwiseAND(F.lit(2**48 - 1))
 
 
-def candidate_sets(texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """Staged (id, n, toks): classes of which at most r * n shingles are theirs alone, with all shingles."""
+def candidate_sets(texts: DataFrame, classes: DataFrame, spare: bool) -> DataFrame:
+    """Staged (id, n, toks): classes of which at most r * n shingles are theirs alone, with all shingles.
+
+    Counts are staged before they are joined, so that their exchange is deleted by then.
+    """
     loose = 100 - PERCENT
     # A class whose count is missing shares nothing.
-    shared = shared_counts(texts.select("rid", "text"), REGION, True)
+    shared = staged(shared_counts(texts.select("rid", "text"), REGION, True), "near-counts")
     first = (classes.join(shared, _owner() == F.col("o"), "left")
              .where(100 * (F.col("low") - F.coalesce("n_shared", F.lit(0))) <= loose * F.col("n"))
              .select("id", "n", "k1"))
@@ -252,11 +255,11 @@ def candidate_sets(texts: DataFrame, classes: DataFrame) -> DataFrame:
     found = (texts.select(F.col("rid").alias("id"), "text").join(first, "id").select("id", "text", "n", "k1")
              .mapInArrow(sets, "k1 long, toks binary, id long, n long"))
     found = staged(found, "near-sets")
-    discard(first)
-    again = shared_counts(found.select("k1", "toks"), 1.0, False)
+    discard(first, shared, *([texts] if spare else []))
+    again = staged(shared_counts(found.select("k1", "toks"), 1.0, False), "near-counts")
     out = staged(found.join(again, _owner() == F.col("o")).where(100 * (F.col("n") - F.col("n_shared")) <= loose * F.col("n"))
                  .select("id", "n", "toks"), "near-candidates")
-    discard(found)
+    discard(found, again)
     return out
 
 
@@ -498,9 +501,7 @@ def linked(texts: DataFrame, spare: bool = False) -> tuple[DataFrame, DataFrame]
     with staging_scope() as folders:
         classes = (rows.where("n > 0").groupBy("k1", "k2").agg(F.min("rid").alias("id"), F.min("doc_id").alias("did"), F.first("n").alias("n"), F.first("low").alias("low")))
         classes = staged(classes, "near-names")
-        sets = candidate_sets(texts, classes)
-        if spare:
-            discard(texts)
+        sets = candidate_sets(texts, classes, spare)
         edges = links(sets)
         discard(sets)
         names = classes.select("k1", "k2", "id", "did")
