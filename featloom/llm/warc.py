@@ -37,8 +37,24 @@ FILTERED = ("record_type", "record_id", "target_uri", "page_id", "refers_to", "p
 _MANIFEST = "_manifest.json"
 
 
+#: Schemes that Python workers reach (hdfs needs libhdfs on every one), and Hadoop's names for them.
+SCHEMES = ("file", "hdfs", "viewfs", "s3", "gs", "gcs", "abfs", "abfss")
+HADOOP_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def _uri(path: str) -> str:
+    """``path`` as the workers' file systems name it; an error lists the schemes if its own is none of them."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or not ("://" in path or scheme == "file"):
+        return os.path.abspath(path)
+    scheme = HADOOP_SCHEMES.get(scheme, scheme)
+    if scheme not in SCHEMES:
+        raise ValueError(f"archives cannot be kept at {path!r}: the scheme must be one of {', '.join((*SCHEMES, *HADOOP_SCHEMES))}")
+    return f"{scheme}:{rest}"
+
+
 def _filesystem(path: str):
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
+    return fs.FileSystem.from_uri(_uri(path))
 
 
 def _line(value: str) -> str:

@@ -483,6 +483,13 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archives(spark, empty).count() == 0
 
 
+def test_warc_paths_by_scheme():
+    assert warc._uri("s3a://bucket/a b") == "s3://bucket/a b" and warc._uri("hdfs://name:8020/x") == "hdfs://name:8020/x"
+    assert warc._uri("file:/tmp/x") == "file:/tmp/x" and warc._uri("/tmp/x:y") == "/tmp/x:y" and os.path.isabs(warc._uri("x"))
+    with pytest.raises(ValueError, match="wasb.*file, hdfs"):
+        warc._uri("wasb://box/x")
+
+
 def test_warc_members_are_gzip_and_skippable(tmp_path):
     rows = [warc.record_bytes(types.SimpleNamespace(page_id=i, url=f"http://h/{i}", record_type="response", refers_to=None, payload_digest="d",
                                                     payload_length=len(p), payload=p)) for i, p in enumerate([b"", b"x" * 300_000, os.urandom(50_000)])]
