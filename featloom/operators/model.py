@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from featloom.functions.hashing import sha1_bucket_col
 from featloom.functions.numeric import squared_error
+from featloom.session import delete_path, scratch_path
 
 
 def numeric_user_features(users: DataFrame) -> DataFrame:
@@ -88,6 +89,28 @@ REFERENCE_GRID = {"step_sizes": (0.01, 0.1, 0.5, 1.0), "min_info_gain": (0.01, 0
                   "min_instances": (1, 5), "depths": (3, 6)}
 
 
+def _least_split(model) -> tuple[float, float]:
+    """Over all splits of a boosted model: the least gain, and the rows of the smallest child."""
+    gain = rows = float("inf")
+    nodes = [t._java_obj.rootNode() for t in model.trees]
+    while nodes:
+        node = nodes.pop()
+        if node.subtreeDepth():
+            children = [node.leftChild(), node.rightChild()]
+            gain, rows = min(gain, node.gain()), min(rows, *(c.impurityStats().count() for c in children))
+            nodes += children
+    return gain, rows
+
+
+def _sweep(estimator, grid: Sequence[dict], data: DataFrame, seed: int, parallelism: int):
+    """One ``TrainValidationSplit`` over ``grid``: its metrics and its models."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.tuning import TrainValidationSplit
+    model = TrainValidationSplit(estimator=estimator, estimatorParamMaps=list(grid), trainRatio=0.9, seed=seed, collectSubModels=True,
+                                 evaluator=RegressionEvaluator(metricName="rmse"), parallelism=parallelism).fit(data)
+    return model.validationMetrics, model.subModels
+
+
 def grid_sweep(train: DataFrame, features: Sequence[str], label: str,
                step_sizes=None, min_info_gain=None, min_instances=None, depths=None,
                max_iter: int = 10, parallelism: int | None = None, seed: int = 7):
@@ -99,11 +122,20 @@ def grid_sweep(train: DataFrame, features: Sequence[str], label: str,
     As many fits run at a time as the cluster has cores (at most 8), unless
     ``parallelism`` is given.  Returns ``(params, rmse)`` pairs from a
     ``TrainValidationSplit`` whose fits run on the cluster.
+
+    The rows are staged once, in as many partitions as their size and the cores ask for.
+    A least gain or least child size only forbids splits.  So a fit whose every split
+    also keeps to the stricter limits of another combination is that combination's fit,
+    too; each (step size, depth) is fitted from its loosest limits on, until every
+    combination has its model.
     """
-    from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.regression import GBTRegressor
-    from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-    data = assemble(train, features).select("features", F.col(label).cast("double").alias("label"))
+    from pyspark.ml.tuning import ParamGridBuilder
+    spark = train.sparkSession
+    path = scratch_path(spark, "grid-rows")
+    rows = train.select(*[F.col(f).alias(f"f{i}") for i, f in enumerate(features)], F.col(label).cast("double").alias("label"))
+    rows.write.parquet(path)
+    data = assemble(spark.read.schema(rows.schema).parquet(path), [f"f{i}" for i in range(len(features))]).select("features", "label")
     gbt = GBTRegressor(featuresCol="features", labelCol="label", maxIter=max_iter, seed=seed)
     lists = {"step_sizes": step_sizes, "min_info_gain": min_info_gain, "min_instances": min_instances, "depths": depths}
     if all(v is None for v in lists.values()):
@@ -113,8 +145,17 @@ def grid_sweep(train: DataFrame, features: Sequence[str], label: str,
     for name, param in swept.items():
         builder.addGrid(param, [gbt.getOrDefault(param)] if lists[name] is None else list(lists[name]))
     grid = builder.build()
-    tvs = TrainValidationSplit(estimator=gbt, estimatorParamMaps=grid, trainRatio=0.9, seed=seed,
-                               evaluator=RegressionEvaluator(metricName="rmse"),
-                               parallelism=parallelism or min(8, train.sparkSession.sparkContext.defaultParallelism))
-    model = tvs.fit(data)
-    return list(zip(grid, model.validationMetrics))
+    limits = [(p[gbt.minInfoGain], p[gbt.minInstancesPerNode]) for p in grid]
+    same = [(p[gbt.stepSize], p[gbt.maxDepth]) for p in grid]
+    found: dict[int, float] = {}
+    while len(found) < len(grid):
+        open_ = [i for i in range(len(grid)) if i not in found]
+        loosest = [min((i for i in open_ if same[i] == k), key=limits.__getitem__) for k in dict.fromkeys(same[i] for i in open_)]
+        metrics, models = _sweep(gbt, [grid[i] for i in loosest], data, seed, parallelism or min(8, spark.sparkContext.defaultParallelism))
+        for i, metric, model in zip(loosest, metrics, models):
+            most = _least_split(model)
+            for j in open_:
+                if same[j] == same[i] and (j == i or all(a <= b <= c for a, b, c in zip(limits[i], limits[j], most))):
+                    found[j] = metric
+    delete_path(spark, path)
+    return [(p, found[i]) for i, p in enumerate(grid)]
