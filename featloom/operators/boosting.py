@@ -2,7 +2,7 @@
 
 All configurations grow their trees together, level by level.  A level is one Spark
 job: every task walks its rows down the trees so far and adds up gradients and
-hessians per (configuration, node, feature, bin); Spark sums these cells, turns them
+hessians per (tree, node, feature, bin); Spark sums these cells, turns them
 into running sums over the bins and keeps the best split of each node.  The driver
 holds the trees and never sees rows or histograms.
 
@@ -15,6 +15,10 @@ holds the trees and never sees rows or histograms.
 * Equal scores: the lowest feature, then the lowest bin.  Scores are compared in
   single precision, so that the order in which sums are added does not decide.
 * Objectives: squared error (hessian 1 a row) and logistic (labels 0 and 1).
+* Configurations are worked out apart only where they differ: those with the same
+  predictions so far are one column of the table, those whose trees are equal up to a
+  level share its histograms.  Trees are compared exactly, so nothing is assumed of the
+  rows; in the worst case every configuration has its own column and histograms.
 
 Predictions of a round are written to the shared checkpoint folder next to the binned
 rows, so a lost executor costs one level, and the previous round's table is deleted.
@@ -36,7 +40,7 @@ from featloom.session import delete_path, scratch_path
 #: The tuning grid (step size, split penalty, least hessian of a child, depth).
 GRID = {"eta": (0.01, 0.1, 0.5, 1.0), "gamma": (0.01, 0.1, 0.5, 1.0), "min_child_weight": (0.1, 0.5, 1.0, 5.0), "max_depth": (3, 6)}
 CELL = "config long, node long, feature long, bin long, g double, h double"
-ROWS = 4096  # rows walked at a time: rows x configurations numbers in memory
+SLOTS = 2**19  # rows x trees walked at a time: numbers in memory
 
 
 @dataclass(frozen=True)
@@ -62,6 +66,13 @@ class Tree:
         n = 2 ** (depth + 1) - 1
         return Tree(np.full(n, -1), np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.zeros(n))
 
+    def shape(self, nodes: int | None = None) -> tuple[bytes, bytes]:
+        """Its splits (those of the first ``nodes`` nodes), for comparison."""
+        return self.feature[:nodes].tobytes(), self.cut[:nodes].tobytes()
+
+    def copy(self) -> Tree:
+        return Tree(*[a.copy() for a in (self.feature, self.cut, self.score, self.grad, self.hess)])
+
     def prune(self, gamma: float) -> None:
         """Takes back splits over two leaves that score less than ``gamma``, from the bottom up."""
         for i in range((len(self.feature) - 1) // 2 - 1, -1, -1):
@@ -109,7 +120,8 @@ def quantile_cuts(df: DataFrame, features: Sequence[str], bins: int) -> list[lis
 
 
 def _columns(b: pa.RecordBatch, name: str, width: int, dtype) -> np.ndarray:
-    return b.column(b.schema.get_field_index(name)).flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(-1, width)
+    flat = b.column(b.schema.get_field_index(name)).flatten().to_numpy(zero_copy_only=False).astype(dtype)
+    return flat.reshape(b.num_rows, width)
 
 
 def _walk(bins: np.ndarray, trees: list[Tree], levels: int) -> np.ndarray:
@@ -134,25 +146,31 @@ def _derivatives(pred: np.ndarray, label: np.ndarray, objective: str) -> tuple[n
     return pred - label[:, None], np.ones_like(pred)
 
 
-def _cells(trees: list[Tree], configs: list[Config], level: int, width: int, sizes: list[int], objective: str):
-    """Gradient and hessian sums of a task's training rows for the nodes of one level."""
-    active = np.array([c.max_depth > level for c in configs])
+def _slices(b: pa.RecordBatch, trees: int) -> Iterator[pa.RecordBatch]:
+    step = max(1, SLOTS // max(trees, 1))
+    return (b.slice(at, step) for at in range(0, b.num_rows, step))
+
+
+def _cells(trees: list[Tree], columns: list[int], level: int, width: int, sizes: list[int], objective: str):
+    """Gradient and hessian sums of a task's training rows for the nodes of one level, each tree after its column of predictions."""
     first, nodes, most = 2**level - 1, 2**level, max(sizes)
+    used, of = np.unique(columns, return_inverse=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, len(trees) * nodes * width * most))
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                b = whole.slice(at, ROWS)
-                bins, pred = _columns(b, "bins", width, np.int64), _columns(b, "pred", len(trees), float)
-                grad, hess = _derivatives(pred, b.column(b.schema.get_field_index("label")).to_numpy(), objective)
+            for b in _slices(whole, len(trees)):
+                bins, label = _columns(b, "bins", width, np.int64), b.column(b.schema.get_field_index("label")).to_numpy()
+                pred = _columns(b, "pred", -1, float)[:, used]
+                grad, hess = _derivatives(pred, label, objective)
                 node = _walk(bins, trees, level)
-                row, config = np.nonzero((node >= first) & active)
-                slot = (config * nodes + node[row, config] - first) * width
+                row, tree = np.nonzero(node >= first)
+                slot = (tree * nodes + node[row, tree] - first) * width
+                g, h = grad[row, of[tree]], hess[row, of[tree]]
                 for f in range(width):
                     key = (slot + f) * most + bins[row, f]
-                    total[0] += np.bincount(key, grad[row, config], total.shape[1])
-                    total[1] += np.bincount(key, hess[row, config], total.shape[1])
+                    total[0] += np.bincount(key, g, total.shape[1])
+                    total[1] += np.bincount(key, h, total.shape[1])
         cell = np.flatnonzero(total[1])
         slot, f = np.divmod(cell // most, width)
         yield pa.RecordBatch.from_arrays([pa.array(slot // nodes), pa.array(slot % nodes + first), pa.array(f), pa.array(cell % most), pa.array(total[0][cell]), pa.array(total[1][cell])],
@@ -166,9 +184,10 @@ def _score(g: str, h: str) -> str:
 
 
 def best_splits(cells: DataFrame, configs: DataFrame, reg_lambda: float) -> DataFrame:
-    """One row per (config, node): its sums, and its best allowed split (feature null: none).
+    """One row per (config, least, node): its sums, and its best allowed split (feature null: none).
 
-    One exchange by (config, node) serves the sums, the running sums over bins and the choice.
+    ``configs`` has a row for each least hessian sum asked for of a config's cells.  One
+    exchange by (config, node) serves the sums, the running sums over bins and the choice.
     """
     keys = ["config", "node"]
     sums = cells.repartition(*keys).groupBy(*keys, "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
@@ -176,12 +195,12 @@ def best_splits(cells: DataFrame, configs: DataFrame, reg_lambda: float) -> Data
     upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     runs = sums.select(*keys, "feature", "bin", F.sum("g").over(upto).alias("gl"), F.sum("h").over(upto).alias("hl"),
                        F.sum("g").over(whole).alias("gt"), F.sum("h").over(whole).alias("ht"), F.lead("bin").over(whole.orderBy("bin")).alias("next"))
-    runs = runs.join(F.broadcast(configs), "config").withColumn("reg_lambda", F.lit(reg_lambda))  # one row per configuration
+    runs = runs.join(F.broadcast(configs), "config").withColumn("reg_lambda", F.lit(reg_lambda))  # at most one row per configuration
     score = F.expr(f"{_score('gl', 'hl')} + {_score('(gt - gl)', '(ht - hl)')} - {_score('gt', 'ht')}")
     allowed = F.col("next").isNotNull() & (F.col("hl") >= F.col("least")) & (F.col("ht") - F.col("hl") >= F.col("least")) & (score > 1e-6)
     # Highest score, then lowest feature and bin; single precision, so that the order of additions does not decide.
     order = F.struct(score.cast("float"), -F.col("feature"), -F.col("bin"))
-    return runs.groupBy(*keys).agg(
+    return runs.groupBy("config", "least", "node").agg(
         F.min_by("gt", "feature").alias("g"), F.min_by("ht", "feature").alias("h"), F.count(F.when(allowed, 1)).alias("choices"),
         F.max_by(F.struct("feature", "bin", "gl", "hl", score.alias("score")), F.when(allowed, order)).alias("split"))
 
@@ -207,26 +226,70 @@ def _binned(rows: DataFrame, names: Sequence[str], forest: Forest) -> DataFrame:
         v = F.nanvl(F.col(name).cast("double"), F.lit(None))
         below = [F.when(v > c, 1).otherwise(0) for c in cuts]
         bins.append(sum(below, F.lit(0)))
-    return rows.withColumn("bins", F.array(*bins)).withColumn("pred", F.array_repeat(F.lit(float(forest.base)), len(forest.configs)))
+    return rows.withColumn("bins", F.array(*bins)).withColumn("pred", F.array(F.lit(float(forest.base))))
+
 
+@dataclass
+class _Round:
+    """What a round adds: column j of the new predictions is column ``parent[j]`` of the old ones and a tree's leaf values."""
+
+    trees: list[Tree]
+    values: list[np.ndarray]
+    parent: list[int]
+    of: list[int]  # the new column of each configuration
 
-def _added(trees: list[Tree], configs: list[Config], width: int, reg_lambda: float):
+    @staticmethod
+    def of_trees(trees: list[Tree], configs: list[Config], reg_lambda: float, of: list[int]) -> _Round:
+        """``trees``: one per configuration; ``of``: the old column of each.  Equal columns with equal trees and leaf values are one."""
+        out, seen = _Round([], [], [], []), {}
+        for t, c, old in zip(trees, configs, of):
+            v = t.leaf_values(c.eta, reg_lambda)
+            key = (old, *t.shape(), v.tobytes())
+            if key not in seen:
+                seen[key] = len(out.trees)
+                out.trees.append(t)
+                out.values.append(v)
+                out.parent.append(old)
+            out.of.append(seen[key])
+        return out
+
+
+def _added(new: _Round, width: int):
     """Predictions after one more round."""
-    depth = max(c.max_depth for c in configs)
-    values = [t.leaf_values(c.eta, reg_lambda) for t, c in zip(trees, configs)]
+    depth = max(int(np.log2(len(t.feature) + 1)) - 1 for t in new.trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                b = whole.slice(at, ROWS)
+            for b in _slices(whole, len(new.trees)):
                 i = b.schema.get_field_index("pred")
-                node, pred = _walk(_columns(b, "bins", width, np.int64), trees, depth), _columns(b, "pred", len(trees), float)
-                pred = pred + np.stack([v[node[:, c]] for c, v in enumerate(values)], 1)
+                node, pred = _walk(_columns(b, "bins", width, np.int64), new.trees, depth), _columns(b, "pred", -1, float)[:, new.parent]
+                pred = pred + np.stack([v[node[:, c]] for c, v in enumerate(new.values)], 1)
                 yield b.set_column(i, b.schema.field(i), pa.array(list(pred), b.schema.field(i).type))
 
     return run
 
 
+def _grown(state: DataFrame, configs: list[Config], of: list[int], leasts: list[float], width: int, sizes: list[int], objective: str, reg_lambda: float) -> list[Tree]:
+    """One tree per configuration, not pruned: a Spark job a level over the trees that differ up to there."""
+    trees = {k: Tree.empty(k[2]) for k in zip(of, leasts, (c.max_depth for c in configs))}
+    for level in range(max(c.max_depth for c in configs)):
+        shared: dict = {}
+        for k, t in trees.items():
+            if k[2] > level:
+                shared.setdefault((k[0], *t.shape(2**level - 1)), []).append(k)
+        kinds = list(shared.values())
+        cells = state.where("train").mapInArrow(_cells([trees[m[0]] for m in kinds], [m[0][0] for m in kinds], level, width, sizes, objective), CELL)
+        least = sorted({(i, k[1]) for i, m in enumerate(kinds) for k in m})
+        found = best_splits(cells, state.sparkSession.createDataFrame(least, "config long, least double"), reg_lambda).collect()  # at most one row per open node
+        for r in found:
+            for k in kinds[r.config]:
+                if k[1] == r.least:
+                    trees[k].take(r)
+        if not any(r.choices for r in found):
+            break
+    return [trees[k] for k in zip(of, leasts, (c.max_depth for c in configs))]
+
+
 def fit_grid(df: DataFrame, features: Sequence[str], label: str, configs: Sequence[Config] | None = None, train: str | None = None,
              rounds: int = 10, bins: int = 32, reg_lambda: float = 1.0, base: float = 0.5, objective: str = "squared") -> tuple[Forest, DataFrame]:
     """Fits every configuration on the rows where the boolean column ``train`` holds (all without one).
@@ -241,22 +304,17 @@ def fit_grid(df: DataFrame, features: Sequence[str], label: str, configs: Sequen
     stage = _Stage(spark)
     forest = Forest(configs, features, quantile_cuts(rows.where("train"), names, bins), base, reg_lambda, objective)
     state = stage.put(_binned(rows, names, forest).select("label", "train", "bins", "pred"))
-    sizes = [len(c) + 1 for c in forest.cuts]
-    least = spark.createDataFrame([(i, float(c.min_child_weight)) for i, c in enumerate(configs)], "config long, least double")
+    sizes, of = [len(c) + 1 for c in forest.cuts], [0] * len(configs)
+    # Hessian sums of squared errors are whole numbers: what they must reach can be rounded up.
+    leasts = [float(np.ceil(c.min_child_weight) if objective == "squared" else c.min_child_weight) for c in configs]
     for _ in range(rounds):
-        trees = [Tree.empty(c.max_depth) for c in configs]
-        for level in range(max(c.max_depth for c in configs)):
-            cells = state.where("train").mapInArrow(_cells(trees, configs, level, width, sizes, objective), CELL)
-            found = best_splits(cells, least, reg_lambda).collect()  # at most one row per open node
-            for r in found:
-                trees[r.config].take(r)
-            if not any(r.choices for r in found):
-                break
+        trees = [t.copy() for t in _grown(state, configs, of, leasts, width, sizes, objective, reg_lambda)]
         for t, c in zip(trees, configs):
             t.prune(c.gamma)
         forest.rounds.append(trees)
-        state = stage.put(state.mapInArrow(_added(trees, configs, width, reg_lambda), state.schema))
-    return forest, state.select("label", "train", "pred")
+        new = _Round.of_trees(trees, configs, reg_lambda, of)
+        state, of = stage.put(state.mapInArrow(_added(new, width), state.schema)), new.of
+    return forest, state.select("label", "train", F.array(*[F.col("pred")[i] for i in of]).alias("pred"))
 
 
 def predict(df: DataFrame, forest: Forest) -> DataFrame:
@@ -264,9 +322,11 @@ def predict(df: DataFrame, forest: Forest) -> DataFrame:
     names, schema, width = [f"f{i}" for i in range(len(forest.features))], df.schema, len(forest.features)
     rows = _binned(df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), *[F.col(f).cast("double").alias(n) for f, n in zip(forest.features, names)]),
                    names, forest).select("row", "bins", "pred")
+    of = [0] * len(forest.configs)
     for trees in forest.rounds:
-        rows = rows.mapInArrow(_added(trees, forest.configs, width, forest.reg_lambda), rows.schema)
-    return rows.select(*[F.col("row").getField(f.name).alias(f.name) for f in schema], "pred")
+        new = _Round.of_trees(trees, forest.configs, forest.reg_lambda, of)
+        rows, of = rows.mapInArrow(_added(new, width), rows.schema), new.of
+    return rows.select(*[F.col("row").getField(f.name).alias(f.name) for f in schema], F.array(*[F.col("pred")[i] for i in of]).alias("pred"))
 
 
 def grid_rmse(configs: Sequence[Config], scored: DataFrame) -> DataFrame:

@@ -100,3 +100,18 @@ def test_edge_tables(spark):
     assert [r.pred for r in scored.collect()] == [[pytest.approx(0.5 + 1.0 / 3)]] * 2
     kept = gb.predict(odd, forest)
     assert kept.columns[:3] == ["a", "b", "y"] and kept.count() == 3
+
+
+def test_configurations_are_apart_only_where_they_differ(spark, data, monkeypatch):
+    x, y, df = data
+    grown, added, cells, rounds = [], [], gb._cells, gb._added
+    monkeypatch.setattr(gb, "_cells", lambda trees, *a: grown.append(len(trees)) or cells(trees, *a))
+    monkeypatch.setattr(gb, "_added", lambda new, *a: added.append(len(new.trees)) or rounds(new, *a))
+    configs = [gb.Config(*c) for c in itertools.product((0.3, 1.0), (0.0, 0.5, 30.0), (0.2, 1.0, 8.0), (1, 4))]
+    forest, scored = gb.fit_grid(df, ["a", "b", "c"], "y", configs, rounds=3, bins=8)
+    assert grown[0] == 1 and max(grown + added) < len(configs)
+    got = sorted((r.label, r.pred) for r in scored.collect())
+    assert len(got) == len(y) and {len(p) for _, p in got} == {len(configs)}
+    for i, c in enumerate(configs):
+        want = sorted(zip(y, plain(x, y, forest.cuts, c, 3)))
+        assert [p[i] for _, p in got] == pytest.approx([float(p) for _, p in want], abs=1e-9), c
