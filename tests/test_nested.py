@@ -64,6 +64,17 @@ def test_chunks_hold_all_records_in_order(frames):
     assert len(bare) == 1 and bare[0].chunk_no == 0 and bare[0].clicks == bare[0].orders == bare[0].loans == []
 
 
+def test_only_heavy_users_take_the_range_sort(frames, monkeypatch):
+    users, clicks, orders, loans = frames
+    sums = loans.groupBy("uid").agg(F.sum("loan_amount").alias("loan_sum"))
+    sorted_, real = [], nst.dense_positions
+    monkeypatch.setattr(nst, "dense_positions", lambda df, *a: sorted_.append({r.uid for r in df.select("uid").distinct().collect()}) or real(df, *a))
+    got = [sorted(map(repr, nst.nest(users, clicks, orders, loans, sums, size=25, **kw).collect())) for kw in ({}, {"heavy": 100}, {"heavy": 0})]
+    # User 1 holds most records, 99 is unknown; the light ones never meet the range sort.
+    assert sorted_ == [{1}, {1, 2, 3, 4, 5}]
+    assert got[0] == got[1] == got[2] and len(got[0]) > 10
+
+
 def test_cut_off_skips_and_passes_whole_chunks(spark, frames, scratch):
     users, clicks, orders, loans = frames
     stored = nst.store(nst.nest(users, clicks, orders, loans, size=10), f"{scratch}/nested")
