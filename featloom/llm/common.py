@@ -24,6 +24,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Deletes the shuffle files of an execution as soon as it has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bits of a Bloom filter for each key, and at most (8 MB).
+BLOOM_BITS, BLOOM_MOST = 16, 1 << 26
+#: Keys up to which a staged table of them is broadcast.
+BROADCAST_KEYS = 1_000_000
 #: Where staged tables lie, and the folders of every open scope.
 _PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 _SCOPES: list[list[str]] = []
@@ -39,24 +43,45 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str, partition_by: list[str] | None = None, conf: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lineage cut that survives lost executors.
 
     What the write has shuffled is deleted with it: from here on the table stands for it.
+    ``conf`` holds during the write.
     """
     spark, path = df.sparkSession, staging_path(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    conf = {_CLEANUP: "true", **(conf or {})}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out
 
 
+def bloom(n: int) -> dict[str, str]:
+    """Settings under which a shuffle join first drops rows by Spark's Bloom filter over the other side's ``n`` keys.
+
+    That side needs a filter of its own, or Spark doesn't expect it to leave out any.
+    """
+    of = "spark.sql.optimizer.runtime.bloomFilter."
+    n = max(n, 1)
+    bits = str(min(max(BLOOM_BITS * n, 1 << 10), BLOOM_MOST))
+    return {f"{of}enabled": "true", f"{of}applicationSideScanSizeThreshold": "0", f"{of}creationSideThreshold": str(1 << 40),
+            f"{of}expectedNumItems": str(n), f"{of}maxNumItems": str(n), f"{of}numBits": bits, f"{of}maxNumBits": bits}
+
+
+def without(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows whose key isn't in the staged table ``keys``; they are shuffled only if it has too many to broadcast."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, "left_anti")
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes staged tables that nothing reads any more."""
     for t in tables:

@@ -34,8 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featloom.llm.common import (ASCII_FOLD, NOT_SPACE, chunks, discard, discard_folders, gram_hashes, mix, span_hashes, staged,
-                                  staging_scope, text_buffer, word_spans)
+from featloom.llm.common import (ASCII_FOLD, NOT_SPACE, bloom, chunks, discard, discard_folders, gram_hashes, mix, span_hashes, staged,
+                                  staging_scope, text_buffer, without, word_spans)
 
 SHINGLE = 5
 #: Similarity in percent at which two documents link.
@@ -237,6 +237,7 @@ def candidate_sets(texts: DataFrame, classes: DataFrame, spare: bool) -> DataFra
     """Staged (id, n, toks): classes of which at most r * n shingles are theirs alone, with all shingles.
 
     Counts are staged before they are joined, so that their exchange is deleted by then.
+    Texts and sets that don't survive a test are left out by a Bloom filter before the shuffle.
     """
     loose = 100 - PERCENT
     # A class whose count is missing shares nothing.
@@ -252,14 +253,15 @@ def candidate_sets(texts: DataFrame, classes: DataFrame, spare: bool) -> DataFra
             toks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(offs.astype(np.int64) * 8), pa.py_buffer(np.ascontiguousarray(grams))])
             yield pa.RecordBatch.from_arrays([b.column(3), toks.cast(pa.binary()), b.column(0), b.column(2)], names=["k1", "toks", "id", "n"])
 
-    found = (texts.select(F.col("rid").alias("id"), "text").join(first, "id").select("id", "text", "n", "k1")
+    found = (texts.select(F.col("rid").alias("id"), "text").join(first.where("n > 0"), "id").select("id", "text", "n", "k1")
              .mapInArrow(sets, "k1 long, toks binary, id long, n long"))
-    found = staged(found, "near-sets")
+    found = staged(found, "near-sets", conf=bloom(first.count()))
     discard(first, shared, *([texts] if spare else []))
     again = staged(shared_counts(found.select("k1", "toks"), 1.0, False), "near-counts")
-    out = staged(found.join(again, _owner() == F.col("o")).where(100 * (F.col("n") - F.col("n_shared")) <= loose * F.col("n"))
-                 .select("id", "n", "toks"), "near-candidates")
-    discard(found, again)
+    second = staged(found.select("k1", "id", "n").join(again, _owner() == F.col("o"))
+                    .where(100 * (F.col("n") - F.col("n_shared")) <= loose * F.col("n")).select("id", "n"), "near-second")
+    out = staged(found.select("id", "toks").join(second.where("n > 0"), "id").select("id", "n", "toks"), "near-candidates", conf=bloom(second.count()))
+    discard(found, again, second)
     return out
 
 
@@ -542,5 +544,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("best")
     # Classes first, so that the rows of a large component meet only as one row per class.
     of_class = rows.where("n > 0").groupBy("k1", "k2").agg(best).join(names, ["k1", "k2"]).select("c", "best.*")
-    kept = of_class.groupBy("c").agg(best).select(F.col("best.rid").alias("_row")).union(rows.where("n = 0").select(F.col("rid").alias("_row")))
-    return whole.join(staged(kept, "near-kept"), "_row", "left_semi").drop("_row")
+    kept = of_class.groupBy("c").agg(best).select(F.col("best.rid").alias("_row"))
+    lost = staged(rows.where("n > 0").select(F.col("rid").alias("_row")).join(kept, "_row", "left_anti"), "near-lost")
+    return without(whole, lost, "_row").drop("_row")

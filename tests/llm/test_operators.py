@@ -231,6 +231,31 @@ def test_jaccard_components(docs, corpus, empty):
     assert near_dup.near_duplicates(empty).count() == 0
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, before)
+
+
+def test_texts_and_sets_that_go_are_not_shuffled(spark, corpus, docs, no_broadcast, monkeypatch):
+    plans, stage = {}, near_dup.staged
+
+    def spy(df, name, *args, conf=None, **kw):
+        for k, v in (conf or {}).items():
+            spark.conf.set(k, v)
+        plans[name] = df.select("*")._jdf.queryExecution().optimizedPlan().toString()
+        for k in conf or {}:
+            spark.conf.unset(k)
+        return stage(df, name, *args, **({"conf": conf} if conf else {}), **kw)
+
+    monkeypatch.setattr(near_dup, "staged", spy)
+    assert bag(map(tuple, near_dup.near_duplicates(docs).collect())) == jaccard_components(corpus)
+    assert "might_contain" in plans["near-sets"] and "might_contain" in plans["near-candidates"]
+
+
 def test_one_of_each_group_stays(docs, corpus):
     kept = [r.doc_id for r in near_dup.keep_one(docs).select("doc_id").collect()]
     assert bag(kept) == bag({c for _, _, c in jaccard_components(corpus)})
