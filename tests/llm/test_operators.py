@@ -256,6 +256,24 @@ def test_texts_and_sets_that_go_are_not_shuffled(spark, corpus, docs, no_broadca
     assert "might_contain" in plans["near-sets"] and "might_contain" in plans["near-candidates"]
 
 
+def test_rows_that_stay_are_not_shuffled(spark, docs, no_broadcast, monkeypatch, tmp_path):
+    import corpus_pipeline
+    from featloom.llm import common
+
+    words = [r.text for r in docs.where("length(text) > 300").orderBy("doc_id").limit(1).collect()]
+    spark.createDataFrame([("1", words[0])], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = docs.withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text").cast("long")).select(*corpus_pipeline.COLUMNS)
+    for stage in (corpus_pipeline.jaccard_regions, corpus_pipeline.benchmark_index):
+        got = []
+        for most in (common.BROADCAST_KEYS, 0):
+            monkeypatch.setattr(common, "BROADCAST_KEYS", most)
+            out = stage(spark, rows, str(tmp_path))
+            assert ("SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()) == (most == 0)
+            got.append(bag(map(tuple, out.collect())))
+            monkeypatch.undo()
+        assert got[0] == got[1] and 0 < len(got[0]) < rows.count()
+
+
 def test_one_of_each_group_stays(docs, corpus):
     kept = [r.doc_id for r in near_dup.keep_one(docs).select("doc_id").collect()]
     assert bag(kept) == bag({c for _, _, c in jaccard_components(corpus)})
