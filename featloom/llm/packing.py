@@ -95,26 +95,32 @@ class Segments:
     def borders(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Start of every segment: of each text, and each space that opens one."""
         visible = (raw > 32) & (raw < 127)
-        cut = raw[1:-1] == 32
-        cut &= visible[:-2] | ((raw[:-2] > 127) & visible[2:])
-        starts = np.flatnonzero(cut) + 1
-        return np.union1d(starts, offs[:-1][offs[:-1] < offs[1:]])
-
-    def learn(self, raw: np.ndarray, s: np.ndarray, e: np.ndarray, hashes: np.ndarray) -> None:
-        """Encodes the distinct segments among the given ones, none of them known.
-
-        Segments that open with a space and end with a visible character are encoded as one text: no
-        token spans their borders.  The others (at the ends of texts) are encoded one by one.
+        cut = np.zeros(len(raw), bool)
+        cut[1:-1] = raw[1:-1] == 32
+        cut[1:-1] &= visible[:-2] | ((raw[:-2] > 127) & visible[2:])
+        cut[offs[:-1][offs[:-1] < offs[1:]]] = True
+        return np.flatnonzero(cut)
+
+    def learn(self, raw: np.ndarray, s: np.ndarray, e: np.ndarray, new: np.ndarray) -> None:
+        """Encodes distinct segments, none of them known.
+
+        Segments that open with a space and whose neighbours in a row of them keep the borders are
+        encoded as one text: first those that end with a visible character, whatever follows the
+        space, then those with a visible character after the space, whose ends may be non-ASCII.  The
+        others (at the starts of texts, or non-ASCII at both ends) are encoded one by one.
         """
-        new, first = np.unique(hashes, return_index=True)
-        s, e = s[first], e[first]
-        last = raw[e - 1]
-        joined = (raw[s] == 32) & (e - s > 1) & (last > 32) & (last < 127) & (raw[np.minimum(s + 1, len(raw) - 1)] > 32) & (raw[np.minimum(s + 1, len(raw) - 1)] < 127)
-        order = np.concatenate([np.flatnonzero(joined), np.flatnonzero(~joined)])
+        last, second = raw[e - 1], raw[np.minimum(s + 1, len(raw) - 1)]
+        opens = (raw[s] == 32) & (e - s > 1)
+        ascii_end, ascii_start = (last > 32) & (last < 127), (second > 32) & (second < 127)
+        then = opens & ascii_start & (ascii_end | (last > 127))
+        before = opens & ~then & ascii_end & (second > 127)
+        order = np.concatenate([np.flatnonzero(before), np.flatnonzero(then), np.flatnonzero(~before & ~then)])
         new, s, e = new[order], s[order], e[order]
-        k, data = int(joined.sum()), raw.tobytes()
+        k, data = int((before | then).sum()), raw.tobytes()
         text = b"".join([data[a:z] for a, z in zip(s[:k].tolist(), e[:k].tolist())])
         ids = np.array(self._ids(text), np.uint16)
+        if self.bytes_of[ids].sum() != len(text):  # no UTF-8
+            ids, k = ids[:0], 0
         ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum((e - s)[:k]))
         n = np.diff(ends + 1, prepend=0)
         rest = [self._ids(data[a:z]) for a, z in zip(s[k:].tolist(), e[k:].tolist())]
@@ -133,13 +139,16 @@ class Segments:
         e = np.append(s[1:], len(raw))
         hashes = span_hashes(raw, s, e)
         k = self.find(hashes)
-        new = np.flatnonzero(k < 0)
-        if len(new):
-            if len(self.at) + len(np.unique(hashes[new])) > self.room:
+        missing = np.flatnonzero(k < 0)
+        if len(missing):
+            distinct, first = np.unique(hashes[missing], return_index=True)
+            if len(self.at) + len(distinct) > self.room:
                 self.clear(max(CACHE_SEGMENTS, len(hashes)))
-                new = np.arange(len(hashes))
-            self.learn(raw, s[new], e[new], hashes[new])
-            k = self.find(hashes)
+                missing = np.arange(len(hashes))
+                distinct, first = np.unique(hashes, return_index=True)
+            new = missing[first]
+            self.learn(raw, s[new], e[new], distinct)
+            k[missing] = self.find(hashes[missing])
         doc = np.searchsorted(offs, s, side="right") - 1
         n = self.n[k]
         per_doc = np.bincount(doc, n, len(offs) - 1).astype(np.int64) + 1
@@ -178,11 +187,14 @@ def statistics(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
 
     def count(batches):
         df, n, total = np.zeros(1 << 16, np.int64), 0, 0
-        for b in batches:
-            for ids in b.column(0).to_pylist():
-                a = np.frombuffer(ids, np.uint16)
-                df[np.unique(a)] += 1
-                n, total = n + 1, total + len(a)
+        for b in chunks(batches, col="ids"):
+            ids, offs = _ids(b)
+            key = (np.repeat(np.arange(b.num_rows, dtype=np.uint64), np.diff(offs)) << np.uint64(16)) | ids
+            key.sort()
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            df += np.bincount((key[new] & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16)
+            n, total = n + b.num_rows, total + len(ids)
         hit = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, [-1, -2]), pa.int64()), pa.array(np.append(df[hit], [n, total]), pa.int64())],
                                          names=["id", "n"])
@@ -323,10 +335,11 @@ class Shard:
             if self.left[seed] == 0:
                 seed = at
             room, out = WINDOW, []
-            order = [seed]
+            order = np.array([seed])
             if self.left[seed] < room and n_open > 1:
-                order = [seed, *(x for x in self.neighbours(seed).tolist() if x != seed)]
-            for x in order:
+                others = self.neighbours(seed)
+                order = np.append(order, others[others != seed])
+            for x in map(int, order):  # a window takes a few of them
                 n = int(min(room, self.left[x]))
                 out.append((x, n))
                 self.left[x] -= n

@@ -203,6 +203,35 @@ def test_segments_encode_like_the_tokenizer(text):
     assert ids.tolist() == [*tok.encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_segments_with_accents_are_encoded_in_one_call(monkeypatch):
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rnd = random.Random(8)
+    body = lambda: "".join(rnd.choice("abcdeéèß") for _ in range(6))
+    text = " ".join(["x", *(f"a{body()}é" for _ in range(300)), *(f"é{body()}a" for _ in range(300)), *(f"z{body()}z" for _ in range(300))])
+    enc, calls = packing.Segments(RANKS, public_tokenizers.PATTERN), []
+    one = enc._ids
+    monkeypatch.setattr(enc, "_ids", lambda t: calls.append(t) or one(t))
+    raw = np.frombuffer(text.encode(), np.uint8)
+    ids, _ = enc.encode(raw, np.array([0, len(raw)]))
+    assert ids.tolist() == [*tok.encode(text, add_special_tokens=False).ids, 0]
+    assert len(calls) < 10
+
+
+@pytest.mark.parametrize("raw", ["é\u00a0 x\u00a0 é é\u3000 y".encode(), " é \u00a0 ab\u0085 cd é".encode(), b"ab cd\xc3 ef g\xffh \xe2\x82 ij k\xff", b"", b" ", b"a"])
+def test_segments_with_odd_ends_encode_like_whole_texts(raw):
+    enc = packing.Segments(RANKS, public_tokenizers.PATTERN)
+    for _ in range(2):
+        ids, _ = enc.encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        assert ids.tolist() == [*enc._ids(raw), 0]
+
+
+def test_statistics_count_each_term_once_a_document(spark):
+    rows = [[5, 5, 7, 0], [7, 0], [0], [65535, 5, 0]]
+    tokens = spark.createDataFrame([(i, np.array(r, "<u2").tobytes()) for i, r in enumerate(rows)], "doc_id long, ids binary").repartition(2)
+    df, n, mean = packing.statistics(tokens)
+    assert {int(k): int(df[k]) for k in np.flatnonzero(df)} == {0: 4, 5: 2, 7: 2, 65535: 1} and (n, mean) == (4, 2.5)
+
+
 def jaccard_components(rows):
     sets = []
     for _, t in rows:
