@@ -301,44 +301,57 @@ def _hashed(level: int):
     return lambda t: F.xxhash64(t, F.lit(level))
 
 
-def _prefix(ranked: DataFrame, percent: int) -> DataFrame:
-    """(id, n, tok): the prefix in which two classes of at least ``percent`` similarity share a shingle."""
-    rows = ranked.select("id", "n", "shared", F.posexplode("prefix").alias("i", "tok"))
-    return rows.where(100 * (F.col("n") - F.col("shared") + F.col("i")) <= (100 - percent) * F.col("n")).select("id", "n", "tok")
+def _prefix(ranked: DataFrame, percent: int, *more: str) -> DataFrame:
+    """(id, n, tok, *more): the prefix in which two classes of at least ``percent`` similarity share a shingle."""
+    rows = ranked.select("id", "n", "shared", *more, F.posexplode("prefix").alias("i", "tok"))
+    return rows.where(100 * (F.col("n") - F.col("shared") + F.col("i")) <= (100 - percent) * F.col("n")).select("id", "n", "tok", *more)
 
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, sim): exact similarity in millionths and link flag of (a, b) class pairs."""
+    """``pairs`` of classes (a, b and more columns) with ``both`` and ``total``: the sizes of the intersection and the union.
+
+    The side of the few pivots, b, is joined first: a pivot with many pairs is split while rows
+    are still short, and the sets meet dealt by a.
+    """
+    n = len(pairs.columns)
 
     def overlap(batches):
         for b in batches:
-            x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
+            x, y = b.column(n).to_pylist(), b.column(n + 1).to_pylist()
             both = np.array([len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True)) for p, q in zip(x, y)], np.int64)
             union = np.array([len(p) + len(q) for p, q in zip(x, y)], np.int64) // 8 - both
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(both), pa.array(union)], names=["a", "b", "both", "total"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(both), pa.array(union)], names=[*b.schema.names[:n], "both", "total"])
 
     side = sets.select("id", "toks")
-    rows = (pairs.join(side.withColumnsRenamed({"id": "a", "toks": "ta"}), "a")
-            .join(side.withColumnsRenamed({"id": "b", "toks": "tb"}), "b").select("a", "b", "ta", "tb"))
-    return rows.mapInArrow(overlap, "a long, b long, both long, total long")
+    rows = (pairs.join(side.withColumnsRenamed({"id": "b", "toks": "tb"}), "b")
+            .join(side.withColumnsRenamed({"id": "a", "toks": "ta"}), "a").select(*pairs.columns, "ta", "tb"))
+    return rows.mapInArrow(overlap, ", ".join(f"{c} {t}" for c, t in [*pairs.dtypes, ("both", "long"), ("total", "long")]))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, comp): connected components by alternating large and small stars; comp is the smallest id."""
-    e = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
-    state = None
+    """(id, comp): connected components by alternating large and small stars; comp is the smallest id.
+
+    ``edges`` is read several times: staged rows, which may repeat.
+    """
+    e, was = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
+        large = e.join(low, "v").select("u", F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        was, e = e, staged(small.where("u <> v").distinct(), "cc")
-        discard(was)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        small = large.join(least, "u").select(F.inline(F.array(*[F.struct(F.col(c).alias("u"), F.col("m").alias("v")) for c in "uv"])))
+        e = staged(small.where("u <> v").distinct(), "cc")
+        if was is not None:
+            discard(was)
+        if _stars(e):
             return e.select(F.col("u").alias("id"), F.col("v").alias("comp"))
-        state = now
+        was = e
+
+
+def _stars(e: DataFrame) -> bool:
+    """Whether each u of the distinct edges (u, v) has one v, which is no u itself: then no round changes them any more."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("v", F.lit(0), F.lit(1)))
+    return not ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").agg(F.count("*")).first()[0]
 
 
 def region_links(home: DataFrame, border: DataFrame, sets: DataFrame) -> DataFrame:
@@ -389,32 +402,29 @@ def links(sets: DataFrame) -> list[DataFrame]:
     ranked = ranked_shingles(sets)
     loose = 100 - PERCENT
     wide = 100 - 2 * loose
-    members = ranked.select("id", "n", "typical")
+    members = ranked.select("id")
     edges: list[DataFrame] = []
     left = members.count()
     for level in range(LEVELS):
         if not left:
             return edges
-        here = ranked.join(members.select("id"), "id", "left_semi") if level else ranked
+        here = ranked.join(members, "id", "left_semi") if level else ranked
         bucket = F.col("buckets")[level].alias("bucket")
-        pivots = staged(here.select("id", "n", "typical", bucket).where("bucket IS NOT NULL").groupBy("bucket").agg(F.max_by(F.struct("id", "n", "typical"), F.struct("typical", -F.col("id"))).alias("p"))
-                        .select("p.*").distinct(), "near-pivots")
-        ys = _prefix(here, wide).select("tok", F.col("id").alias("a"), F.col("n").alias("na"))
-        ps = _prefix(here, wide).join(pivots.select("id"), "id", "left_semi").select("tok", F.col("id").alias("b"), F.col("n").alias("nb"))
+        pivots = staged(here.select("id", "typical", bucket).where("bucket IS NOT NULL").groupBy("bucket").agg(F.max_by("id", F.struct("typical", -F.col("id"))).alias("id")).select("id"), "near-pivots")
+        prefix = _prefix(here, wide, "typical")
+        ys = prefix.select("tok", F.col("id").alias("a"), F.col("n").alias("na"), F.col("typical").alias("ta"))
+        ps = prefix.join(pivots, "id", "left_semi").select("tok", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("typical").alias("tb"))
+        weak = (F.col("ta") < F.col("tb")) | ((F.col("ta") == F.col("tb")) & (F.col("a") > F.col("b")))
         pairs = (ys.join(ps, "tok").where((F.col("a") != F.col("b")) & (100 * F.least("na", "nb") >= wide * F.greatest("na", "nb")))
-                 .select("a", "b").distinct())
+                 .select("a", "b", weak.alias("weak")).distinct())
         near = staged(measured(pairs, sets).where(100 * F.col("both") >= wide * F.col("total")), "near-pairs")
         link = 100 * F.col("both") >= PERCENT * F.col("total")
-        edges.append(near.where(link).select("a", "b"))
-        rank = pivots.select("id", "typical")
-        weaker = (near.where(link).join(rank.select(F.col("id").alias("a"), F.col("typical").alias("ta")), "a")
-                  .join(rank.select(F.col("id").alias("b"), F.col("typical").alias("tb")), "b")
-                  .where((F.col("ta") < F.col("tb")) | ((F.col("ta") == F.col("tb")) & (F.col("a") > F.col("b")))).select(F.col("a").alias("id")).distinct())
-        stay = staged(pivots.join(weaker, "id", "left_anti").select("id"), "near-stay")
+        stay = staged(pivots.join(near.where(link & F.col("weak")).select(F.col("a").alias("id")), "id", "left_anti"), "near-stay")
         of_pivots = near.join(stay.select(F.col("id").alias("b")), "b")
         home = staged(of_pivots.where(link).groupBy("a").agg(F.max_by(F.struct("b", "both", "total"), F.struct(F.col("both") / F.col("total"), -F.col("b"))).alias("h"))
                       .select(F.col("a").alias("id"), F.col("h.b").alias("p"), "h.both", "h.total"), "near-home")
-        comp = components(edges[-1])
+        comp = components(near.where(link))
+        edges.append(comp.select(F.col("id").alias("a"), F.col("comp").alias("b")))
         border = (of_pivots.where(~link).select(F.col("b").alias("p"), F.col("a").alias("id"), "both", "total")
                   .join(comp.select("id", F.col("comp").alias("c")), "id", "left")
                   .join(comp.select(F.col("id").alias("p"), F.col("comp").alias("cp")), "p", "left")
@@ -423,12 +433,12 @@ def links(sets: DataFrame) -> list[DataFrame]:
         if not border.isEmpty():
             edges.append(staged(region_links(home, border, sets), "near-links"))
         before, members = members, staged(members.join(home, "id", "left_anti").join(stay, "id", "left_anti"), "near-left")
-        discard(pivots, stay, home, border, *([before] if level else []))
+        discard(near, pivots, stay, home, border, *([before] if level else []))
         was, left = left, members.count()
         if left > (1 - SHRINK) * was:
             break
     if left:
-        edges += rest_links(_prefix(ranked.join(members.select("id"), "id", "left_semi"), PERCENT), sets)
+        edges += rest_links(_prefix(ranked.join(members, "id", "left_semi"), PERCENT), sets)
     return edges
 
 
@@ -448,10 +458,11 @@ def rest_links(rest: DataFrame, sets: DataFrame) -> list[DataFrame]:
     edges = [staged(measured(pairs, sets).where(100 * F.col("both") >= PERCENT * F.col("total")).select("a", "b"), "near-rest")]
     many = freq.where(F.col("m") > FEW)
     if not many.isEmpty():
-        of = components(rest.join(many, "tok").select(F.col("id").alias("a"), F.col("lead").alias("b")))
+        leads = staged(rest.join(many, "tok").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct(), "near-leads")
+        of = components(leads)
         family = staged(of.union(of.select("comp", "comp").distinct()), "near-families")
         edges.append(staged(family_links(family, sets), "near-family"))
-        discard(family)
+        discard(leads, family)
     discard(rest, freq, few)
     return edges
 

@@ -330,6 +330,24 @@ def test_links_do_not_depend_on_doc_ids(spark):
     assert bag(kept) == bag([rows[0], rows[5], rows[6], rows[7], rows[10], rows[12], rows[13]])
 
 
+def test_components_stage_once_a_round_and_end_at_stars(spark, monkeypatch):
+    rnd = random.Random(4)
+    star = [(9, k) for k in range(2, 9)] + [(k, 9) for k in range(2, 9)] + [(3, 3), (9, 4)]
+    chain = [(k, k + 1) for k in rnd.sample(range(100, 140), 40)]
+    loose = [(rnd.randrange(200, 260), rnd.randrange(200, 260)) for _ in range(45)]
+    rounds, stage = [], near_dup.staged
+    monkeypatch.setattr(near_dup, "staged", lambda df, name, *args, **kw: rounds.append(name) or stage(df, name, *args, **kw))
+    for edges, most in ((star, 1), (star + chain + loose, 9), ([], 1)):
+        low = {x: x for e in edges for x in e}
+        for _ in low:
+            for a, b in edges:
+                low[a] = low[b] = min(low[a], low[b])
+        rounds.clear()
+        got = near_dup.components(spark.createDataFrame(edges, "a long, b long").repartition(3))
+        assert bag(map(tuple, got.collect())) == bag((x, c) for x, c in low.items() if x != c)
+        assert 0 < len(rounds) <= most
+
+
 def test_quality(spark, docs, corpus, empty):
     labels = spark.createDataFrame([(0, 1, 0), (10, 1, 0), (11, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     want = []
