@@ -28,6 +28,10 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BLOOM_BITS, BLOOM_MOST = 16, 1 << 26
 #: Keys up to which a staged table of them is broadcast.
 BROADCAST_KEYS = 1_000_000
+#: Bytes of an Arrow batch that goes to a Python worker: by rows alone it grows with their length.
+BATCH_BYTES = 4 << 20
+#: Short rows (ids and numbers) that a file of a staged table has on average at least, if its tasks allow.
+FILE_ROWS = 1 << 18
 #: Where staged tables lie, and the folders of every open scope.
 _PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 _SCOPES: list[list[str]] = []
@@ -47,11 +51,11 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None, conf
     """Write ``df`` to the shared folder and read it back: a lineage cut that survives lost executors.
 
     What the write has shuffled is deleted with it: from here on the table stands for it.
-    ``conf`` holds during the write.
+    Python workers get batches of ``BATCH_BYTES``.  ``conf`` holds during the write.
     """
     spark, path = df.sparkSession, staging_path(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
-    conf = {_CLEANUP: "true", **(conf or {})}
+    conf = {_CLEANUP: "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES), **(conf or {})}
     before = {k: spark.conf.get(k, None) for k in conf}
     for k, v in conf.items():
         spark.conf.set(k, v)
@@ -77,6 +81,14 @@ def bloom(n: int) -> dict[str, str]:
             f"{of}expectedNumItems": str(n), f"{of}maxNumItems": str(n), f"{of}numBits": bits, f"{of}maxNumBits": bits}
 
 
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which has about ``rows`` short rows, in as many partitions as these fill, but one for every core.
+
+    A file costs an executor the same however few rows it has: on a local disk Hadoop starts two processes for it.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+
+
 def without(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """Rows whose key isn't in the staged table ``keys``; they are shuffled only if it has too many to broadcast."""
     return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, "left_anti")
@@ -121,6 +133,8 @@ _U = np.uint64
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
 _BASE, _STEP = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
+#: Bytes of which ``span_hashes`` holds 8-byte sums at once.
+HASH_BLOCK = 1 << 17
 
 
 def _inverse(odd: np.uint64) -> np.uint64:
@@ -205,12 +219,25 @@ def word_spans(raw: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[
 
 
 def span_hashes(raw: np.ndarray, s: np.ndarray, e: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span (``fold`` maps bytes first, e.g. to lower case)."""
+    """A 64-bit hash of the bytes of each span (``fold`` maps bytes first, e.g. to lower case).
+
+    Spans ascend and don't overlap.  Bytes are hashed ``HASH_BLOCK`` at a time, so that a worker
+    keeps no 8-byte arrays as long as its longest text; a span is the sum of its parts in each block.
+    """
     table = _BYTE if fold is None else _BYTE[fold]
-    up, down = _TABLE.get(len(raw) + 1)
-    pre = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(table[raw] * up[:len(raw)], out=pre[1:])
-    return mix((pre[e] - pre[s]) * down[s] + (e - s).astype(np.uint64) * _STEP)
+    up, down = _TABLE.get(min(len(raw), HASH_BLOCK) + 1)
+    out, pre = (e - s).astype(np.uint64) * _STEP, np.zeros(min(len(raw), HASH_BLOCK) + 1, np.uint64)
+    for at in range(0, len(raw), HASH_BLOCK):
+        part = raw[at:at + HASH_BLOCK]
+        i, j = np.searchsorted(e, at, side="right"), np.searchsorted(s, at + len(part))
+        if i < j:
+            np.cumsum(table[part] * up[:len(part)], out=pre[1:len(part) + 1])
+            lo, hi = np.maximum(s[i:j] - at, 0), np.minimum(e[i:j] - at, len(part))
+            sums = (pre[hi] - pre[lo]) * down[lo]
+            if s[i] < at:  # only the first may have begun in an earlier block
+                sums[:1] *= _U(pow(int(_BASE), int(at - s[i]), 1 << 64))
+            out[i:j] += sums
+    return mix(out)
 
 
 ASCII_FOLD = np.arange(256, dtype=np.uint8)

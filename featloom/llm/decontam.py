@@ -23,7 +23,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -149,6 +148,8 @@ def candidates(index: DataFrame, windows: list, items: Items, slack: int) -> Dat
     Buckets are slack + 1 wide and overlap by half, so terms within ``slack`` of
     each other share one.
     """
+    import pandas as pd  # here, as every Python worker imports this module
+
     spark, width = index.sparkSession, slack + 1
     rows = [(int(items.words[i][q]), i, int(q), at.shape[1]) for i, (_, at) in enumerate(windows) for q in np.unique(at)]
     anchors = spark.createDataFrame(pd.DataFrame(rows, columns=["term", "item", "q", "need"]).astype("int32")

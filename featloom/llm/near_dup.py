@@ -34,8 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featloom.llm.common import (ASCII_FOLD, NOT_SPACE, bloom, chunks, discard, discard_folders, gram_hashes, mix, span_hashes, staged,
-                                  staging_scope, text_buffer, without, word_spans)
+from featloom.llm.common import (ASCII_FOLD, NOT_SPACE, bloom, chunks, discard, discard_folders, few_files, gram_hashes, mix, span_hashes,
+                                  staged, staging_scope, text_buffer, without, word_spans)
 
 SHINGLE = 5
 #: Similarity in percent at which two documents link.
@@ -245,7 +245,7 @@ def candidate_sets(texts: DataFrame, classes: DataFrame, spare: bool) -> DataFra
     first = (classes.join(shared, _owner() == F.col("o"), "left")
              .where(100 * (F.col("low") - F.coalesce("n_shared", F.lit(0))) <= loose * F.col("n"))
              .select("id", "n", "k1"))
-    first = staged(first, "near-first")
+    first = staged(few_files(first, classes.count()), "near-first")
 
     def sets(batches):
         for b in chunks(batches):
@@ -335,12 +335,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e, was = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), None
     while True:
+        n = e.count()
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
         large = e.join(low, "v").select("u", F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.inline(F.array(*[F.struct(F.col(c).alias("u"), F.col("m").alias("v")) for c in "uv"])))
-        e = staged(small.where("u <> v").distinct(), "cc")
+        e = staged(few_files(small.where("u <> v").distinct(), 2 * n), "cc")  # each edge gives two at most
         if was is not None:
             discard(was)
         if _stars(e):
@@ -410,7 +411,8 @@ def links(sets: DataFrame) -> list[DataFrame]:
             return edges
         here = ranked.join(members, "id", "left_semi") if level else ranked
         bucket = F.col("buckets")[level].alias("bucket")
-        pivots = staged(here.select("id", "typical", bucket).where("bucket IS NOT NULL").groupBy("bucket").agg(F.max_by("id", F.struct("typical", -F.col("id"))).alias("id")).select("id"), "near-pivots")
+        pivots = here.select("id", "typical", bucket).where("bucket IS NOT NULL").groupBy("bucket").agg(F.max_by("id", F.struct("typical", -F.col("id"))).alias("id")).select("id")
+        pivots = staged(few_files(pivots, left), "near-pivots")
         prefix = _prefix(here, wide, "typical")
         ys = prefix.select("tok", F.col("id").alias("a"), F.col("n").alias("na"), F.col("typical").alias("ta"))
         ps = prefix.join(pivots, "id", "left_semi").select("tok", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("typical").alias("tb"))
@@ -513,7 +515,7 @@ def linked(texts: DataFrame, spare: bool = False) -> tuple[DataFrame, DataFrame]
     rows = staged(classes_of(texts), "near-classes")
     with staging_scope() as folders:
         classes = (rows.where("n > 0").groupBy("k1", "k2").agg(F.min("rid").alias("id"), F.min("doc_id").alias("did"), F.first("n").alias("n"), F.first("low").alias("low")))
-        classes = staged(classes, "near-names")
+        classes = staged(few_files(classes, rows.count()), "near-names")
         sets = candidate_sets(texts, classes, spare)
         edges = links(sets)
         discard(sets)
@@ -525,7 +527,7 @@ def linked(texts: DataFrame, spare: bool = False) -> tuple[DataFrame, DataFrame]
             names = names.join(components(all_edges), "id", "left").withColumn("c", F.coalesce("comp", "id"))
         else:
             names = names.withColumn("c", F.col("id"))
-        out = staged(names.select("k1", "k2", "did", "c"), "near-linked")
+        out = staged(few_files(names.select("k1", "k2", "did", "c"), classes.count()), "near-linked")
     discard_folders(texts.sparkSession, folders, out)
     return rows, out
 

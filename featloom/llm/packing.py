@@ -37,8 +37,8 @@ TOPICS, TERMS, SAMPLE, STEPS = 64, 2048, 4096, 8
 K1, B = 1.2, 0.75
 END = 0
 SPECIAL = {"<|endoftext|>": 50256}
-#: Segments whose ids a Python worker remembers before it starts anew.
-CACHE_SEGMENTS = 1_000_000
+#: Segments whose ids a Python worker remembers before it starts anew, and ids: without spaces a segment is a text.
+CACHE_SEGMENTS, CACHE_IDS = 1_000_000, 1 << 23
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long, ids binary")
 
@@ -142,7 +142,7 @@ class Segments:
         missing = np.flatnonzero(k < 0)
         if len(missing):
             distinct, first = np.unique(hashes[missing], return_index=True)
-            if len(self.at) + len(distinct) > self.room:
+            if len(self.at) + len(distinct) > self.room or len(self.flat) > CACHE_IDS:
                 self.clear(max(CACHE_SEGMENTS, len(hashes)))
                 missing = np.arange(len(hashes))
                 distinct, first = np.unique(hashes, return_index=True)
@@ -173,7 +173,7 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         from featloom.llm import packing  # the worker's own module, whose cache outlives the task
 
         enc = packing._segments(ranks_path, pattern)
-        for b in chunks(batches, 4 << 20):
+        for b in chunks(batches):
             ids, offs = enc.encode(*text_buffer(b.column(1)))
             col = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(offs * 2), pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays([b.column(0), col.cast(pa.binary())], names=["doc_id", "ids"])
@@ -417,7 +417,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 yield emit(pieces)
 
         shard, held, now = [], 0, None
-        for b in batches:
+        for b in chunks(batches, col="ids"):
             for doc_id, raw, key in zip(*(c.to_pylist() for c in b.columns)):
                 if shard and (key != now or len(shard) >= SHARD_DOCS or held >= 64 << 20):
                     yield from packed(shard)

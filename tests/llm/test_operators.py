@@ -7,16 +7,18 @@ import itertools
 import os
 import random
 import re
+import tracemalloc
 import types
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from featloom.llm import chat, decontam, line_dedup, near_dup, packing, quality, secrets, suffix_dedup, url_filter, warc
+from featloom.llm import chat, common, decontam, line_dedup, near_dup, packing, quality, secrets, suffix_dedup, url_filter, warc
 from featloom.llm.catalog import RANKS
 from featloom.llm.common import ASCII_SPACE
 
@@ -662,3 +664,84 @@ def test_segment_cache_grows_and_starts_anew():
         ids, offs = enc.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
         got = [ids[a:z].tolist() for a, z in zip(offs, offs[1:])]
         assert got == [whole.encode(t, add_special_tokens=False).ids + [0] for t in part]
+
+
+def old_span_hashes(raw, s, e):
+    """Hashes of spans by one sum over all bytes."""
+    up, down = common._powers(common._BASE, len(raw) + 1), common._powers(common._inverse(common._BASE), len(raw) + 1)
+    pre = np.concatenate([np.zeros(1, np.uint64), np.cumsum(common._BYTE[raw] * up[:-1])])
+    return common.mix((pre[e] - pre[s]) * down[s] + (e - s).astype(np.uint64) * common._STEP)
+
+
+@pytest.mark.parametrize("block", [1, 2, 7, 64])
+def test_spans_are_hashed_block_by_block(monkeypatch, block):
+    monkeypatch.setattr(common, "HASH_BLOCK", block)
+    rng = np.random.default_rng(block)
+    for n in (0, 1, 2, 7, 300):
+        raw = rng.integers(0, 256, n).astype(np.uint8)
+        for k in (0, 1, 5, 40):
+            cuts = np.sort(rng.integers(0, n + 1, 2 * k))
+            for s, e in ((cuts[::2], cuts[1::2]), (cuts[:-1], cuts[1:])):
+                assert common.span_hashes(raw, s, e).tolist() == old_span_hashes(raw, s, e).tolist()
+
+
+def test_hashing_a_long_text_holds_no_arrays_of_its_length(monkeypatch):
+    monkeypatch.setattr(common, "_TABLE", common._PowerTable())
+    raw, e = np.full(8 << 20, 97, np.uint8), np.empty(0, np.int64)
+    spans = np.arange(0, len(raw), 1 << 16)
+    tracemalloc.start()
+    try:
+        common.span_hashes(raw, spans, spans + 5)
+        common.span_hashes(raw, e, e)
+        kept, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert kept < 4 << 20 and peak < 16 << 20
+
+
+def test_python_workers_get_batches_of_bounded_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    rows = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+    with common.staging_scope() as folders:
+        got = common.staged(rows.mapInArrow(sizes, "n long, bytes long"), "sizes").collect()
+    common.discard_folders(spark, folders)
+    assert sum(r.n for r in got) == 400
+    assert max(r.bytes for r in got) < 2 * common.BATCH_BYTES
+
+
+def test_segment_cache_is_bounded_by_ids(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_IDS", 100)
+    enc = packing.Segments(RANKS, public_tokenizers.PATTERN)
+    whole = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    for i in range(20):
+        raw = f"日本{i}語".encode() * 10
+        ids, _ = enc.encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        assert ids.tolist() == whole.encode(raw.decode(), add_special_tokens=False).ids + [0]
+        assert len(enc.flat) <= 100 + len(ids)
+
+
+def test_rounds_of_components_are_few_files(spark, monkeypatch):
+    written = []
+
+    def staged(df, name, *args, **kwargs):
+        out = common.staged(df, name, *args, **kwargs)
+        written.append((name, len(out.inputFiles())))
+        return out
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 3000) if i % 7], "a long, b long")
+    monkeypatch.setattr(near_dup, "staged", staged)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        with common.staging_scope() as folders:
+            got = {r.id: r.comp for r in near_dup.components(edges).collect()}
+        common.discard_folders(spark, folders)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: (i - 1) // 7 * 7 + 1 for i in range(1, 3001) if i % 7 != 1}
+    assert written and max(n for _, n in written) <= spark.sparkContext.defaultParallelism
